@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions import addresses as A
 from wireloom.functions.ratios import percent
+from wireloom.operators.skew import lookup
 
 
 def address_occurrences(packets: DataFrame) -> DataFrame:
@@ -67,21 +68,17 @@ def anonymise_packets(packets: DataFrame, key: str, rotate_host: bool = False) -
 def apply_ip_map(packets: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rewrite addresses from a user-supplied map ``(orig, anon)``; unmapped addresses stay.
 
-    The map is resolved once per address and block of frames, and packets meet it on (capture, address, block): a hot address is
-    spread over its blocks instead of forming one join group.
+    A hot address is spread over blocks of frames instead of forming one join group.
     """
     one = mapping.groupBy("orig").agg(F.max("anon").alias("anon"))
-    block = F.floor(F.col("frame_no") / 65536)
-    out = packets.withColumn("__fb", block)
+    out = packets
     for side in ("src_ip", "dst_ip"):
-        wanted = packets.select("capture_id", F.col(side).alias("orig"), block.alias("__fb")).where("orig IS NOT NULL").distinct()
-        lookup = wanted.join(one, "orig").withColumnRenamed("orig", side).withColumnRenamed("anon", f"__{side}")
-        out = out.join(lookup, ["capture_id", side, "__fb"], "left")
+        out = lookup(out, one.withColumnRenamed("orig", side).withColumnRenamed("anon", f"__{side}"), [side])
     hit = F.col("__src_ip").isNotNull() | F.col("__dst_ip").isNotNull()
     return (
         out.withColumn("ip_modified", hit)
         .withColumns({"src_ip": F.coalesce("__src_ip", "src_ip"), "dst_ip": F.coalesce("__dst_ip", "dst_ip")})
-        .drop("__src_ip", "__dst_ip", "__fb")
+        .drop("__src_ip", "__dst_ip")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.operators.scan import running_count
+from wireloom.operators.skew import lookup
 
 FLOW = ["capture_id", "tuple_key"]
 
@@ -60,7 +61,5 @@ def select_streams(packets: DataFrame, predicate: Column) -> DataFrame:
 
     The flow list is joined per frame block, so the packets of a hot flow are spread over many tasks.
     """
-    fb = F.floor(F.col("frame_no") / 65536)
     wanted = packets.where(predicate).select(*FLOW).distinct()
-    blocks = packets.select(*FLOW, fb.alias("__fb")).distinct().join(wanted, FLOW, "left_semi")
-    return packets.withColumn("__fb", fb).join(blocks, [*FLOW, "__fb"], "left_semi").drop("__fb")
+    return lookup(packets, wanted, FLOW, how="left_semi")

@@ -2,8 +2,7 @@
 
 A plain ``Window.partitionBy(key).orderBy(pos)`` puts a whole key into one task.  Here each key is cut into blocks of ``width``
 positions: block totals come from a partial aggregation, their running value from a window over the (far smaller) totals, and the
-rows are only windowed inside ``(key, block)``.  Totals are scanned the same way once more, so no task ever sees more than about
-``width`` rows of the data plus 1/width^2 of a key's blocks.
+rows are only windowed inside ``(key, block)``.  ``levels=2`` scans the totals the same way once more, for keys with more than some 10^8 blocks.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_WIDTH = 1 << 16
+DEFAULT_WIDTH = 1 << 20
 
 _FOLD = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
@@ -31,7 +30,7 @@ def running(
     tie_break: Sequence[str] = (),
     width: int = DEFAULT_WIDTH,
     inclusive: bool = False,
-    levels: int = 2,
+    levels: int = 1,
 ) -> DataFrame:
     """Add ``out`` = fold of ``value`` over the rows of the key that come before this one (and this one when ``inclusive``).
 
