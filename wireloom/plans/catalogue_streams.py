@@ -148,8 +148,8 @@ _HDR = "SELECT capture_id, tuple_key, direction, page_id * 1000000 AS frame_no,
 _HKEEP = """SELECT capture_id, tuple_key, direction, page_id, ranges, length(header_hex) // 2 - hidden AS kept FROM (
    SELECT *, 2 * (CASE WHEN page_id % 2 = 0 THEN 7 ELSE 6 END) - 2 AS ranges,
      length('id=' || page_id) + length(' folded=' || page_id * 7) + CASE WHEN page_id % 2 = 0 THEN (SELECT octet_length(encode(url)) FROM pages pg WHERE pg.page_id = hs.page_id) ELSE 0 END AS hidden FROM {http_streams} hs)"""
-_SAMPLE = """(SELECT capture_id, tuple_key, direction, at AS seq_start, at + CASE WHEN at % 270 = 0 THEN 100 ELSE 40 END AS seq_end, CASE WHEN at % 180 = 0 THEN 'header_only' ELSE 'full_preserve' END AS strategy
-   FROM (SELECT DISTINCT capture_id, tuple_key, direction, seq // 90 * 90 AS at FROM {segments}))"""
+_SAMPLE = """(SELECT capture_id, tuple_key, direction, a0 AS seq_start, a0 + CASE WHEN a0 % 270 = 0 THEN 100 ELSE 40 END AS seq_end, CASE WHEN a0 % 180 = 0 THEN 'header_only' ELSE 'full_preserve' END AS strategy
+   FROM (SELECT DISTINCT capture_id, tuple_key, direction, seq // 90 * 90 AS a0 FROM {segments}))"""
 _MERGE = """SELECT capture_id, tuple_key, direction, min(seq_start) AS seq_start, max(seq_end) AS seq_end FROM (
    SELECT *, sum(CASE WHEN pe IS NULL OR seq_start > pe THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id, tuple_key, direction ORDER BY seq_start, seq_end) AS isl FROM (
      SELECT *, max(seq_end) OVER (PARTITION BY capture_id, tuple_key, direction ORDER BY seq_start, seq_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM IN_)) GROUP BY capture_id, tuple_key, direction, isl"""
