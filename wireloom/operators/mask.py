@@ -67,6 +67,15 @@ def mask_payloads(packets: DataFrame, rules: DataFrame, mask_byte: int = 0, mask
     }).drop("__masked", "__tcp", "ranges", "has_rules")
 
 
+def mask_all(packets: DataFrame, mask_byte: int = 0, mask_udp: bool = False) -> DataFrame:
+    """Masking without any keep rule is a projection: nothing is joined or shuffled."""
+    touch = F.coalesce(F.expr("len > 0 AND proto = 'tcp'") | (F.expr("len > 0 AND proto = 'udp'") if mask_udp else F.lit(False)), F.lit(False))
+    return packets.withColumns({
+        "payload_modified": touch, "kept_bytes": F.when(touch, F.lit(0)).otherwise(F.col("len")).cast("bigint"),
+        "masked_bytes": F.when(touch, F.col("len")).otherwise(F.lit(0)).cast("bigint"),
+        "payload": F.when(touch, filler(F.length("payload"), mask_byte)).otherwise(F.col("payload"))})
+
+
 def masking_stats(masked: DataFrame) -> DataFrame:
     out = masked.where("proto = 'tcp'").groupBy("capture_id").agg(
         F.count("*").alias("processed"), F.count_if("payload_modified").alias("modified"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions.ratios import clamp, percent, safe_divide
 from wireloom.operators.scan import running, running_count, trailing
+from wireloom.operators.skew import lookup
 
 STEPS = ("remove_dupes", "anonymize_ips", "mask_payloads")
 METRICS = ("processed", "modified", "duration_us", "errors")
@@ -138,7 +139,7 @@ def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     placed = running(counts, keys, value, F.col("__c"), "__before")
     covers = lambda i: (F.col("__before") <= i) & (i < F.col("__before") + F.col("__c"))
     lo, hi = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    mid = placed.join(basic.select(*keys, "n"), keys).groupBy(*keys).agg(
+    mid = lookup(placed, basic.select(*keys, "n"), keys, by=value, width=1 << 30).groupBy(*keys).agg(
         ((F.max(F.when(covers(lo), v)) + F.max(F.when(covers(hi), v))) / 2.0).alias("median"))
     return basic.join(mid, keys).withColumn("mean", F.col("total") / F.col("n"))
 

@@ -167,7 +167,7 @@ ORACLES = {
         count(*) FILTER (WHERE NOT (sport = 443 OR dport = 443)) AS other_packets, 100.0::DOUBLE * count(*) FILTER (WHERE sport = 443 OR dport = 443) / count(*) AS tls_rate FROM {packets} GROUP BY 1""",
     "r13_percent": "SELECT step, round(sum(modified)::DOUBLE * 100 / sum(processed), 1) AS pct, 0.0::DOUBLE AS pct_of_none FROM {stage_runs} GROUP BY 1",
     "r14_describe": "SELECT step, count(*) AS n, sum(duration_us)::BIGINT AS total, min(duration_us) AS low, max(duration_us) AS high, median(duration_us)::DOUBLE AS median, sum(duration_us)::DOUBLE / count(*) AS mean FROM {stage_runs} GROUP BY 1",
-    "r15_moving_avg": f"SELECT step, day, packets, sum(packets) OVER w / 7.0::DOUBLE AS average FROM {_DAILY} QUALIFY row_number() OVER (PARTITION BY step ORDER BY day) >= 7 WINDOW w AS (PARTITION BY step ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)",
+    "r15_moving_avg": f"SELECT step, day, packets, sum(packets) OVER (PARTITION BY step ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) / 7.0::DOUBLE AS average FROM {_DAILY} QUALIFY row_number() OVER (PARTITION BY step ORDER BY day) >= 7",
     "r16_growth": f"SELECT step, day, packets, round((packets - old) / old * 100, 2) AS growth FROM (SELECT *, lag(packets) OVER (PARTITION BY step ORDER BY day) AS old FROM {_DAILY})",
     "r17_normalise": f"SELECT *, (packets - min(packets) OVER (PARTITION BY step)) / (max(packets) OVER (PARTITION BY step) - min(packets) OVER (PARTITION BY step)) AS scaled, least(greatest(packets, 20), 60) AS clamped FROM {_DAILY}",
     "r18_completeness": """SELECT capture_id, array_to_string(list_sort(list_filter(['anonymize_ips', 'mask_payloads', 'remove_dupes'], lambda s: NOT list_contains(done, s))), ',') AS missing, CASE WHEN len(done) = 3 THEN 'completed' ELSE 'partial' END AS state
