@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wireloom.functions.addresses import v4_from_binary, v6_from_binary
+from wireloom.functions.addresses import let, v4_from_binary, v6_from_binary
 from wireloom.functions.octets import be_int
 
 MAX_LAYERS = 20
 # Protocol numbers.
 ETHERTYPES = {0x0800: "IP", 0x86DD: "IPv6", 0x8100: "Dot1Q", 0x88A8: "Dot1AD", 0x8847: "MPLS", 0x8848: "MPLS", 0x6558: "Ethernet"}
-IP_PROTOCOLS = {4: "IP", 6: "TCP", 17: "UDP", 41: "IPv6", 47: "GRE"}
-IPV6_EXTENSIONS = (0, 43, 44, 60)
+IP_PROTOCOLS = {4: "IP", 6: "TCP", 17: "UDP", 41: "IPv6", 47: "GRE", 0: "IPv6Ext", 43: "IPv6Ext", 60: "IPv6Ext", 44: "IPv6Frag"}
 VXLAN_PORT = 4789
 TUNNELS = ("Dot1Q", "Dot1AD", "MPLS", "GRE", "VXLAN")
 ADDRESSED = ("IP", "IPv6")
@@ -33,53 +32,53 @@ def _by(value: Column, table: dict, other: str = "Raw") -> Column:
 
 
 def walk_layers(raw: Column, first: str = "Ethernet") -> Column:
-    """STRUCT<next, at, stop, layers, error>: the layers of a frame, where reading ended, and why if it failed."""
+    """STRUCT<next, at, stop, layers, error>: the layers of a frame, where reading ended, and why if it failed.
+
+    Each step only decides what follows (an ethertype, an IP protocol or a name), how long this header is and where its datagram
+    ends; the state is rebuilt once from that decision, which keeps the expression small.  Bytes are read unchecked: a header that does
+    not fit the frame is rejected as a whole.
+    """
     start = F.struct(
         F.lit(first).alias("next"), F.lit(0).alias("at"), F.length(raw).alias("stop"), F.array().cast(f"array<{_LAYER}>").alias("layers"), F.lit("").alias("error"))
+    none_i, none_s = F.lit(None).cast("int"), F.lit(None).cast("string")
 
     def step(acc: Column, _i: Column) -> Column:
         name, at, stop = acc["next"], acc["at"], acc["stop"]
-
-        def to(next_: Column, size: Column, end: Column | None = None, shown: Column | None = None) -> Column:
-            """Record this layer (unless hidden) and go on behind it; a header that does not fit is an error."""
-            layer = F.struct((shown if shown is not None else name).alias("name"), F.size(acc["layers"]).alias("depth"), at.alias("off"), size.cast("int").alias("len"))
-            limit = (end if end is not None else stop).cast("int")
-            fits = F.coalesce(at + size <= stop, F.lit(False))
-            good = F.struct(next_.alias("next"), (at + size).cast("int").alias("at"), limit.alias("stop"), F.concat(acc["layers"], F.array(layer)).alias("layers"), F.lit("").alias("error"))
-            bad = F.struct(F.lit("").alias("next"), at.alias("at"), stop.alias("stop"), acc["layers"].alias("layers"), F.concat(F.lit("truncated "), name).alias("error"))
-            return F.when(fits, good).otherwise(bad)
-
-        u8 = lambda o: be_int(raw, at + o, 1)
-        u16 = lambda o: be_int(raw, at + o, 2)
-        lit = lambda n: F.lit(n)
-        fragment = (u16(6) % 8192) > 0
-        ip_len = (u8(0) % 16) * 4
-        total = u16(2)
-        ip_stop = F.when((total >= ip_len) & (at + total < stop), at + total).otherwise(stop)
-        v6_stop = F.when((u16(4) > 0) & (at + 40 + u16(4) < stop), at + 40 + u16(4)).otherwise(stop)
-        v6_next = lambda n: F.when(n.isin(*IPV6_EXTENSIONS), F.concat(lit("Ext"), n.cast("string"))).otherwise(_by(n, IP_PROTOCOLS))
-        flags = u8(0)
-        gre_len = 4 + F.when(flags >= 128, 4).otherwise(0) + F.when((flags % 64) >= 32, 4).otherwise(0) + F.when((flags % 32) >= 16, 4).otherwise(0)
-        label_next = F.when(u8(2) % 2 == 0, "MPLS").otherwise(F.when(F.floor(u8(4) / 16) == 4, "IP").when(F.floor(u8(4) / 16) == 6, "IPv6").otherwise("Raw"))
-        tunnel = (u16(0) == VXLAN_PORT) | (u16(2) == VXLAN_PORT)
-        tcp_len = F.floor(u8(12) / 16) * 4
-        ext_len = F.when(name == "Ext44", 8).otherwise((u8(1) + 1) * 8)
-        ext_next = F.when((name == "Ext44") & (F.floor(u16(2) / 8) > 0), "Raw").otherwise(v6_next(u8(0)))
-        return (
-            F.when(name.isin("", "Raw"), acc)
-            .when(name == "Ethernet", to(F.when(u16(12) < 1536, "Raw").otherwise(_by(u16(12), ETHERTYPES)), lit(14)))
-            .when(name.isin("Dot1Q", "Dot1AD"), to(_by(u16(2), ETHERTYPES), lit(4)))
-            .when(name == "MPLS", to(label_next, lit(4)))
-            .when(name == "IP", to(F.when(fragment, "Raw").otherwise(_by(u8(9), IP_PROTOCOLS)), F.when(ip_len >= 20, ip_len), ip_stop))
-            .when(name == "IPv6", to(v6_next(u8(6)), lit(40), v6_stop))
-            .when(name.startswith("Ext"), to(ext_next, ext_len, None, lit("IPv6Ext")))
-            .when(name == "GRE", to(_by(u16(2), ETHERTYPES), gre_len))
-            .when(name == "UDP", to(F.when(tunnel, "VXLAN").otherwise("Raw"), lit(8)))
-            .when(name == "VXLAN", to(lit("Ethernet"), lit(8)))
-            .when(name == "TCP", to(lit("Raw"), F.when(tcp_len >= 20, tcp_len)))
-            .otherwise(acc)
+        u = lambda o, n: F.conv(F.hex(F.substring(raw, at + (o + 1), F.lit(n))), 16, 10).cast("int")
+
+        def go(size, ethertype=none_i, proto=none_i, to=none_s, length=none_i) -> Column:
+            size = size if isinstance(size, Column) else F.lit(size)
+            return F.struct(size.cast("int").alias("size"), ethertype.alias("et"), proto.alias("proto"), to.alias("to"), length.cast("int").alias("total"))
+
+        flag = lambda b, n, extra: F.when(F.floor(b / n) % 2 == 1, extra).otherwise(0)
+        decision = (
+            F.when(name == "Ethernet", go(14, ethertype=u(12, 2)))
+            .when(name.isin("Dot1Q", "Dot1AD"), go(4, ethertype=u(2, 2)))
+            .when(name == "MPLS", go(4, to=F.when(u(2, 1) % 2 == 0, "MPLS").otherwise(F.when(u(4, 1).between(64, 79), "IP").when(u(4, 1).between(96, 111), "IPv6").otherwise("Raw"))))
+            .when(name == "IP", go(F.nullif(F.greatest(u(0, 1) % 16 * 4, F.lit(19)), F.lit(19)), proto=u(9, 1), to=F.when(u(6, 2) % 8192 > 0, "Raw"), length=u(2, 2)))
+            .when(name == "IPv6", go(40, proto=u(6, 1), length=u(4, 2) + 40))
+            .when(name == "IPv6Frag", go(8, proto=u(0, 1), to=F.when(u(2, 2) >= 8, "Raw")))
+            .when(name == "IPv6Ext", go((u(1, 1) + 1) * 8, proto=u(0, 1)))
+            .when(name == "GRE", go(let(u(0, 1), lambda f: 4 + flag(f, 128, 4) + flag(f, 32, 4) + flag(f, 16, 4)), ethertype=u(2, 2)))
+            .when(name == "UDP", go(8, to=F.when((u(0, 2) == VXLAN_PORT) | (u(2, 2) == VXLAN_PORT), "VXLAN").otherwise("Raw")))
+            .when(name == "VXLAN", go(8, to=F.lit("Ethernet")))
+            .when(name == "TCP", go(F.nullif(F.greatest(F.floor(u(12, 1) / 16) * 4, F.lit(19)), F.lit(19)), to=F.lit("Raw")))
         )
 
+        def apply(d: Column) -> Column:
+            follow = F.coalesce(d["to"], F.when(d["et"].isNotNull(), _by(d["et"], ETHERTYPES)), _by(d["proto"], IP_PROTOCOLS))
+            end = at + d["size"]
+            fits = F.coalesce(end <= stop, F.lit(False))
+            # a datagram length shorter than its header (or zero, as left by offloading) says nothing
+            limit = F.when((d["total"] >= d["size"]) & (at + d["total"] < stop) & ((name != "IPv6") | (d["total"] > 40)), at + d["total"]).otherwise(stop)
+            layer = F.struct(name.alias("name"), F.size(acc["layers"]).alias("depth"), at.alias("off"), d["size"].alias("len"))
+            return F.struct(
+                F.when(fits, follow).otherwise("").alias("next"), F.when(fits, end).otherwise(at).alias("at"), F.when(fits, limit).otherwise(stop).alias("stop"),
+                F.when(fits, F.concat(acc["layers"], F.array(layer))).otherwise(acc["layers"]).alias("layers"),
+                F.when(fits, "").otherwise(F.concat(F.lit("truncated "), name)).alias("error"))
+
+        return F.when(name.isin("", "Raw"), acc).otherwise(let(decision, apply))
+
     return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_LAYERS)), start, step)
 
 

@@ -171,6 +171,13 @@ _HTTP_CHUNKS = {
     "duck": f"""SELECT *, unnest(generate_series(0, cast(floor((length(header_hex) + length(body_hex) - 1) / 512) AS bigint))) AS ci FROM ({HTTP_STREAMS}) hs""",
 }
 
+# Each document as a little-endian capture file: 100-byte packets, one per second.
+DOC_CAPTURES = """
+SELECT cast(doc_id AS string) AS capture_id, ci + 1 AS frame_no, 1000000 * (ci % 65536) + 7 AS ts_us, substr(h, cast(ci * 200 + 1 AS int), 200) AS raw_hex,
+       lpad(hex(ci % 256), 2, '0') || lpad(hex(cast(floor(ci / 256) AS bigint) % 256), 2, '0') || '000007000000' AS stamp_hex
+FROM ({chunks}) c0
+"""
+
 # Stage log: one capture per order, steps by return flag.
 STAGE_RUNS = """
 SELECT cast(o_orderkey AS string) AS capture_id, o_orderpriority AS batch,
@@ -202,6 +209,7 @@ VIEWS = {
     "tls_streams": TLS_STREAMS,
     "tls_segments": TLS_SEGMENTS,
     "frames": FRAMES,
+    "doc_captures": DOC_CAPTURES,
     "http_streams": HTTP_STREAMS,
     "http_segments": HTTP_SEGMENTS,
     "stage_runs": STAGE_RUNS,

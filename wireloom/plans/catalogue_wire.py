@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wireloom.functions import layers as L
+from wireloom.functions.octets import be_int
 from wireloom.operators import dissect as di
 from wireloom.plans.carriers import KEY
 from wireloom.plans.catalogue_packets import anon_sql, wire
 from wireloom.plans.sanitise import sanitise
+from wireloom.sources.captures import check_header, split_content
+from wireloom.sources.sinks import processed_name
 
 
 def raw_frames(spark, sf):
@@ -16,7 +19,7 @@ def raw_frames(spark, sf):
 
 
 def _fields(spark, sf, name, maker, which=-1):
-    d = di.with_layers(raw_frames(spark, sf)).withColumn("l", F.try_element_at(L.named(F.col("layers"), name), F.lit(which))).where("l IS NOT NULL")
+    d = di.with_layers(raw_frames(spark, sf)).withColumn("l", F.explode(F.slice(L.named(F.col("layers"), name), which, 1)))
     out = d.select("capture_id", "frame_no", maker(F.col("raw"), F.col("l.off")).alias("f")).select("capture_id", "frame_no", "f.*")
     for f in out.schema.fields:
         if f.dataType.typeName() == "boolean":
@@ -61,7 +64,51 @@ def sanitise_packets(spark, sf):
     return out.select("capture_id", "frame_no", "tuple_key", "src_ip", "dst_ip", F.hex("payload").alias("payload_hex"))
 
 
+def s2_packets(spark, sf):
+    """Capture bytes made from whole documents, then read back record by record."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("capture_id"), F.hex("text").alias("h"))
+    byte = lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")
+
+    def record(ci):
+        body = F.substring("h", (ci * 200 + 1).cast("int"), F.lit(200))
+        size = F.concat(byte(F.length(body) / 2), F.lit("000000"))
+        return F.concat(byte(ci % 256), byte(F.floor(ci / 256) % 256), F.lit("0000"), F.lit("07000000"), size, size, body)
+
+    records = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length("h") - 1) / 200).cast("int")), record), "")
+    content = F.unhex(F.concat(F.lit("D4C3B2A1020004000000000000000000FFFF000001000000"), records))
+    out = split_content(rows.select("capture_id", content.alias("content")))
+    return out.select("capture_id", "frame_no", "ts_us", "wire_len", "linktype", F.hex("raw").alias("raw_hex"))
+
+
+def s9_header_check(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    magic = F.when(F.col("doc_id") % 3 == 0, "A1B2C3D4").when(F.col("doc_id") % 3 == 1, "0A0D0D0A").otherwise("00000000")
+    content = F.unhex(F.concat(magic, F.lit("00020004000000000000000000000FFF"), F.lpad(F.hex(F.col("doc_id") % 200), 8, "0"), F.hex("text")))
+    return docs.withColumn("content", content).select("doc_id", check_header().alias("h")).select(
+        "doc_id", F.col("h.is_valid").cast("int").alias("is_valid"), "h.format", "h.version", "h.linktype", "h.problem")
+
+
+def a9_checksums(spark, sf):
+    """Checksums of rewritten frames: the deepest IPv4 header and the transport layer over it."""
+    d = di.with_layers(raw_frames(spark, sf))
+    d = d.withColumn("raw", di.fix_checksums("raw", F.col("layers.name"), F.col("layers.off"), F.col("layers.len")))
+    ip, t = F.element_at(L.named(F.col("layers"), "IP", "IPv6"), -1), F.element_at(L.named(F.col("layers"), "TCP", "UDP"), -1)
+    return d.select(
+        "capture_id", "frame_no", F.when(ip["name"] == "IP", be_int(F.col("raw"), ip["off"] + 10, 2)).alias("ip_sum"),
+        F.when(t["name"] == "TCP", be_int(F.col("raw"), t["off"] + 16, 2)).otherwise(be_int(F.col("raw"), t["off"] + 6, 2)).alias("l4_sum"))
+
+
+def s10_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path = F.concat(F.lit("/in/"), "source", F.lit("/f"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".pcap").otherwise(".pcapng"))
+    return docs.select("doc_id", processed_name(path).alias("out_path"))
+
+
 QUERIES = {
+    "s2_packets": s2_packets,
+    "s9_header_check": s9_header_check,
+    "s10_output_names": s10_names,
+    "a9_checksums": a9_checksums,
     "sanitise_flagship": sanitise_flagship,
     "sanitise_packets": sanitise_packets,
     "p1_layers": p1_layers,
@@ -83,7 +130,23 @@ _MID = "CASE enc WHEN 1 THEN 'Dot1Q/' WHEN 2 THEN 'Dot1AD/Dot1Q/' WHEN 3 THEN 'M
 _MAC = lambda c, o: " || ':' || ".join(f"lower(substr({c}, {o + 2 * i}, 2))" for i in range(6))
 _KEPT = "SELECT * FROM {wire} QUALIFY row_number() OVER (PARTITION BY capture_id, raw_hex ORDER BY frame_no) = 1"
 
+def _word_sum(h: str) -> str:
+    return f"list_sum(list_transform(range(0, length({h}) // 4), lambda i: ('0x' || substr({h}, 4 * i + 1, 4))::BIGINT))"
+
+
+def _fold(s: str) -> str:
+    return f"(65535 - ((({s}) % 65536 + ({s}) // 65536) % 65536 + (({s}) % 65536 + ({s}) // 65536) // 65536))"
+
+
 ORACLES = {
+    "s2_packets": "SELECT capture_id, frame_no, ts_us, length(raw_hex) // 2 AS wire_len, 1 AS linktype, raw_hex FROM {doc_captures}",
+    "s9_header_check": """SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 0 WHEN doc_id % 3 = 0 AND octet_length(encode(text)) < 16 THEN 0 ELSE 1 END AS is_valid, CASE doc_id % 3 WHEN 0 THEN 'pcap' WHEN 1 THEN 'pcapng' END AS format,
+        CASE WHEN doc_id % 3 = 0 THEN '2.4' END AS version, CASE WHEN doc_id % 3 = 0 THEN doc_id % 200 END AS linktype,
+        CASE WHEN doc_id % 3 = 2 THEN 'unknown magic' WHEN doc_id % 3 = 0 AND octet_length(encode(text)) < 16 THEN 'no packets' END AS problem FROM documents""",
+    "s10_output_names": "SELECT doc_id, '/in/' || source || '/f' || doc_id || '_processed' || CASE WHEN doc_id % 2 = 0 THEN '.pcap' ELSE '.pcapng' END AS out_path FROM documents",
+    "a9_checksums": f"""SELECT capture_id, frame_no, CASE WHEN ip_version = 4 THEN {_fold('s3')} END AS ip_sum, CASE WHEN proto = 'udp' THEN 0 ELSE {_fold('s4')} END AS l4_sum FROM (
+        SELECT capture_id, frame_no, ip_version, proto, {_word_sum('inner_l3')} AS s3, {_word_sum('body')} + 6 + 20 + payload_len AS s4
+        FROM (SELECT *, src_hex || dst_hex || l4 || payload_hex || CASE WHEN payload_len % 2 = 1 THEN '00' ELSE '' END AS body FROM {{wire}}))""",
     "sanitise_flagship": f"""SELECT capture_id, count(*) AS packets, count(*) AS ip_modified, count(*) FILTER (WHERE proto = 'tcp') AS payload_modified,
         coalesce(sum(payload_len) FILTER (WHERE proto = 'tcp'), 0)::BIGINT AS masked_bytes, count(DISTINCT {anon_sql('src_ip')}) AS sources FROM ({_KEPT}) GROUP BY 1""",
     "sanitise_packets": f"""SELECT capture_id, frame_no, CASE WHEN (src_ip < dst_ip) OR (src_ip = dst_ip AND sport < dport) THEN src_ip || ':' || sport || '-' || dst_ip || ':' || dport ELSE dst_ip || ':' || dport || '-' || src_ip || ':' || sport END AS tuple_key,
