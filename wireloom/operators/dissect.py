@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wireloom.functions import layers as L
 from wireloom.functions.addresses import to_binary
@@ -88,7 +89,7 @@ def _fold(total: int) -> int:
     return ~total & 0xFFFF
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def fix_checksums(raw: pd.Series, names: pd.Series, offs: pd.Series, lens: pd.Series) -> pd.Series:
     """Internet checksums of every IPv4 header and of TCP/UDP layers whose datagram is whole, innermost first."""
     out = []

@@ -86,7 +86,7 @@ FROM (
          1000 + (doc_id % 500000) * 4000 + ci * 100 - early AS seq,
          CASE WHEN again = 1 THEN repeat('58', cast(length(body) / 2 AS int)) ELSE body END AS payload_hex
   FROM (
-    SELECT doc_id, source, ci, again, early, substr(h, cast(ci * 200 - early * 2 + 1 AS int), cast(200 + early * 2 AS int)) AS body
+    SELECT doc_id, source, ci, again, early, {body} AS body
     FROM (
       SELECT doc_id, source, h, ci, again, CASE WHEN ci % 7 = 6 AND again = 0 THEN 10 ELSE 0 END AS early
       FROM ({chunks}) c0 CROSS JOIN (SELECT 0 AS again UNION ALL SELECT 1 AS again) r
@@ -96,12 +96,18 @@ FROM (
 ) c3
 WHERE length(payload_hex) > 0
 """
+# The chunking engine side works on bytes (constant-time substring), the other one on hex text.
 _CHUNKS = {
-    "spark": """SELECT doc_id, source, h, ci FROM (SELECT doc_id, source, hex(text) AS h FROM {documents}) d
-                LATERAL VIEW explode(sequence(0L, cast(floor((length(h) - 1) / 200) AS bigint))) x AS ci WHERE length(h) > 0""",
+    "spark": """SELECT doc_id, source, h, ci FROM (SELECT doc_id, source, cast(text AS binary) AS h FROM {documents}) d
+                LATERAL VIEW explode(sequence(0L, cast(floor((length(h) - 1) / 100) AS bigint))) x AS ci WHERE length(h) > 0""",
     "duck": """SELECT doc_id, source, h, unnest(generate_series(0, cast(floor((length(h) - 1) / 200) AS bigint))) AS ci
                FROM (SELECT doc_id, source, hex(text) AS h FROM {documents}) d WHERE length(h) > 0""",
 }
+_BODY = {
+    "spark": "hex(substr(h, cast(ci * 100 - early + 1 AS int), cast(100 + early AS int)))",
+    "duck": "substr(h, cast(ci * 200 - early * 2 + 1 AS int), cast(200 + early * 2 AS int))",
+}
+_PACKET = {"spark": "hex(substr(h, cast(ci * 100 + 1 AS int), 100))", "duck": "substr(h, cast(ci * 200 + 1 AS int), 200)"}
 
 # Each turn is one contiguous stretch of TLS records (handshake, CCS, app data, sometimes a cut-off alert; sometimes junk first).
 TLS_STREAMS = """
@@ -173,7 +179,7 @@ _HTTP_CHUNKS = {
 
 # Each document as a little-endian capture file: 100-byte packets, one per second.
 DOC_CAPTURES = """
-SELECT cast(doc_id AS string) AS capture_id, ci + 1 AS frame_no, 1000000 * (ci % 65536) + 7 AS ts_us, substr(h, cast(ci * 200 + 1 AS int), 200) AS raw_hex,
+SELECT cast(doc_id AS string) AS capture_id, ci + 1 AS frame_no, 1000000 * (ci % 65536) + 7 AS ts_us, {packet} AS raw_hex,
        lpad(hex(ci % 256), 2, '0') || lpad(hex(cast(floor(ci / 256) AS bigint) % 256), 2, '0') || '000007000000' AS stamp_hex
 FROM ({chunks}) c0
 """
@@ -218,14 +224,24 @@ VIEWS = {
 _TABLES = ("events", "documents", "conversations", "pages", "orders", "lineitem")
 
 
-def carrier_sql(name: str, dialect: str, sf_dir: str | None = None) -> str:
-    """SQL text of a carrier for ``spark`` (reads parquet directly) or ``duck`` (tables are registered views)."""
+def carrier_sql(name: str, dialect: str) -> str:
+    """SQL text of a carrier for ``spark`` (tables stay ``{name}`` placeholders) or ``duck`` (tables are registered views)."""
     text = VIEWS[name]
-    text = text.replace("{chunks}", _CHUNKS[dialect]).replace("{tls_chunks}", _TLS_CHUNKS[dialect]).replace("{http_chunks}", _HTTP_CHUNKS[dialect])
-    for table in _TABLES:
-        text = text.replace("{%s}" % table, table if dialect == "duck" else f"parquet.`{sf_dir}/{table}.parquet`")
+    for token, options in (("{chunks}", _CHUNKS), ("{tls_chunks}", _TLS_CHUNKS), ("{http_chunks}", _HTTP_CHUNKS), ("{body}", _BODY), ("{packet}", _PACKET)):
+        text = text.replace(token, options[dialect])
+    if dialect == "duck":
+        for table in _TABLES:
+            text = text.replace("{%s}" % table, table)
     return text
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table. A file too small to be split is spread over the cores; real inputs have more splits than cores and stay as read."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def carrier(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(carrier_sql(name, "spark", sf_dir))
+    text = carrier_sql(name, "spark")
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in _TABLES if "{%s}" % t in text})

@@ -6,6 +6,7 @@ import importlib
 import re
 
 from wireloom.plans.carriers import VIEWS, carrier_sql
+from wireloom.session import ship
 
 _PARTS = ("packets", "frames", "streams", "reports", "wire")
 
@@ -23,8 +24,16 @@ def _load(attr: str) -> dict:
     return out
 
 
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return _load("QUERIES")
+    return {name: _shipped(query) for name, query in _load("QUERIES").items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wireloom.functions import layers as L
 from wireloom.functions.octets import be_int
 from wireloom.operators import dissect as di
-from wireloom.plans.carriers import KEY
+from wireloom.plans.carriers import KEY, table
 from wireloom.plans.catalogue_packets import anon_sql, wire
 from wireloom.plans.sanitise import sanitise
 from wireloom.sources.captures import check_header, split_content
@@ -66,22 +66,22 @@ def sanitise_packets(spark, sf):
 
 def s2_packets(spark, sf):
     """Capture bytes made from whole documents, then read back record by record."""
-    rows = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("capture_id"), F.hex("text").alias("h"))
+    rows = table(spark, sf, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("capture_id"), F.col("text").cast("binary").alias("b"))
     byte = lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")
 
     def record(ci):
-        body = F.substring("h", (ci * 200 + 1).cast("int"), F.lit(200))
-        size = F.concat(byte(F.length(body) / 2), F.lit("000000"))
-        return F.concat(byte(ci % 256), byte(F.floor(ci / 256) % 256), F.lit("0000"), F.lit("07000000"), size, size, body)
+        body = F.substring("b", (ci * 100 + 1).cast("int"), F.lit(100))
+        size = F.concat(byte(F.length(body)), F.lit("000000"))
+        return F.concat(byte(ci % 256), byte(F.floor(ci / 256) % 256), F.lit("0000"), F.lit("07000000"), size, size, F.hex(body))
 
-    records = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length("h") - 1) / 200).cast("int")), record), "")
+    records = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length("b") - 1) / 100).cast("int")), record), "")
     content = F.unhex(F.concat(F.lit("D4C3B2A1020004000000000000000000FFFF000001000000"), records))
     out = split_content(rows.select("capture_id", content.alias("content")))
     return out.select("capture_id", "frame_no", "ts_us", "wire_len", "linktype", F.hex("raw").alias("raw_hex"))
 
 
 def s9_header_check(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     magic = F.when(F.col("doc_id") % 3 == 0, "A1B2C3D4").when(F.col("doc_id") % 3 == 1, "0A0D0D0A").otherwise("00000000")
     content = F.unhex(F.concat(magic, F.lit("00020004000000000000000000000FFF"), F.lpad(F.hex(F.col("doc_id") % 200), 8, "0"), F.hex("text")))
     return docs.withColumn("content", content).select("doc_id", check_header().alias("h")).select(
@@ -99,7 +99,7 @@ def a9_checksums(spark, sf):
 
 
 def s10_names(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     path = F.concat(F.lit("/in/"), "source", F.lit("/f"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".pcap").otherwise(".pcapng"))
     return docs.select("doc_id", processed_name(path).alias("out_path"))
 

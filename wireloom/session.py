@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +25,20 @@ def local_session(cores: int | None = None, app: str = "wireloom") -> SparkSessi
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per Spark application (spark-submit --py-files does the same)."""
+    sc = spark.sparkContext
+    if getattr(ship, "_application", None) == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="wireloom-"), "wireloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("wireloom", os.path.relpath(full, root)))
+    sc.addPyFile(archive)
+    ship._application = sc.applicationId
