@@ -23,6 +23,8 @@ def with_layers(packets: DataFrame) -> DataFrame:
 def dissect(packets: DataFrame) -> DataFrame:
     """Packet table from ``raw``: encapsulation, IP layers, VLANs, the deepest TCP/UDP layer with its enclosing addresses and payload.
 
+    ``ip_index`` is the 1-based position of the enclosing layer in ``ip_layers`` (0 without one).
+
     A frame that cannot be read keeps its row with ``parse_ok`` false.
     """
     d = with_layers(packets)
@@ -34,11 +36,12 @@ def dissect(packets: DataFrame) -> DataFrame:
     o = F.col("__t.off")
     tcp = F.col("__t.name") == "TCP"
     body_at = o + F.col("__t.len")
-    inner = F.try_element_at(F.filter("ip_layers", lambda i: F.col("__t").isNull() | (i["depth"] < F.col("__t.depth"))), F.lit(-1))
+    enclosing = F.size(F.filter("ip_layers", lambda i: F.col("__t").isNull() | (i["depth"] < F.col("__t.depth"))))
     d = d.withColumns({
         "l4": F.col("__t.name"), "proto": F.lower("__t.name"), "sport": be_int(raw, o, 2), "dport": be_int(raw, o + 2, 2), "seq": F.when(tcp, be_int(raw, o + 4, 4)),
-        "__ip": inner, "payload_off": body_at,
+        "ip_index": enclosing, "payload_off": body_at,
         "payload": F.when(F.col("__t").isNotNull(), F.substring(raw, body_at + 1, F.greatest(F.col("stop") - body_at, F.lit(0))))})
+    d = d.withColumn("__ip", F.when(F.col("ip_index") > 0, F.get("ip_layers", F.col("ip_index") - 1)))
     return d.withColumns({
         "src_ip": F.col("__ip.src"), "dst_ip": F.col("__ip.dst"), "ip_version": F.col("__ip.version"), "len": F.coalesce(F.length("payload"), F.lit(0)).cast("bigint"),
         "is_encrypted": L.looks_encrypted(F.col("payload"))}).drop("__t", "__ip")

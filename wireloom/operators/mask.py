@@ -11,6 +11,7 @@ from wireloom.operators.reassembly import BUCKET, KEY
 from wireloom.operators.rules import both_directions, valid
 from wireloom.operators.scan import merge_intervals
 from wireloom.operators.skew import explode_buckets, lookup
+from wireloom.operators.stage import materialise
 
 SEGMENT = [*KEY, "seq", "len"]
 
@@ -22,7 +23,9 @@ def kept_ranges(segments: DataFrame, rules: DataFrame) -> DataFrame:
     long flow make a large join group; a segment collects at most its own length in ranges.
     """
     distinct = segments.where("len > 0").select(*SEGMENT).distinct()
-    usable = both_directions(valid(rules).select(*KEY, "seq_start", "seq_end"))
+    # rules come out of long plans and are read by several branches below, hence written once
+    own = materialise(valid(rules).select(*KEY, "seq_start", "seq_end").distinct())
+    usable = both_directions(own)
     merged = explode_buckets(merge_intervals(usable, KEY, "seq_start", "seq_end"), "seq_start", "seq_end", BUCKET)
     pieces = explode_buckets(distinct.withColumn("__end", F.col("seq") + F.col("len")), "seq", "__end", BUCKET)
     lo, hi = F.greatest("seq", "seq_start"), F.least("__end", "seq_end")

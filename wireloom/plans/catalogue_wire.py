@@ -53,14 +53,14 @@ def p11_outermost(spark, sf):
 
 def sanitise_flagship(spark, sf):
     """Dedup, anonymise and mask real frames, then summarise per capture."""
-    out = sanitise(di.dissect(raw_frames(spark, sf)), KEY, protocol="none")
+    out = sanitise(raw_frames(spark, sf), KEY, protocol="none")
     return out.groupBy("capture_id").agg(
         F.count("*").alias("packets"), F.count_if("ip_modified").alias("ip_modified"), F.count_if("payload_modified").alias("payload_modified"),
         F.sum("masked_bytes").cast("bigint").alias("masked_bytes"), F.count_distinct("src_ip").alias("sources"))
 
 
 def sanitise_packets(spark, sf):
-    out = sanitise(di.dissect(raw_frames(spark, sf)), KEY, protocol="none")
+    out = sanitise(raw_frames(spark, sf), KEY, protocol="none")
     return out.select("capture_id", "frame_no", "tuple_key", "src_ip", "dst_ip", F.hex("payload").alias("payload_hex"))
 
 

@@ -16,6 +16,7 @@ from wireloom.operators import mask as mk
 from wireloom.operators import reassembly as ra
 from wireloom.operators import rules as ru
 from wireloom.operators import tls_records as tr
+from wireloom.operators.dissect import dissect
 
 SEGMENT = [*ra.KEY, "frame_no", "seq", "len", "payload", "sport", "dport"]
 
@@ -55,18 +56,24 @@ def sanitise(
 ) -> DataFrame:
     """Remove duplicates, anonymise addresses, mask payloads; each stage optional, at least one needed.
 
+    ``packets`` are raw frames ``(capture_id, frame_no, raw, ..)`` or already dissected ones.  Raw frames are decoded after duplicate
+    removal, so only their bytes take part in that join.
+
     Adds ``new_ips`` (all IP layers, for writing raw frames back), ``ip_modified``, ``payload_modified``, ``kept_bytes`` and
     ``masked_bytes``.  TCP packets that could not be dissected have no payload column to mask: they are reported by ``parse_ok``.
     """
     if not (dedup or anonymise or mask):
         raise ValueError("choose at least one of dedup, anonymise, mask")
     out = dd.remove_duplicates(packets, digest) if dedup else packets
+    if "layers" not in out.columns:
+        out = dissect(out)
     image = (lambda ip: A.anonymise(ip, key, rotate_host)) if anonymise else (lambda ip: ip)
     out = out.withColumn("new_ips", F.transform("ip_layers", lambda i: F.struct(image(i["src"]).alias("src"), image(i["dst"]).alias("dst"))))
     changed = F.exists(F.zip_with("ip_layers", "new_ips", lambda i, n: (i["src"] != n["src"]) | (i["dst"] != n["dst"])), lambda x: x)
     out = out.withColumn("ip_modified", F.coalesce(changed, F.lit(False)))
     if anonymise:
-        out = out.withColumns({"src_ip": image(F.col("src_ip")), "dst_ip": image(F.col("dst_ip"))})
+        own = F.when(F.col("ip_index") > 0, F.get("new_ips", F.col("ip_index") - 1))
+        out = out.withColumns({"src_ip": own["src"], "dst_ip": own["dst"]})
     out = fl.with_flow_keys(out)
     if not mask:
         return out.withColumns({"payload_modified": F.lit(False), "kept_bytes": F.col("len"), "masked_bytes": F.lit(0).cast("bigint")})
