@@ -17,18 +17,13 @@ from wireloom.operators import reassembly as ra
 from wireloom.operators import rules as ru
 from wireloom.operators import tls_records as tr
 from wireloom.operators.dissect import dissect
+from wireloom.operators.stage import materialise
 
 SEGMENT = [*ra.KEY, "frame_no", "seq", "len", "payload", "sport", "dport"]
 
 
-def tcp_segments(packets: DataFrame) -> DataFrame:
-    """Flow-keyed TCP payload segments with unwrapped sequence numbers."""
-    keyed = fl.with_flow_keys(packets).where("proto = 'tcp' AND len > 0 AND tuple_key IS NOT NULL").select(*SEGMENT)
-    return ra.unwrap_sequence(keyed)
-
-
 def keep_rules(segments: DataFrame, protocol: str = "auto", preserve: Mapping[str, bool] | None = None, http_ports=H.PORTS, strict_version: bool = False) -> DataFrame | None:
-    """Rules of the chosen protocol over ``tcp_segments``; None when nothing is to be kept (``none``)."""
+    """Rules of the chosen protocol over TCP segments; None when nothing is to be kept (``none``)."""
     if protocol not in ("tls", "http", "auto", "none"):
         raise ValueError(f"unknown protocol: {protocol}")
     parts = []
@@ -79,12 +74,22 @@ def sanitise(
         return out.withColumns({"payload_modified": F.lit(False), "kept_bytes": F.col("len"), "masked_bytes": F.lit(0).cast("bigint")})
     if protocol == "none":
         return mk.mask_all(out, mask_byte, mask_udp)
-    segments = tcp_segments(out)
+    # Rule finding reads the packets many times: write the cleaned packets once, then every branch only reads the columns it needs.
+    out = materialise(out)
+    out, segments = _placed(out)
     rules = keep_rules(segments, protocol, preserve, http_ports)
-    # masking works on the same unwrapped sequence numbers as the rules
-    unwrapped = segments.select("capture_id", "frame_no", F.col("seq").alias("__seq"))
-    placed = out.join(unwrapped, ["capture_id", "frame_no"], "left").withColumns({"__raw_seq": F.col("seq"), "seq": F.coalesce("__seq", "seq")}).drop("__seq")
-    return mk.mask_payloads(placed, rules, mask_byte, mask_udp).withColumn("seq", F.col("__raw_seq")).drop("__raw_seq")
+    return mk.mask_payloads(out, rules, mask_byte, mask_udp).withColumn("seq", F.col("__raw_seq")).drop("__raw_seq")
+
+
+def _placed(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packets with unwrapped ``seq`` (the original in ``__raw_seq``) and their TCP segments; a join happens only if a stream wrapped."""
+    out = packets.withColumn("__raw_seq", F.col("seq"))
+    tcp = F.expr("proto = 'tcp' AND len > 0 AND tuple_key IS NOT NULL AND seq IS NOT NULL")
+    slim = packets.where(tcp).select(*ra.KEY, "frame_no", "seq", F.col("seq").alias("__raw"))
+    moved = materialise(ra.unwrap_sequence(slim).where("seq <> __raw").select("capture_id", "frame_no", F.col("seq").alias("__seq")))
+    if not moved.isEmpty():
+        out = out.join(moved, ["capture_id", "frame_no"], "left").withColumn("seq", F.coalesce("__seq", "seq")).drop("__seq")
+    return out, out.where(tcp).select(*SEGMENT)
 
 
 def stage_results(sanitised: DataFrame, original: DataFrame) -> DataFrame:
