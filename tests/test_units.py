@@ -293,6 +293,10 @@ def test_truncated_frames_are_kept(spark):
     df = spark.createDataFrame([("c", i, whole[:n]) for i, n in enumerate((42, 30, 5))], "capture_id string, frame_no bigint, raw binary")
     got = {r.frame_no: (r.parse_ok, r.parse_error) for r in di.dissect(df).collect()}
     assert got == {0: (True, None), 1: (False, "truncated IP"), 2: (False, "truncated Ethernet")}
+    from wireloom.plans.sanitise import sanitise
+
+    masked = {r.frame_no: bytes(r.raw) for r in sanitise(df, "k", protocol="none").collect()}
+    assert masked == {0: whole, 1: whole[:14] + b"\0" * 16, 2: b"\0" * 5}
 
 
 def test_exported_frames(spark):

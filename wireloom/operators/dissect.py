@@ -14,10 +14,11 @@ from wireloom.functions.octets import be_int
 
 
 def with_layers(packets: DataFrame) -> DataFrame:
-    """Adds ``layers`` (name, depth, offset, header length), ``stop`` (end of the innermost datagram), ``parse_ok``, ``parse_error``."""
+    """Adds ``layers`` (name, depth, offset, header length), ``stop`` (end of the innermost datagram), ``parse_ok``, ``parse_error``, ``parsed_until``."""
     w = packets.withColumn("__w", L.walk_layers(F.col("raw")))
     return w.withColumns({
-        "layers": F.col("__w.layers"), "stop": F.col("__w.stop"), "parse_ok": F.col("__w.error") == "", "parse_error": F.nullif(F.col("__w.error"), F.lit(""))}).drop("__w")
+        "layers": F.col("__w.layers"), "stop": F.col("__w.stop"), "parse_ok": F.col("__w.error") == "", "parse_error": F.nullif(F.col("__w.error"), F.lit("")),
+        "parsed_until": F.col("__w.at")}).drop("__w")
 
 
 def dissect(packets: DataFrame) -> DataFrame:

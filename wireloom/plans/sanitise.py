@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions import addresses as A
 from wireloom.functions import http as H
+from wireloom.functions.octets import filler
 from wireloom.operators import dedup as dd
 from wireloom.operators import flows as fl
 from wireloom.operators import http_headers as hh
@@ -55,7 +56,7 @@ def sanitise(
     removal, so only their bytes take part in that join.
 
     Adds ``new_ips`` (all IP layers, for writing raw frames back), ``ip_modified``, ``payload_modified``, ``kept_bytes`` and
-    ``masked_bytes``.  TCP packets that could not be dissected have no payload column to mask: they are reported by ``parse_ok``.
+    ``masked_bytes``.  Frames that could not be decoded (``parse_ok`` false) lose every byte of ``raw`` behind the last layer read.
     """
     if not (dedup or anonymise or mask):
         raise ValueError("choose at least one of dedup, anonymise, mask")
@@ -72,6 +73,9 @@ def sanitise(
     out = fl.with_flow_keys(out)
     if not mask:
         return out.withColumns({"payload_modified": F.lit(False), "kept_bytes": F.col("len"), "masked_bytes": F.lit(0).cast("bigint")})
+    # what could not be decoded might be anything: blank it from where reading stopped
+    tail = filler(F.length("raw") - F.col("parsed_until"), mask_byte)
+    out = out.withColumn("raw", F.when(F.col("parse_ok"), F.col("raw")).otherwise(F.concat(F.substring("raw", F.lit(1), F.col("parsed_until")), tail)))
     if protocol == "none":
         return mk.mask_all(out, mask_byte, mask_udp)
     # Rule finding reads the packets many times: write the cleaned packets once, then every branch only reads the columns it needs.
