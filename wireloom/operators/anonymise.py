@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wireloom.functions import addresses as A
@@ -142,3 +142,15 @@ def anonymise_stats(packets: DataFrame, key: str, rotate_host: bool = False) ->
     return counts.join(ips, "capture_id", "left").withColumn(
         "anonymised_rate", percent(F.col("anonymised_ips"), F.col("original_ips"))
     )
+
+
+def mapping_listing(mapping: DataFrame) -> DataFrame:
+    """The whole map, sorted by original address text."""
+    return mapping.select("orig", "anon").distinct().orderBy("orig")
+
+
+def first_mappings(packets: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """The first ``k`` mappings of each capture; the rank limit applies before the shuffle, so a task sends at most k rows a capture."""
+    per_capture = address_occurrences(packets).groupBy("capture_id", F.col("ip").alias("orig")).agg(F.count("*").alias("packets"))
+    ranked = per_capture.withColumn("n", F.row_number().over(Window.partitionBy("capture_id").orderBy("orig"))).where(F.col("n") <= k)
+    return ranked.select("capture_id", "n", "orig", A.anonymise("orig", key).alias("anon"))

@@ -90,6 +90,8 @@ QUERIES = {
     "a13_top_prefixes": lambda s, d: an.top_prefixes(packets(s, d), 1).unionByName(an.top_prefixes(packets(s, d), 2)),
     "a15_global_map": a15_global_map,
     "a16_stats": lambda s, d: an.anonymise_stats(packets(s, d), KEY),
+    "r10_first_mappings": lambda s, d: an.first_mappings(packets(s, d), KEY),
+    "r11_ip_listing": lambda s, d: an.mapping_listing(an.ip_map(packets(s, d), KEY)),
     "w1_flow_keys": lambda s, d: flow_packets(s, d).select("capture_id", "frame_no", "tuple_key", "direction"),
     "w2_streams": lambda s, d: fl.stream_ordinals(flow_packets(s, d)),
     "w4_first_packet_direction": lambda s, d: fl.first_packet_direction(flow_packets(s, d)),
@@ -178,6 +180,9 @@ ORACLES = {
     "a15_global_map": "SELECT src_ip AS orig, 'x-' || max(capture_id) || '-' || src_ip AS anon FROM {packets} GROUP BY src_ip",
     "a16_stats": f"""WITH ips AS ({_IPS}) SELECT a.capture_id, packets, packets AS modified_packets, original_ips, original_ips AS anonymised_ips, 100.0::DOUBLE AS anonymised_rate
         FROM (SELECT capture_id, count(*) AS packets FROM {{packets}} GROUP BY 1) a JOIN (SELECT capture_id, count(DISTINCT ip) AS original_ips FROM ips GROUP BY 1) b USING (capture_id)""",
+    "r10_first_mappings": f"""WITH ips AS ({_IPS}), r AS (SELECT capture_id, orig, row_number() OVER (PARTITION BY capture_id ORDER BY orig) AS n FROM (SELECT DISTINCT capture_id, ip AS orig FROM ips))
+        SELECT capture_id, n, orig, {anon_sql('orig')} AS anon FROM r WHERE n <= 5""",
+    "r11_ip_listing": f"WITH ips AS ({_IPS}), m AS ({_MAP}) SELECT orig, anon FROM m ORDER BY orig",
     "w1_flow_keys": f"SELECT capture_id, frame_no, tuple_key, direction FROM ({_FLOWKEY})",
     "w2_streams": f"""SELECT capture_id, tuple_key, first_frame, cast(row_number() OVER (PARTITION BY capture_id ORDER BY first_frame) - 1 AS VARCHAR) AS stream_id
         FROM (SELECT capture_id, tuple_key, min(frame_no) AS first_frame FROM ({_FLOWKEY}) GROUP BY 1, 2)""",

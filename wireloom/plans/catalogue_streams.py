@@ -114,6 +114,8 @@ QUERIES = {
     "k5_merged": lambda s, d: ru.merged_rules(sample_rules(s, d)),
     "k9_masked_payload": lambda s, d: masked(s, d).select(*KEY, "frame_no", F.hex("payload").alias("payload_hex"), "kept_bytes", "masked_bytes", F.col("payload_modified").cast("int").alias("payload_modified")),
     "k12_bytes": lambda s, d: mk.masking_stats(masked(s, d)),
+    "k14_merged_stats": lambda s, d: mk.merge_stats(mk.masking_stats(masked(s, d)).select(
+        "processed", "modified", "masked_bytes", "kept_bytes", F.col("processed").alias("duration_us"), (F.col("modified") > 0).alias("success"))).withColumn("success", F.col("success").cast("int")),
     "k13_rule_stats": lambda s, d: ru.rule_statistics(ru.tls_rules(records(s, d))),
     "f11_orphaned_rules": lambda s, d: ru.orphaned(ru.valid(sample_rules(s, d)), segments(s, d).where("frame_no % 200000 < 100000")).groupBy(*KEY).agg(F.count("*").alias("rules")),
 }
@@ -195,6 +197,8 @@ ORACLES = {
     "k9_masked_payload": f"{_BYTES} SELECT {_COLS}, frame_no, payload_hex, kept_bytes, len - kept_bytes AS masked_bytes, CASE WHEN payload_hex <> orig THEN 1 ELSE 0 END AS payload_modified FROM res",
     "k12_bytes": f"""{_BYTES}, t AS (SELECT capture_id, count(*) AS processed, count(*) FILTER (WHERE payload_hex <> orig) AS modified, sum(len - kept_bytes)::BIGINT AS masked_bytes, sum(kept_bytes)::BIGINT AS kept_bytes FROM res GROUP BY 1)
         SELECT *, masked_bytes / (masked_bytes + kept_bytes) AS masked_ratio, kept_bytes / (masked_bytes + kept_bytes) AS kept_ratio, modified / processed AS modified_ratio FROM t""",
+    "k14_merged_stats": f"""{_BYTES}, t AS (SELECT capture_id, count(*) AS p, count(*) FILTER (WHERE payload_hex <> orig) AS m, sum(len - kept_bytes) AS mb, sum(kept_bytes) AS kb FROM res GROUP BY 1)
+        SELECT sum(p)::BIGINT AS processed, sum(m)::BIGINT AS modified, sum(mb)::BIGINT AS masked_bytes, sum(kb)::BIGINT AS kept_bytes, max(p) AS duration_us, CASE WHEN bool_and(m > 0) THEN 1 ELSE 0 END AS success FROM t""",
     "k13_rule_stats": f"{_WALK} {_RULES} SELECT rule_type, strategy, count(*) AS rules, sum(seq_end - seq_start)::BIGINT AS preserved_bytes, count(DISTINCT (capture_id, tuple_key)) AS flows FROM rules GROUP BY 1, 2",
     "f11_orphaned_rules": f"""SELECT {_COLS}, count(*) AS rules FROM (SELECT capture_id, tuple_key, direction, seq // 90 * 90 AS at FROM {{segments}})
         WHERE (capture_id, tuple_key) NOT IN (SELECT (capture_id, tuple_key) FROM {{segments}} WHERE frame_no % 200000 < 100000) GROUP BY {_COLS}""",

@@ -1,6 +1,6 @@
 """The row-wise and keyed operators on a stream of landed packet tables.
 
-The reference material has no event-time notion; these are the same operators with a watermark, for packets that keep arriving.
+These are the batch operators with a watermark, for packets that keep arriving.
 """
 
 from __future__ import annotations
