@@ -84,7 +84,7 @@ def _gather(batches):
     for b in batches:
         for text in b.column(0).to_pylist():
             ws = words(text)
-            buffer += b"\n" * DEPTH + b" ".join(ws).replace(b"\0", b"\x01") + END + b"\0"
+            buffer += _stream(ws) + b"\0"
             ws.append(END)
             seen.update(ws)
             if len(buffer) >= CHUNK:
@@ -206,9 +206,26 @@ class _Scorer:
             self.keys[slot[missed]], self.values[slot[missed]] = k[missed], value[back]
         return out
 
-    def text(self, ws: list[bytes]) -> float:
-        s = b"\n" * DEPTH + b" ".join(ws).replace(b"\0", b"\x01") + END
-        return float(sum(self.runs(_runs(s[at : at + CHUNK + DEPTH])).sum() for at in range(0, len(s) - DEPTH, CHUNK)))
+    def texts(self, many: list[bytes]) -> np.ndarray:
+        """Sums by text, of texts as ``_stream`` gives them; short ones are looked up together."""
+        out, at = np.zeros(len(many)), 0
+        while at < len(many):
+            end, size = at, 0
+            while end < len(many) and (end == at or size + len(many[end]) <= CHUNK):
+                size += len(many[end])
+                end += 1
+            whole = b"\0".join(many[at:end])
+            if end == at + 1:
+                out[at] = sum(self.runs(_runs(whole[i : i + CHUNK + DEPTH])).sum() for i in range(0, len(whole) - DEPTH, CHUNK))
+            else:
+                starts = np.cumsum([0] + [len(x) - DEPTH for x in many[at : end - 1]])
+                out[at:end] = np.add.reduceat(self.runs(_runs(whole)), starts)
+            at = end
+        return out
+
+
+def _stream(ws: list[bytes]) -> bytes:
+    return b"\n" * DEPTH + b" ".join(ws).replace(b"\0", b"\x01") + END
 
 
 class _Known(dict):
@@ -239,24 +256,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         known, tree = _Known(frequent), _Scorer(states, entries)
         for b in batches:
             rid, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
-            own, rare = [], ([], [], [])
+            own, streams, rare = [], [], ([], [], [])
             for r, text in zip(rid, texts, strict=True):
                 ws = words(text)
-                p = tree.text(ws)
+                streams.append(_stream(ws))
                 ws.append(END)
                 c = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
-                own.append((len(ws), int((c > 0).sum()), float(np.log10(c + 1).sum()), p))
+                own.append((len(ws), int((c > 0).sum()), float(np.log10(c + 1).sum())))
                 others = Counter(ws[i] for i in np.flatnonzero(c == 0))
                 rare[0].extend([r] * len(others))
                 rare[1].extend(_signed(xxhash.xxh3_64_intdigest(w)) for w in others)
                 rare[2].extend(others.values())
-            n, k, s, p = (list(x) for x in zip(*own, strict=True)) if own else ([], [], [], [])
+            n, k, s = (list(x) for x in zip(*own, strict=True)) if own else ([], [], [])
             none = [None] * len(rare[0])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rid + rare[0], pa.int64()), pa.concat_arrays([b.column(1), pa.nulls(len(none), b.column(1).type)]),
                     pa.array([None] * len(rid) + rare[1], pa.int64()), pa.array(n + rare[2], pa.int64()),
-                    pa.array(k + none, pa.int64()), pa.array(s + none, pa.float64()), pa.array(p + none, pa.float64()),
+                    pa.array(k + none, pa.int64()), pa.array(s + none, pa.float64()), pa.concat_arrays([pa.array(tree.texts(streams), pa.float64()), pa.nulls(len(none), pa.float64())]),
                 ],
                 ["rid", "i", "h", "n", "k", "s", "p"],
             )
