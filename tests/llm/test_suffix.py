@@ -39,6 +39,7 @@ def test_equals_brute_force(spark, sf):
 
 def test_shuffled_way_and_overlaps(spark, monkeypatch):
     monkeypatch.setattr(suffix, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(suffix, "GROUP", 2)
     import random
 
     rnd = random.Random(1)

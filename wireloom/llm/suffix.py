@@ -6,7 +6,8 @@ The result is exact: a byte goes if a LENGTH-byte string over it also starts ear
 1. Each window of LENGTH bytes is named by its least GRAM-byte hash (its anchor); equal windows have equal anchors. Runs of windows with
    one anchor follow each other, some forty windows long. Anchors that only one document has are set aside, as no other can match there.
 2. A run is entered into the arrays as a whole (its first and last suffix span it). A run that an earlier document has goes entirely.
-3. Where documents share an anchor but not the whole run, its suffixes are entered one by one.
+3. Where documents share an anchor but not the whole run, the few passages with that anchor are compared window by window, or, if there
+   are more than GROUP of them, all their suffixes are entered one by one.
 
 Batches are ranges of document ids. A batch's own sorted array is merge-scanned against the levels, which hold only earlier documents, then
 what is new in it becomes a level; levels of equal size merge. Repeats inside a document are found where its text is.
@@ -29,6 +30,8 @@ REACH = LENGTH - GRAM + 1
 PIECE = 1 << 20
 #: Most rows of a side that is broadcast (up to some 60 bytes each); beyond it the join shuffles, or for anchors all are taken as shared.
 BROADCAST_ROWS = 1_500_000
+#: Passages with one anchor that are compared together; the suffixes of more common anchors are entered into the arrays.
+GROUP = 400
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,6 +169,61 @@ def _suffixes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(at), pa.array(at)], ["key", "id", "dk", "s", "e"])
 
 
+def _passages(batches):
+    """(id, dk, text, [(v, s, e)]) -> (v, id, dk, s, bytes of the windows from s to e)."""
+    for b in batches:
+        for row, (text, runs) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            raw = text.encode("utf-8", "surrogatepass")
+            take = pa.array(np.full(len(runs), row))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r["v"] for r in runs], pa.int64()), b.column(0).take(take), b.column(1).take(take),
+                    pa.array([r["s"] for r in runs], pa.int64()), pa.array([raw[r["s"] : r["e"] + LENGTH] for r in runs], pa.binary()),
+                ],
+                ["v", "id", "dk", "s", "passage"],
+            )
+
+
+def _compared(batches):
+    """Sorted by anchor: (id, dk, s, e) of the windows that a passage of the same anchor and a smaller id has. An anchor has at most GROUP passages."""
+
+    def found(b):
+        v, ids, dk, s = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        parts = b.column(4).to_pylist()
+        size = np.array([len(x) for x in parts])
+        w = _windows(_powers(np.frombuffer(b"".join(parts), np.uint8), 64))
+        row = np.repeat(np.arange(len(parts)), size)[: len(w)]
+        at = np.arange(len(w)) - (np.cumsum(size) - size)[row]
+        inside = at + LENGTH <= size[row]
+        w, row, at = w[inside], row[inside], at[inside]
+        key = mixed(w + mixed(v.astype(np.int64).view(np.uint64))[row])
+        order = np.lexsort((ids[row], key))
+        start = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        least = np.empty(len(order), ids.dtype)
+        least[order] = np.repeat(ids[row][order][start], np.diff(np.append(start, len(order))))
+        again = np.flatnonzero(ids[row] > least)
+        if not len(again):
+            return
+        cut = np.flatnonzero(np.concatenate(([True], (np.diff(again) != 1) | (np.diff(row[again]) != 0))))
+        first, last = again[cut], again[np.append(cut[1:], len(again)) - 1]
+        r = row[first]
+        yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(r)), b.column(2).take(pa.array(r)), pa.array(s[r] + at[first]), pa.array(s[r] + at[last])], ["id", "dk", "s", "e"])
+
+    rest = None
+    for b in batches:
+        if not len(b):
+            continue
+        if rest is not None:
+            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+        v = b.column(0).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(v, v[-1]))  # the last anchor may go on in the next batch
+        if cut:
+            yield from found(b.slice(0, cut))
+        rest = b.slice(cut)
+    if rest is not None:
+        yield from found(rest)
+
+
 def _earlier(entries: DataFrame, ranges: list[tuple]) -> DataFrame:
     """The entries (key, id, dk, s, e) whose key an entry of a smaller id has, batch by batch."""
     levels: list[tuple[int, DataFrame]] = []
@@ -270,12 +328,22 @@ def repeated(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col
 
     context = runs.groupBy("v", "key").agg(F.min(F.struct("id", "dk", "s", "e")).alias("x"))
     context = written(context.select("v", "key", "x.*"), "contexts")
-    mixed_ = context.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
-    listed = written(context.join(mixed_, "v").groupBy("id", "dk").agg(F.collect_list(F.struct("s", "e")).alias("runs")), "single-suffixes")
-    suffixes = own.select("id", "dk", "text").join(_small(listed), ["id", "dk"]).select("id", "dk", "text", "runs").mapInArrow(_suffixes, f"key long, id {kind}, dk long, s long, e long")
-    by_suffix = _earlier(written(suffixes, "suffixes"), ranges)
-
-    spans = by_run.unionAll(by_suffix).groupBy("id", "dk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    apart = written(context.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "mixed-anchors")
+    spans = by_run
+    for common in (False, True):
+        group = apart.where((F.col("n") > GROUP) if common else (F.col("n") <= GROUP)).select("v")
+        if group.isEmpty():
+            continue
+        listed = written(context.join(group, "v").groupBy("id", "dk").agg(F.collect_list(F.struct("v", "s", "e")).alias("runs")), "listed")
+        texts = own.select("id", "dk", "text").join(_small(listed), ["id", "dk"]).select("id", "dk", "text", "runs")
+        if common:
+            suffixes = texts.mapInArrow(_suffixes, f"key long, id {kind}, dk long, s long, e long")
+            spans = spans.unionAll(_earlier(written(suffixes, "suffixes"), ranges))
+        else:
+            parts = texts.mapInArrow(_passages, f"v long, id {kind}, dk long, s long, passage binary").repartition("v").sortWithinPartitions("v")
+            spans = spans.unionAll(parts.mapInArrow(_compared, f"id {kind}, dk long, s long, e long"))
+
+    spans = spans.groupBy("id", "dk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = written(spans, "spans")
     out = rows.join(_small(spans), ["id", "dk"], "left").select("id", "text", "whole", "spans")
     out = out.mapInArrow(_finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
