@@ -31,7 +31,17 @@ def _by(value: Column, table: dict, other: str = "Raw") -> Column:
     return out.otherwise(other)
 
 
-def walk_layers(raw: Column, first: str = "Ethernet") -> Column:
+def first_layer(raw: Column, linktype: Column) -> Column:
+    """Outermost header by capture link type; a type that is not known is named so, and its frames fail to parse."""
+    nibble = F.conv(F.hex(F.substring(raw, 1, 1)), 16, 10).cast("int")
+    by_version = F.when(nibble.between(64, 79), "IP").when(nibble.between(96, 111), "IPv6").otherwise("unknown IP version")
+    return (
+        F.when(linktype.isNull() | (linktype == 1), "Ethernet").when(linktype.isin(0, 108), "Loopback").when(linktype.isin(12, 14, 101), by_version)
+        .when(linktype == 113, "Cooked").when(linktype == 276, "Cooked2").when(linktype == 228, "IP").when(linktype == 229, "IPv6").otherwise("unknown link type")
+    )
+
+
+def walk_layers(raw: Column, first: str | Column = "Ethernet") -> Column:
     """STRUCT<next, at, stop, layers, error>: the layers of a frame, where reading ended, and why if it failed.
 
     Each step only decides what follows (an ethertype, an IP protocol or a name), how long this header is and where its datagram
@@ -39,7 +49,7 @@ def walk_layers(raw: Column, first: str = "Ethernet") -> Column:
     not fit the frame is rejected as a whole.
     """
     start = F.struct(
-        F.lit(first).alias("next"), F.lit(0).alias("at"), F.length(raw).alias("stop"), F.array().cast(f"array<{_LAYER}>").alias("layers"), F.lit("").alias("error"))
+        (F.lit(first) if isinstance(first, str) else first).alias("next"), F.lit(0).alias("at"), F.length(raw).alias("stop"), F.array().cast(f"array<{_LAYER}>").alias("layers"), F.lit("").alias("error"))
     none_i, none_s = F.lit(None).cast("int"), F.lit(None).cast("string")
 
     def step(acc: Column, _i: Column) -> Column:
@@ -53,6 +63,9 @@ def walk_layers(raw: Column, first: str = "Ethernet") -> Column:
         flag = lambda b, n, extra: F.when(F.floor(b / n) % 2 == 1, extra).otherwise(0)
         decision = (
             F.when(name == "Ethernet", go(14, ethertype=u(12, 2)))
+            .when(name == "Cooked", go(16, ethertype=u(14, 2)))
+            .when(name == "Cooked2", go(20, ethertype=u(0, 2)))
+            .when(name == "Loopback", go(4, to=let(F.greatest(u(0, 1), u(3, 1)), lambda f: F.when(f == 2, "IP").when(f.isin(10, 24, 28, 30), "IPv6").otherwise("Raw"))))
             .when(name.isin("Dot1Q", "Dot1AD"), go(4, ethertype=u(2, 2)))
             .when(name == "MPLS", go(4, to=F.when(u(2, 1) % 2 == 0, "MPLS").otherwise(F.when(u(4, 1).between(64, 79), "IP").when(u(4, 1).between(96, 111), "IPv6").otherwise("Raw"))))
             .when(name == "IP", go(F.nullif(F.greatest(u(0, 1) % 16 * 4, F.lit(19)), F.lit(19)), proto=u(9, 1), to=F.when(u(6, 2) % 8192 > 0, "Raw"), length=u(2, 2)))
@@ -79,7 +92,12 @@ def walk_layers(raw: Column, first: str = "Ethernet") -> Column:
 
         return F.when(name.isin("", "Raw"), acc).otherwise(let(decision, apply))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_LAYERS)), start, step)
+    def checked(acc: Column) -> Column:
+        # a frame with more layers than are read must not pass for a parsed one
+        error = F.when((acc["error"] == "") & ~acc["next"].isin("", "Raw"), F.concat(F.lit("unread "), acc["next"])).otherwise(acc["error"])
+        return F.struct(acc["next"].alias("next"), acc["at"].alias("at"), acc["stop"].alias("stop"), acc["layers"].alias("layers"), error.alias("error"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_LAYERS)), start, step, checked)
 
 
 def named(layers: Column, *names: str) -> Column:

@@ -137,7 +137,17 @@ def read_captures(spark: SparkSession, path: str, recursive: bool = True, range_
         raise ValueError(f"range_bytes must be at least {fr.MAX_JUMP}")
     files = _files(spark, path, recursive).select("path", "length")
     n = spark.sparkContext.defaultParallelism
-    small = files.where((F.col("length") <= range_bytes) | F.lower("path").endswith(".pcapng"))
+    def split(batches):
+        for b in batches:
+            kinds = []
+            for name, size in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
+                with _open(name) as f:
+                    kinds.append(size > range_bytes and fr.pcap_header(_read_range(f, 0, fr.FILE_HEADER)) is not None)
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(kinds, pa.bool_())], ["path", "length", "ranged"])
+
+    # the first bytes say what a file is, not its name
+    files = files.repartition(n, "path").mapInArrow(split, "path string, length long, ranged boolean")
+    small = files.where("not ranged")
 
     def whole(batches):
         for b in batches:
@@ -145,8 +155,8 @@ def read_captures(spark: SparkSession, path: str, recursive: bool = True, range_
                 with _open(name) as f:
                     yield from _batched(_whole(f, name))
 
-    out = small.repartition(n, "path").mapInArrow(whole, _PACKET)
-    large = files.where((F.col("length") > range_bytes) & ~F.lower("path").endswith(".pcapng"))
+    out = small.select("path").mapInArrow(whole, _PACKET)
+    large = files.where("ranged").select("path", "length")
     if large.isEmpty():
         return out
     last = F.floor((F.col("length") - fr.FILE_HEADER - 1) / range_bytes)

@@ -107,14 +107,21 @@ def write_captures(packets: DataFrame, folder: str, captures: DataFrame | None =
     """
     packets.sparkSession.dataSource.register(PcapSink)
     part = F.floor((F.col("frame_no") - 1) / frames_per_file)
-    stem = F.regexp_replace(F.element_at(F.split("capture_id", "/"), -1), r"\.(pcap|pcapng|cap)$", "")
+    plain = F.regexp_replace(F.element_at(F.split("capture_id", "/"), -1), r"\.(pcap|pcapng|cap)$", "")
+    # captures of one name in several folders, or with several suffixes, are told apart by a digest of their full path
+    known = packets.select("capture_id").distinct()
+    if captures is not None:
+        known = known.union(captures.select("capture_id")).distinct()
+    clash = known.groupBy(plain.alias("plain")).agg(F.count("*").alias("n"), F.collect_list("capture_id").alias("ids")).where("n > 1").select(F.explode("ids").alias("capture_id"), F.lit(True).alias("__clash"))
+    stem = F.when(F.col("__clash"), F.concat(plain, F.lit("-"), F.substring(F.md5(F.col("capture_id").cast("binary")), 1, 8))).otherwise(plain)
+    packets = packets.join(clash, "capture_id", "left")
     have = {f.name for f in packets.schema.fields}
     opt = lambda c, t: F.col(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c)
     rows = packets.select(
         F.concat(stem, F.lit("_processed"), F.when(part > 0, F.concat(F.lit(".part"), part)).otherwise(""), F.lit(".pcap")).alias("file"),
         "frame_no", opt("linktype", "int"), opt("ts_us", "bigint"), opt("wire_len", "bigint"), "raw")
     if captures is not None:
-        empty = captures.select("capture_id").distinct().join(packets.select("capture_id").distinct(), "capture_id", "left_anti")
+        empty = captures.select("capture_id").distinct().join(packets.select("capture_id").distinct(), "capture_id", "left_anti").join(clash, "capture_id", "left")
         rows = rows.unionByName(empty.select(F.concat(stem, F.lit("_processed.pcap")).alias("file")), allowMissingColumns=True)
     ready = rows.repartition("file").sortWithinPartitions("file", "frame_no").drop("frame_no")
     ready.write.format("pcap_files").mode("append").option("path", folder).save()
