@@ -97,17 +97,10 @@ def _confirmed(percent: int):
     return run
 
 
-def _descend(level: DataFrame, sigs: DataFrame, depth: int, leaf: int, branches: float, comps: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame | None]:
-    """Candidate pairs of the nodes in ``level`` (path, fp) and below, and the rows of nodes still larger than ``leaf`` at the end.
-
-    With ``comps`` (node, comp) nodes within one component are left, since comparing them could add no component.
-    """
+def _descend(level: DataFrame, sigs: DataFrame, depth: int, leaf: int, branches: float) -> tuple[list[DataFrame], DataFrame | None]:
+    """Candidate pairs of the nodes in ``level`` (path, fp) and below, and the rows of nodes still larger than ``leaf`` at the end."""
     pairs = []
     for _ in range(depth):
-        if comps is not None:
-            level = level.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-            open_ = level.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("path")
-            level = level.select("path", "fp").join(open_, "path")
         level = written(level.distinct(), "nodes")
         sizes = level.groupBy("path").agg(F.count("*").alias("size"), F.min("fp").alias("least")).where("size > 1")
         sized = level.join(sizes, "path")
@@ -122,6 +115,32 @@ def _descend(level: DataFrame, sigs: DataFrame, depth: int, leaf: int, branches:
     return pairs, big.select("path", "fp")
 
 
+def _unsettled(level: DataFrame, sigs: DataFrame, comps: DataFrame, leaf: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """One more round for large nodes, of which comparing members of one component (``comps``: node, comp) could add nothing.
+
+    Members outside a node's largest component are strays. At most ``leaf`` of them are compared with every member of other components; of
+    more, each is linked to the smallest, and the node branches three levels on, so that components which are not alike part.
+    """
+    rows = level.distinct().join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("path", "fp", F.coalesce("comp", "fp").alias("comp"))
+    rows = written(rows, "unsettled")
+    parts = rows.groupBy("path", "comp").agg(F.count("*").alias("n"))
+    nodes = parts.groupBy("path").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+    open_ = written(rows.join(nodes, "path"), "open-nodes")
+    few, many = open_.where(F.col("strays") <= leaf), open_.where(F.col("strays") > leaf)
+    x = few.where("comp <> main").select("path", F.col("fp").alias("x"), F.col("comp").alias("cx"))
+    y = few.select("path", F.col("fp").alias("y"), F.col("comp").alias("cy"))
+    cross = x.join(y, "path").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    hubs = many.where("comp <> main").groupBy("path").agg(F.min("fp").alias("hub"))
+    stars = many.where("comp <> main").join(hubs, "path").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    pairs = [written(cross.unionAll(stars).distinct(), "pairs")]
+    if many.isEmpty():
+        return pairs, None
+    below = many.select("path", "fp")
+    for _ in range(3):
+        below = below.join(sigs, "fp").select("path", "fp", "sig").mapInArrow(_branch(1.15), "path long, fp binary")
+    return pairs, below
+
+
 def _links(pairs: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Sets are made again from one text of each member, and of no others."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps.select("fp", "tkey"), "fp").select("tkey")
@@ -154,18 +173,17 @@ def similar(texts: DataFrame, reps: DataFrame, percent: int, trees: int, branche
         comps = written(components(links), "components")
         of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
         apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        apart = written(apart.exceptAll(first) if first is not None else apart, "apart")
+        apart = written(apart.join(first, ["a", "b"], "left_anti") if first is not None else apart, "apart")
         if not apart.isEmpty():
             links = links.unionAll(_links(apart, texts, reps, percent))
             comps = written(components(links), "components")
         if large is None:
             return comps
-        # large nodes whose members are not all one component yet: branch on until none is left
-        more, large = _descend(large, sigs, 4 * depth, leaf, branches, comps)
+        more, large = _unsettled(large, sigs, comps, leaf)
         pairs, first = ruled(more), None
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 10, branches: float = 1.5, leaf: int = 24, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 10, branches: float = 1.4, leaf: int = 24, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id of all linked documents), kept (id = component_id).
 
     Texts are linked if 100 * shared shingles >= ``percent`` * all shingles. Null and empty texts have no shingle and are linked with
