@@ -9,6 +9,8 @@ chunk backtraces alone. A chunk starts anywhere. Shorter texts are one chunk, wh
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,19 +42,31 @@ class Codec:
         self.plain, self.bytes, self.fallback = vocab["plain"], vocab["bytes"], vocab["fallback"]
         self.text_of = {i: p.replace(SPACE, " ").encode() for p, (i, _) in self.plain.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.units, self.limit = {}, limit
+        # every beginning of a piece, so that no longer piece is tried where none goes on
+        self.scores = {}
+        for piece, (_, score) in self.plain.items():
+            for n in range(1, len(piece)):
+                self.scores.setdefault(piece[:n], NONE)
+            self.scores[piece] = score
+        # a character that no longer piece holds stands alone in every segmentation
+        joining = "".join(re.escape(c) for c in sorted({c for piece in self.plain if len(piece) > 1 for c in piece}))
+        self.parts = re.compile(f"[{joining}]+|[^{joining}]", re.DOTALL)
 
     @staticmethod
     def marked(text: str) -> str:
         return SPACE + text.replace(SPACE, OTHER).replace(" ", SPACE) if text else ""
 
-    def edges(self, s: str, p: int, low: int):
-        """(start, score) of the pieces of ``s`` that end at p and start at ``low`` or later, longest first."""
-        for start in range(max(low, p - WIDTH), p):
-            got = self.plain.get(s[start:p])
-            if got:
-                yield start, got[1]
-            elif start == p - 1:
-                yield start, self.fallback
+    def edges(self, s: str, start: int):
+        """(end, score) of the pieces of ``s`` that begin at ``start``, shortest first; a character without a piece has the fallback score."""
+        for end in range(start + 1, min(len(s), start + WIDTH) + 1):
+            score = self.scores.get(s[start:end])
+            if score is None or score == NONE:
+                if end == start + 1:
+                    yield end, self.fallback
+                if score is None:
+                    return
+            else:
+                yield end, score
 
     def ids_of(self, piece: str) -> list[int]:
         got = self.plain.get(piece)
@@ -62,16 +76,32 @@ class Codec:
 
     def solved(self, s: str, entry) -> tuple[list[float], list[int]]:
         """(best, start of the best last piece) at every position of ``s``, whose first len(entry) positions have the given values."""
-        best, back = list(entry), [-1] * len(entry)
-        for p in range(len(entry), len(s) + 1):
-            top, at = NONE, -1
-            for start, score in self.edges(s, p, 0):
-                if best[start] + score > top:
-                    top, at = best[start] + score, start
-            best.append(top)
-            back.append(at)
+        n, e, scores, fallback = len(s), len(entry), self.scores, self.fallback
+        best, back = list(entry) + [NONE] * (n + 1 - e), [-1] * (n + 1)
+        for start in range(n):
+            base = best[start]
+            if base == NONE:
+                continue
+            # as ``edges``, written out; starts ascend, so that of equal sums the longest last piece stays
+            for end in range(start + 1, min(n, start + WIDTH) + 1):
+                score = scores.get(s[start:end])
+                if end == start + 1 and (score is None or score == NONE):
+                    if end >= e and base + fallback > best[end]:
+                        best[end], back[end] = base + fallback, start
+                if score is None:
+                    break
+                if end >= e and base + score > best[end]:
+                    best[end], back[end] = base + score, start
         return best, back
 
+    @staticmethod
+    def entries(back: list[int], entries: int) -> list[int]:
+        """The entry position of the best path to every position."""
+        out = list(range(entries))
+        for p in range(entries, len(back)):
+            out.append(out[back[p]])
+        return out
+
     def traced(self, s: str, back: list[int], exit_: int, entries: int) -> tuple[int, list[int]]:
         """(entry position, ids) of the best path that ends at ``exit_``."""
         cuts = [exit_]
@@ -85,8 +115,13 @@ class Codec:
         if got is None:
             if len(self.units) >= self.limit:
                 self.units.clear()
-            _, back = self.solved(s, [0.0])
-            got = self.units[s] = self.traced(s, back, len(s), 1)[1]
+            parts = self.parts.findall(s)
+            if len(parts) > 1:
+                got = [i for part in parts for i in self.unit(part)]
+            else:
+                _, back = self.solved(s, [0.0])
+                got = self.traced(s, back, len(s), 1)[1]
+            self.units[s] = got
         return got
 
     def encode(self, text: str) -> list[int]:
@@ -108,12 +143,16 @@ class Codec:
         """The chunk s[lead:] as a matrix: entry positions (the WIDTH ones up to ``lead``) by exit positions (the last WIDTH)."""
         rows = np.full((len(s) + 1, WIDTH), NONE)
         rows[np.arange(lead - WIDTH + 1, lead + 1), np.arange(WIDTH)] = 0.0
-        p = lead + 1
-        while p <= len(s) and not (p - 1 > lead and s[p - 1] == SPACE and s[p - 2] != SPACE):
-            for start, score in self.edges(s, p, 0):
-                rows[p] = np.maximum(rows[p], rows[start] + score)
+        # a border of words, or a character that stands alone: all paths meet before it
+        p = lead + 2
+        while p <= len(s) and not ((s[p - 1] == SPACE and s[p - 2] != SPACE) or self.parts.fullmatch(s[p - 2 : p]) is None):
             p += 1
-        if p <= len(s):  # a border of words at p - 1: all paths meet there, and from it one value tells all
+        front = s[: p - 1]
+        for start in range(len(front)):
+            for end, score in self.edges(front, start):
+                if end > lead:
+                    rows[end] = np.maximum(rows[end], rows[start] + score)
+        if p <= len(s):  # from where all paths meet, one value tells all
             best, _ = self.solved(s[p - 1 :], [0.0])
             rows[p - 1 :] = np.array(best)[:, None] + rows[p - 1][None, :]
         return rows[len(s) - WIDTH + 1 :].T.copy()
@@ -170,8 +209,8 @@ def _giants(texts: DataFrame, vocab, chunk: int) -> DataFrame:
     def ways(codec, lead, body, state):
         s = whole(lead, body)
         best, back = codec.solved(s, np.frombuffer(state).tolist())
-        exits = range(len(s) - WIDTH + 1, len(s) + 1)
-        return np.array([codec.traced(s, back, e, WIDTH)[0] if best[e] > NONE else 0 for e in exits], np.int64).tobytes()
+        first = codec.entries(back, WIDTH)
+        return np.array([first[e] if best[e] > NONE else 0 for e in range(len(s) - WIDTH + 1, len(s) + 1)], np.int64).tobytes()
 
     def ids(codec, lead, body, state, exit_):
         s = whole(lead, body)
