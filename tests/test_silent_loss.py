@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wireloom.operators.dissect import dissect
 from wireloom.sources import framing
-from wireloom.sources.captures import read_captures
+from wireloom.sources.captures import list_captures, read_captures
 from wireloom.sources.sinks import write_captures
 
 IP4 = bytes.fromhex("4500002900010000400600000a0000010a000002") + bytes.fromhex("04d2005000000001000000005010000000000000") + b"S"
@@ -51,3 +51,9 @@ def test_equal_names_stay_apart(spark, tmp_path):
     write_captures(spark.createDataFrame(rows, "capture_id string, frame_no long, raw binary"), str(tmp_path / "out"))
     names = sorted(p.name for p in (tmp_path / "out").glob("*.pcap"))
     assert len(names) == 4 and "y_processed.pcap" in names and sum(n.startswith("x-") for n in names) == 3
+
+
+def test_suffixes_in_either_case_are_read(spark, tmp_path):
+    for name in ("a.PCAP", "b.Cap", "c.pcap"):
+        _file(tmp_path / name, [(1, 4, 4, b"data")])
+    assert list_captures(spark, str(tmp_path)).count() == 3 and read_captures(spark, str(tmp_path)).count() == 3

@@ -26,8 +26,10 @@ _RANGE_ITEM = T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.St
 
 
 def _files(spark: SparkSession, path: str, recursive: bool, extensions=EXTENSIONS) -> DataFrame:
+    # suffixes in either case
+    either = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
     return (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.{%s}" % ",".join(extensions))
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.{%s}" % ",".join(either))
         .option("recursiveFileLookup", str(recursive).lower()).load(path)
     )
 

@@ -107,7 +107,7 @@ def write_captures(packets: DataFrame, folder: str, captures: DataFrame | None =
     """
     packets.sparkSession.dataSource.register(PcapSink)
     part = F.floor((F.col("frame_no") - 1) / frames_per_file)
-    plain = F.regexp_replace(F.element_at(F.split("capture_id", "/"), -1), r"\.(pcap|pcapng|cap)$", "")
+    plain = F.regexp_replace(F.element_at(F.split("capture_id", "/"), -1), r"(?i)\.(pcap|pcapng|cap)$", "")
     # captures of one name in several folders, or with several suffixes, are told apart by a digest of their full path
     known = packets.select("capture_id").distinct()
     if captures is not None:
