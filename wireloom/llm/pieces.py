@@ -76,22 +76,26 @@ class Codec:
 
     def solved(self, s: str, entry) -> tuple[list[float], list[int]]:
         """(best, start of the best last piece) at every position of ``s``, whose first len(entry) positions have the given values."""
-        n, e, scores, fallback = len(s), len(entry), self.scores, self.fallback
+        n, e, get = len(s), len(entry), self.scores.get
         best, back = list(entry) + [NONE] * (n + 1 - e), [-1] * (n + 1)
         for start in range(n):
             base = best[start]
             if base == NONE:
                 continue
             # as ``edges``, written out; starts ascend, so that of equal sums the longest last piece stays
-            for end in range(start + 1, min(n, start + WIDTH) + 1):
-                score = scores.get(s[start:end])
-                if end == start + 1 and (score is None or score == NONE):
-                    if end >= e and base + fallback > best[end]:
-                        best[end], back[end] = base + fallback, start
+            end = start + 1
+            score = get(s[start])
+            total = base + (self.fallback if score is None or score == NONE else score)
+            while True:
+                if total > best[end] and end >= e:
+                    best[end], back[end] = total, start
+                if score is None or end == n:
+                    break
+                end += 1
+                score = get(s[start:end])
                 if score is None:
                     break
-                if end >= e and base + score > best[end]:
-                    best[end], back[end] = base + score, start
+                total = base + score
         return best, back
 
     @staticmethod
