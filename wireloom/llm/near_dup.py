@@ -8,6 +8,8 @@ branch on. Equal sets are one member throughout. Candidates that signatures do n
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,8 +21,6 @@ from wireloom.llm.store import written
 from wireloom.llm.words import WordHashes, mixed, shingles, words
 
 COORDS = 64
-#: Equal tokens of two signatures below which a pair is ruled out: at a similarity of 0.85 about one pair in 100,000 has fewer.
-ALIKE = 42
 BROADCAST_ROWS = 500_000
 _rng = np.random.default_rng(20)
 _XOR, _MUL = (_rng.integers(1, 2**63, COORDS, dtype=np.int64).astype(np.uint64) for _ in range(2))
@@ -36,6 +36,15 @@ def signature(s: np.ndarray) -> bytes:
     return (least >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
+def least_equal(percent: int) -> int:
+    """Equal tokens of two signatures below which a pair is ruled out: of pairs at exactly ``percent`` one in 10**12 has fewer."""
+    t, k, tail = percent / 100, 0, (1 - percent / 100) ** COORDS
+    while tail < 1e-12:
+        k += 1
+        tail += math.comb(COORDS, k) * t**k * (1 - t) ** (COORDS - k)
+    return k
+
+
 def _fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
@@ -76,12 +85,17 @@ def _branch(branches: float):
     return run
 
 
-def _alike(batches):
-    for b in batches:
-        if not len(b):
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, COORDS) for i in (2, 3))
-        yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= ALIKE))
+def _alike(percent: int):
+    least = least_equal(percent)
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, COORDS) for i in (2, 3))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -161,7 +175,7 @@ def similar(texts: DataFrame, reps: DataFrame, percent: int, trees: int, branche
         for p in pairs[1:]:
             many = many.unionAll(p)
         many = many.distinct().join(sigs.withColumnsRenamed({"fp": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"fp": "b", "sig": "y"}), "b")
-        return written(many.select("a", "b", "x", "y").mapInArrow(_alike, "a binary, b binary"), "alike")
+        return written(many.select("a", "b", "x", "y").mapInArrow(_alike(percent), "a binary, b binary"), "alike")
 
     roots = sigs.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(trees)).cast("array<bigint>"))).select("path", "fp", "sig")
     pairs, large = _descend(roots.mapInArrow(_branch(branches), "path long, fp binary"), sigs, depth, leaf, branches)
