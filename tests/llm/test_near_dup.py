@@ -67,6 +67,43 @@ def test_signature_cut_follows_percent():
     assert near_dup.least_equal(50) < near_dup.least_equal(80) < near_dup.least_equal(85) < 42
 
 
+def test_large_group_of_members_that_are_not_linked_with_its_smallest_one(spark, monkeypatch):
+    """Texts of one template at 0.7 to 0.8 of each other, two by two at 0.9: every node is large, and no member but one has the smallest as its pair."""
+    import random
+
+    rnd = random.Random(5)
+    base, texts = [f"t{i}" for i in range(300)], []
+    for k in range(150):
+        own = list(base)
+        for at in rnd.sample(range(0, 300, 6), 6):
+            own[at] = f"k{k}x{at}"
+        texts.append(" ".join(own))
+        own[rnd.choice(range(1, 299, 6))] = f"k{k}y"
+        texts.append(" ".join(own))
+    monkeypatch.setattr(near_dup, "TILE", 64)
+    got = check(documents(spark, texts))
+    assert len({g[2] for g in got}) > 24
+
+
+def test_tile_joins_what_all_links_join():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for _ in range(20):
+        linked = rnd.random((30, 40)) < 0.04
+        pairs = list(near_dup._forest(linked))
+        assert all(linked[p] for p in pairs)
+
+        def joined(edges):
+            up = list(range(70))
+            for _ in range(70):
+                for i, j in edges:
+                    up[i] = up[30 + j] = min(up[i], up[30 + j])
+            return up
+
+        assert joined(pairs) == joined(list(zip(*np.nonzero(linked), strict=True)))
+
+
 def test_components(spark):
     import random
 

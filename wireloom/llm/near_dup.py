@@ -1,9 +1,9 @@
-"""Near duplicates by chosen-path similarity join over 5-word shingle sets.
+"""Near duplicates by an exact prefix join over 5-word shingle sets.
 
-Each text's set has a signature of COORDS minwise tokens. In each of ``trees`` independent trees all sets start at the root; at a node every
-set picks tokens of its own by a hash of (node, token), some ``branches`` of them, and goes to one child per picked token, so that similar sets
-share children. Nodes of at most ``leaf`` sets are compared exhaustively. Larger nodes link their members to the node's smallest one and
-branch on. Equal sets are one member throughout. Candidates that signatures do not rule out are confirmed on the full sets.
+Under a common order of all shingles, two sets that are similar enough share one of their first few (``_prefix``), so every such pair meets in
+the node of some shingle. Nodes of at most ``leaf`` sets are compared exhaustively. Larger nodes link their members to the node's smallest
+one; members that this leaves outside the node's largest component are compared with all others, block by block. Equal sets are one member
+throughout. Candidates that signatures do not rule out are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 
 from wireloom.llm.graph import components
 from wireloom.llm.store import written
-from wireloom.llm.words import WordHashes, mixed, shingles, words
+from wireloom.llm.words import WordHashes, shingles, words
 
 COORDS = 64
 BROADCAST_ROWS = 500_000
+SAMPLE = 20  # one text in so many is read for the frequencies
+FREQUENT = 1_000_000
+TILE = 2048  # members of a block, or 128 times as many shingles
+COLUMNS = 1024
 _rng = np.random.default_rng(20)
 _XOR, _MUL = (_rng.integers(1, 2**63, COORDS, dtype=np.int64).astype(np.uint64) for _ in range(2))
 _MUL |= np.uint64(1)
@@ -49,40 +53,59 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _summary(batches):
+def _summary(percent: int, shared):
+    def run(batches):
+        frequent, counts = shared.value
+        for b in _sliced(batches):
+            sets = [shingles(_hashes.of(words(t)), 5) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()),
+                    pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array([_prefix(s, percent, frequent, counts).tobytes() if len(s) else None for s in sets], pa.binary()),
+                ],
+                ["id", "tkey", "n", "fp", "sig", "prefix"],
+            )
+
+    return run
+
+
+def _sliced(batches):
+    """Few rows at a time, so that the sets of a batch need little memory."""
     for b in batches:
-        sets = [shingles(_hashes.of(words(t)), 5) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()),
-                pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
-            ],
-            ["id", "tkey", "n", "fp", "sig"],
-        )
+        for at in range(0, len(b), 256):
+            yield b.slice(at, 256)
 
 
 def _full(batches):
-    for b in batches:
+    for b in _sliced(batches):
         sets = [shingles(_hashes.of(words(t)), 5) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "grams"])
 
 
-def _branch(branches: float):
-    """(path, fp, sig) -> (path of a child, fp) for each picked token."""
-    limit = np.uint64(int(branches / COORDS * 2**64))
-    lanes = np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+def _tokens(batches):
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(_hashes.of(words(t)), 5).view(np.int64))], ["token"])
 
-    def run(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            path = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, COORDS).astype(np.uint64)
-            child = mixed(mixed(path)[:, None] + lanes[None, :] ^ sig)
-            row, lane = np.nonzero(mixed(child + np.uint64(1)) < limit)
-            yield pa.RecordBatch.from_arrays([pa.array(child[row, lane].view(np.int64)), b.column(1).take(pa.array(row))], ["path", "fp"])
 
-    return run
+def _prefix(s: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set of which one is shared with every set that is similar enough: by a common order, all but the last that both may lack.
+
+    The order is by frequency as far as it is known, then by hash; which order it is decides the cost alone.
+    """
+    k = len(s) - (percent * len(s) + 99) // 100 + 1
+    if not len(frequent):
+        return s[:k]
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    return s[np.argsort(np.where(frequent[at] == s, counts[at], 0), kind="stable")[:k]]
+
+
+def _entries(batches):
+    """(fp, prefix, n) -> one row for each shingle of the prefix."""
+    for b in batches:
+        many = b.column(1).to_pylist()
+        row = np.repeat(np.arange(len(many)), [len(x) // 8 for x in many])
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(many), np.int64)), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row))], ["token", "fp", "n"])
 
 
 def _alike(percent: int):
@@ -100,7 +123,7 @@ def _alike(percent: int):
 
 def _confirmed(percent: int):
     def run(batches):
-        for b in batches:
+        for b in _sliced(batches):
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -111,93 +134,175 @@ def _confirmed(percent: int):
     return run
 
 
-def _descend(level: DataFrame, sigs: DataFrame, depth: int, leaf: int, branches: float) -> tuple[list[DataFrame], DataFrame | None]:
-    """Candidate pairs of the nodes in ``level`` (path, fp) and below, and the rows of nodes still larger than ``leaf`` at the end."""
-    pairs = []
-    for _ in range(depth):
-        level = written(level.distinct(), "nodes")
-        sizes = level.groupBy("path").agg(F.count("*").alias("size"), F.min("fp").alias("least")).where("size > 1")
-        sized = level.join(sizes, "path")
-        few = sized.where(F.col("size") <= leaf).groupBy("path").agg(F.collect_set("fp").alias("m"))
-        every = few.select(F.explode(F.expr("flatten(transform(m, x -> transform(filter(m, y -> y > x), y -> struct(x as a, y as b))))")).alias("p")).select("p.*")
-        big = written(sized.where(F.col("size") > leaf).select("path", "fp", "least"), "large-nodes")
-        stars = big.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-        pairs.append(written(every.unionAll(stars).distinct(), "pairs"))
-        if big.isEmpty():
-            return pairs, None
-        level = big.select("path", "fp").join(sigs, "fp").select("path", "fp", "sig").mapInArrow(_branch(branches), "path long, fp binary")
-    return pairs, big.select("path", "fp")
-
-
-def _unsettled(level: DataFrame, sigs: DataFrame, comps: DataFrame, leaf: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """One more round for large nodes, of which comparing members of one component (``comps``: node, comp) could add nothing.
-
-    Members outside a node's largest component are strays. At most ``leaf`` of them are compared with every member of other components; of
-    more, each is linked to the smallest, and the node branches three levels on, so that components which are not alike part.
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of shared shingles of the sets ``left`` and ``right``, as a matrix. Shingles of one set alone add nothing and are left out."""
+    row, tokens = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    _, column, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    row, column = row[counts[column] > 1], place[column[counts[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int((counts > 1).sum()), COLUMNS):
+        i, j = np.searchsorted(column, (at, at + COLUMNS))
+        some = np.zeros((len(sets), COLUMNS), np.float32)
+        some[row[i:j], column[i:j] - at] = 1
+        out += some[left] @ some[right].T
+    return out
+
+
+def _forest(linked: np.ndarray):
+    """Pairs (row, column) that join what ``linked`` joins, and no more than one for each row and column."""
+    fresh_x, fresh_y = np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool)
+    for start in np.flatnonzero(linked.any(axis=1)):
+        todo = [(start, True)] if fresh_x[start] else []
+        fresh_x[start] = False
+        while todo:
+            at, is_row = todo.pop()
+            fresh = fresh_y if is_row else fresh_x
+            found = np.flatnonzero((linked[at] if is_row else linked[:, at]) & fresh)
+            fresh[found] = False
+            for k in found.tolist():
+                yield (at, k) if is_row else (k, at)
+                todo.append((k, not is_row))
+
+
+def _tile(percent: int):
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        """The links of strays ``x`` with members ``y`` of other components, or as many of them as join the same."""
+        both = dict(zip(x.column("fp").to_pylist() + y.column("fp").to_pylist(), x.column("grams").to_pylist() + y.column("grams").to_pylist(), strict=True))
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        place = {fp: k for k, fp in enumerate(both)}
+        sets = [np.frombuffer(g, np.uint64) for g in both.values()]
+        fx, fy = x.column("fp").to_pylist(), y.column("fp").to_pylist()
+        left, right = np.array([place[f] for f in fx]), np.array([place[f] for f in fy])
+        size = np.array([len(s) for s in sets])
+        shared = _shared(sets, left, right).astype(np.int64)
+        comp = {c: k for k, c in enumerate({*x.column("comp").to_pylist(), *y.column("comp").to_pylist()})}
+        cx, cy = (np.array([comp[c] for c in t.column("comp").to_pylist()]) for t in (x, y))
+        linked = (100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)) & (cx[:, None] != cy[None, :])
+        pairs = [sorted((fx[i], fy[j])) for i, j in _forest(linked)]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return run
+
+
+def _open(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of nodes that hold more than one component (``comps``: node, comp), with the node's largest one and its number of strays.
+
+    Strays are members outside the largest component. Of nodes with the same members one is left.
     """
-    rows = level.distinct().join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("path", "fp", F.coalesce("comp", "fp").alias("comp"))
+    rows = large.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("comp", "fp").alias("comp"))
     rows = written(rows, "unsettled")
-    parts = rows.groupBy("path", "comp").agg(F.count("*").alias("n"))
-    nodes = parts.groupBy("path").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
-    open_ = written(rows.join(nodes, "path"), "open-nodes")
-    few, many = open_.where(F.col("strays") <= leaf), open_.where(F.col("strays") > leaf)
-    x = few.where("comp <> main").select("path", F.col("fp").alias("x"), F.col("comp").alias("cx"))
-    y = few.select("path", F.col("fp").alias("y"), F.col("comp").alias("cy"))
-    cross = x.join(y, "path").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    hubs = many.where("comp <> main").groupBy("path").agg(F.min("fp").alias("hub"))
-    stars = many.where("comp <> main").join(hubs, "path").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
-    pairs = [written(cross.unionAll(stars).distinct(), "pairs")]
-    if many.isEmpty():
-        return pairs, None
-    below = many.select("path", "fp")
-    for _ in range(3):
-        below = below.join(sigs, "fp").select("path", "fp", "sig").mapInArrow(_branch(1.15), "path long, fp binary")
-    return pairs, below
+    parts = rows.groupBy("token", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("grams"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
+    nodes = parts.groupBy("token").agg(
+        F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"), (F.sum("m") - F.max("m")).alias("strays"), F.sum("grams").alias("grams"), F.sum("x").alias("x"), F.bit_xor("y").alias("y")
+    )
+    nodes = nodes.where("strays > 0").groupBy("m", "x", "y").agg(F.min_by(F.struct("token", "main", "strays", "grams"), "token").alias("node")).select("m", "node.*")
+    return written(rows.join(nodes, "token"), "open-nodes")
+
+
+def _near(open_: DataFrame, leaf: int) -> DataFrame:
+    """Pairs of all strays with all members of other components in nodes of at most ``leaf`` strays; one pair for each stray of other nodes."""
+    few, many = open_.where(F.col("strays") <= leaf), open_.where((F.col("strays") > leaf) & (F.col("comp") != F.col("main")))
+    x = few.where("comp <> main").select("token", F.col("fp").alias("x"), F.col("comp").alias("cx"))
+    y = few.select("token", F.col("fp").alias("y"), F.col("comp").alias("cy"))
+    cross = x.join(y, "token").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    hubs = many.groupBy("token").agg(F.min("fp").alias("hub"))
+    return cross.unionAll(many.join(hubs, "token").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))).distinct()
+
+
+def _tiled(open_: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The links of all strays with all members of other components, block by block; blocks are bounded by members and by shingles."""
+    sets = _sets(open_.select("fp").distinct(), texts, reps)
+    rows = open_.withColumn("parts", F.ceil(F.greatest(F.col("m") / TILE, F.col("grams") / (TILE * 128))).cast("int")).drop("grams").join(sets, "fp")
+    block, every = F.expr("cast(pmod(xxhash64(fp), parts) as int)"), F.explode(F.expr("sequence(0, parts - 1)"))
+    x = rows.where("comp <> main").withColumn("i", block).withColumn("j", every)
+    y = rows.withColumn("j", block).withColumn("i", every)
+    x = x.select("token", "i", "j", "fp", "comp", "grams")
+    y = y.select(*(F.col(c).alias(f"{c}_y") for c in ("token", "i", "j")), "fp", "comp", "grams").toDF("token_y", "i_y", "j_y", "fp", "comp", "grams")
+    pairs = x.groupBy("token", "i", "j").cogroup(y.groupBy("token_y", "i_y", "j_y")).applyInArrow(_tile(percent), "a binary, b binary")
+    return written(pairs.distinct(), "links")
+
+
+def _sets(members: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(fp, grams) of the members, made again from one text of each."""
+    members = written(members.join(reps.select("fp", "tkey"), "fp").select("tkey"), "members")
+    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    sets = texts.join(members, "tkey", "left_semi").select("text").mapInArrow(_full, "fp binary, grams binary").groupBy("fp").agg(F.first("grams").alias("grams"))
+    return written(sets, "sets")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Sets are made again from one text of each member, and of no others."""
-    members = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps.select("fp", "tkey"), "fp").select("tkey")
-    members = written(members, "members")
-    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    sets = texts.join(members, "tkey", "left_semi").select("text").mapInArrow(_full, "fp binary, grams binary").groupBy("fp").agg(F.first("grams").alias("grams"))
-    sets = written(sets, "sets")
+    """The pairs (a, b) whose full sets are similar enough."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), texts, reps)
     left, right = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a binary, b binary"), "links")
 
 
-def similar(texts: DataFrame, reps: DataFrame, percent: int, trees: int, branches: float, leaf: int, depth: int) -> DataFrame:
+def similar(texts: DataFrame, reps: DataFrame, percent: int, leaf: int) -> DataFrame:
     """(node, comp) of the members linked with any other."""
     sigs = reps.select("fp", "sig")
 
-    def ruled(pairs: list[DataFrame]) -> DataFrame:
-        many = pairs[0]
-        for p in pairs[1:]:
-            many = many.unionAll(p)
-        many = many.distinct().join(sigs.withColumnsRenamed({"fp": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"fp": "b", "sig": "y"}), "b")
-        return written(many.select("a", "b", "x", "y").mapInArrow(_alike(percent), "a binary, b binary"), "alike")
+    def ruled(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sigs.withColumnsRenamed({"fp": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"fp": "b", "sig": "y"}), "b")
+        return written(pairs.select("a", "b", "x", "y").mapInArrow(_alike(percent), "a binary, b binary"), "alike")
 
-    roots = sigs.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(trees)).cast("array<bigint>"))).select("path", "fp", "sig")
-    pairs, large = _descend(roots.mapInArrow(_branch(branches), "path long, fp binary"), sigs, depth, leaf, branches)
-    pairs = ruled(pairs)
+    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    level = written(reps.select("fp", "prefix", "n").mapInArrow(_entries, "token long, fp binary, n long"), "nodes")
+    sizes = level.groupBy("token").agg(F.count("*").alias("size"), F.min("fp").alias("least")).where("size > 1")
+    sized = written(level.join(sizes, "token"), "sized-nodes")
+    few = sized.where(F.col("size") <= leaf).groupBy("token").agg(F.collect_list(F.struct("fp", "n")).alias("m"))
+    fits = f"y.fp > x.fp and {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
+    every = few.select(F.explode(F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> {fits}), y -> struct(x.fp as a, y.fp as b))))")).alias("p")).select("p.*")
+    large = sized.where(F.col("size") > leaf).select("token", "fp", "n", "least")
+    stars = large.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    pairs = ruled(every.unionAll(stars).distinct())
     # first one pair of each member, then only pairs that these links have not joined already
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _links(first, texts, reps, percent)
-    while True:
+    comps = written(components(links), "components")
+    rest = written(apart(pairs, comps).join(first, ["a", "b"], "left_anti"), "apart")
+    if not rest.isEmpty():
+        links = links.unionAll(_links(rest, texts, reps, percent))
         comps = written(components(links), "components")
-        of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        apart = written(apart.join(first, ["a", "b"], "left_anti") if first is not None else apart, "apart")
-        if not apart.isEmpty():
-            links = links.unionAll(_links(apart, texts, reps, percent))
-            comps = written(components(links), "components")
-        if large is None:
-            return comps
-        more, large = _unsettled(large, sigs, comps, leaf)
-        pairs, first = ruled(more), None
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 10, branches: float = 1.4, leaf: int = 24, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    # large nodes: what the links to one member have not joined is compared in full
+    large = large.select("token", "fp", "n")
+    open_ = _open(large, comps)
+    if open_.isEmpty():
+        return comps
+    rest = written(apart(ruled(_near(open_, leaf)), comps), "apart")
+    if not rest.isEmpty():
+        links = links.unionAll(_links(rest, texts, reps, percent))
+        comps = written(components(links), "components")
+    open_ = _open(open_.where(F.col("strays") > leaf).select("token", "fp", "n"), comps)
+    if open_.isEmpty():
+        return comps
+    return written(components(links.unionAll(_tiled(open_, texts, reps, percent))), "components")
+
+
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of a sample of texts hold, sorted, and how many. They order the sets' shingles and decide the cost alone."""
+    tokens = texts.where(F.crc32(F.col("tkey").cast("binary")) % SAMPLE == 0).select("text").mapInArrow(_tokens, "token long")
+    counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n >= 5"), "frequent")
+    sizes = sorted(map(tuple, counts.groupBy("n").agg(F.count("*")).collect()), reverse=True)
+    least, rows = 2**62, 0
+    for n, k in sizes:
+        rows += k
+        if rows > FREQUENT:
+            break
+        least = n
+    got = counts.where(F.col("n") >= least).toArrow()
+    tokens, n = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, leaf: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id of all linked documents), kept (id = component_id).
 
     Texts are linked if 100 * shared shingles >= ``percent`` * all shingles. Null and empty texts have no shingle and are linked with
@@ -206,9 +311,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 10, branche
     """
     texts = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("tkey"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(texts.select("id", "tkey", "text").mapInArrow(_summary, f"id {kind}, tkey string, n long, fp binary, sig binary"), "signatures")
-    reps = written(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("tkey").alias("tkey"), F.first("sig").alias("sig")), "members")
-    comps = similar(texts, reps, percent, trees, branches, leaf, depth)
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
+    rows = written(texts.select("id", "tkey", "text").mapInArrow(_summary(percent, shared), f"id {kind}, tkey string, n long, fp binary, sig binary, prefix binary"), "signatures")
+    reps = written(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("tkey").alias("tkey"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"), F.first("n").alias("n")), "members")
+    comps = similar(texts, reps, percent, leaf)
     placed = reps.select("fp", "id").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     least = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
     placed = placed.join(least, "comp").select("fp", "component_id")
