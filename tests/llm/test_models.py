@@ -53,3 +53,14 @@ def test_next_byte_probabilities_sum_to_one(spark):
     for ctx in (b"e the", b"\n\n\n\n\n", b"zzzzz", b" ing "):
         runs = np.array([int.from_bytes(ctx + bytes([s]), "big") for s in range(256)], np.int64)
         assert abs((10 ** suffix_tree.log10_next(runs, m.states, m.entries)).sum() - 1) < 1e-9
+
+
+def test_all_contexts_that_pass_stay_and_a_joined_tree_scores_alike(spark):
+    """A tree too large to be sent to every task is joined, not cut."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sent, joined = suffix_tree.train(docs, gain=1.0), suffix_tree.train(docs, gain=1.0, entries=0)
+    assert sent.deeper is None and joined.deeper is not None
+    assert len(joined.entries[0]) + joined.deeper.count() == len(sent.entries[0])
+    for df in (docs, awkward(spark)):
+        a, b = (sorted(((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree.score(df, m).collect()), key=str) for m in (sent, joined))
+        assert a == b

@@ -106,17 +106,33 @@ def _gather(batches):
 
 
 class Model:
-    """What scoring needs of a training corpus: word counts (a table, and its most frequent rows), totals, and the tree."""
+    """What scoring needs of a training corpus: word counts (a table, and its most frequent rows), totals, and the tree.
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, frequent: dict[int, int], states: tuple, entries: tuple):
-        self.counts, self.total, self.distinct, self.frequent, self.states, self.entries = counts, total, distinct, frequent, states, entries
+    Of a tree too large to send to every task, ``states`` and ``entries`` hold the contexts of one byte at most and ``deeper`` (code, n) is a
+    table of the others.
+    """
+
+    def __init__(self, counts: DataFrame, total: int, distinct: int, frequent: dict[int, int], states: tuple, entries: tuple, deeper: DataFrame | None = None):
+        self.counts, self.total, self.distinct, self.frequent, self.states, self.entries, self.deeper = counts, total, distinct, frequent, states, entries, deeper
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gain: float = 12.0, least: int = 20, states: int = 60_000, frequent: int = 200_000) -> Model:
+def _arrays(code: np.ndarray, n: np.ndarray) -> tuple[tuple, tuple]:
+    """The states (context, sum, number of bytes) and entries (context and byte, count) of a tree, both sorted."""
+    order = np.argsort(code)
+    code, n = code[order], n[order].astype(np.float64)
+    node = code >> 8
+    if not len(node):
+        return (node, n, n), (code, n)
+    first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    return (node[first], np.add.reduceat(n, first), np.diff(np.append(first, len(node))).astype(np.float64)), (code, n)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gain: float = 12.0, least: int = 20, entries: int = 3_000_000, frequent: int = 200_000) -> Model:
     """Learns from every row outside the held-out part (a null id counts as the empty text).
 
-    Contexts seen fewer than ``least`` times are not tested. ``states`` bounds the tree (the contexts that diverge most, and all suffixes of theirs), ``frequent`` the word counts that are sent to
-    every task; counts of all other words are joined, so neither bound changes a base score.
+    Contexts seen fewer than ``least`` times are not tested; all that pass the test stay, with their suffixes. ``entries`` bounds the tree and
+    ``frequent`` the word counts that are sent to every task; a larger tree and the counts of all other words are joined, so neither bound
+    changes a score.
     """
     learn = docs.where(fold(id_col, 7) != 2).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = learn.mapInArrow(_gather, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -144,22 +160,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gain:
         .select("depth", "ctx", F.expr("aggregate(next, 0D, (s, x) -> s + x.n * ln((x.n / n) / (before[x.sym] / pn)))").alias("gain"))
         .where(F.col("gain") > gain)
     )
-    chosen = gained.orderBy(F.desc("gain"), "depth", "ctx").limit(states)
-    closed = chosen.select(F.explode(F.expr("transform(sequence(0, depth), d -> named_struct('depth', d, 'ctx', ctx & ((1L << (8 * d)) - 1)))")).alias("s")).select("s.*")
+    closed = gained.select(F.explode(F.expr("transform(sequence(0, depth), d -> named_struct('depth', d, 'ctx', ctx & ((1L << (8 * d)) - 1)))")).alias("s")).select("s.*")
     closed = closed.union(of.sparkSession.range(1).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ctx"))).distinct()
-    kept = of.join(F.broadcast(closed), ["depth", "ctx"])  # at most states * (DEPTH + 1) rows
-    kept = kept.select("depth", "ctx", F.explode("next").alias("x")).select(F.expr("((depth * (1L << 48) + ctx) << 8) + x.sym").alias("code"), "x.n")
-    got = kept.toArrow()
-    code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-    order = np.argsort(code)
-    code, n = code[order], n[order].astype(np.float64)
-    node = code >> 8
-    if len(node):
-        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        tree = (node[first], np.add.reduceat(n, first), np.diff(np.append(first, len(node))).astype(np.float64))
-    else:
-        tree = (node, n, n)
-    return Model(of_words, int(total), int(distinct), dict(zip(hs.tolist(), ns.tolist(), strict=True)), tree, (code, n))
+    kept = of.join(closed, ["depth", "ctx"])
+    kept = written(kept.select("depth", "ctx", F.explode("next").alias("x")).select(F.expr("((depth * (1L << 48) + ctx) << 8) + x.sym").alias("code"), "x.n"), "lm-tree")
+    deeper = kept.where(f"code >= {2 << 56}") if kept.count() > entries else None
+    got = (kept if deeper is None else kept.where(f"code < {2 << 56}")).toArrow()
+    tree = _arrays(got.column("code").to_numpy(), got.column("n").to_numpy())
+    return Model(of_words, int(total), int(distinct), dict(zip(hs.tolist(), ns.tolist(), strict=True)), *tree, deeper)
 
 
 def _find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -242,6 +250,33 @@ class _Known(dict):
         return c
 
 
+def _joined(runs: DataFrame, model: Model) -> DataFrame:
+    """(r, lp) of each distinct run; runs and contexts meet by the last two bytes of the context."""
+    top = runs.sparkSession.sparkContext.broadcast(model.entries)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        k, code, n = x.column("r").to_numpy(), y.column("code").to_numpy(), y.column("n").to_numpy()
+        lp = log10_next(k, *_arrays(np.concatenate((top.value[0], code)), np.concatenate((top.value[1], n)))) if len(k) else np.empty(0)
+        return pa.table({"r": pa.array(k, pa.int64()), "lp": pa.array(lp, pa.float64())})
+
+    x = runs.select("r").distinct().withColumn("x", F.expr("(r >> 8) & 65535"))
+    y = model.deeper.withColumn("y", F.expr("(code >> 8) & 65535"))
+    return x.groupBy("x").cogroup(y.groupBy("y")).applyInArrow(run, "r long, lp double")
+
+
+def _run_rows(rid: list, texts: list, kind: pa.DataType):
+    """The distinct runs of each text and their numbers, as rows of ``score``; long texts go chunk by chunk."""
+    for row, text in zip(rid, texts, strict=True):
+        stream = _stream(words(text))
+        for at in range(0, len(stream) - DEPTH, CHUNK):
+            k, n = _counted(_runs(stream[at : at + CHUNK + DEPTH]))
+            none = pa.nulls(len(k), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(k), row)), pa.nulls(len(k), kind), pa.nulls(len(k), pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(k), pa.int64()), none, none, pa.array(k)],
+                ["rid", "i", "h", "n", "k", "s", "p", "r"],
+            )
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
@@ -249,7 +284,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     empty training part leaves uniform probabilities. Other columns are ignored.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.frequent, model.states, model.entries))
+    shared, whole = spark.sparkContext.broadcast((model.frequent, model.states, model.entries)), model.deeper is None
 
     def run(batches):
         frequent, states, entries = shared.value
@@ -257,6 +292,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             rid, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
             own, streams, rare = [], [], ([], [], [])
+            if not whole:
+                yield from _run_rows(rid, texts, b.column(1).type)
             for r, text in zip(rid, texts, strict=True):
                 ws = words(text)
                 streams.append(_stream(ws))
@@ -273,20 +310,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 [
                     pa.array(rid + rare[0], pa.int64()), pa.concat_arrays([b.column(1), pa.nulls(len(none), b.column(1).type)]),
                     pa.array([None] * len(rid) + rare[1], pa.int64()), pa.array(n + rare[2], pa.int64()),
-                    pa.array(k + none, pa.int64()), pa.array(s + none, pa.float64()), pa.concat_arrays([pa.array(tree.texts(streams), pa.float64()), pa.nulls(len(none), pa.float64())]),
+                    pa.array(k + none, pa.int64()), pa.array(s + none, pa.float64()), pa.concat_arrays([pa.array(tree.texts(streams) if whole else np.zeros(len(streams)), pa.float64()), pa.nulls(len(none), pa.float64())]),
+                    pa.nulls(len(rid) + len(none), pa.int64()),
                 ],
-                ["rid", "i", "h", "n", "k", "s", "p"],
+                ["rid", "i", "h", "n", "k", "s", "p", "r"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id(), F.col(id_col), F.col(text_col)).mapInArrow(run, f"rid long, i {kind}, h long, n long, k long, s double, p double")
+    rows = docs.select(F.monotonically_increasing_id(), F.col(id_col), F.col(text_col)).mapInArrow(run, f"rid long, i {kind}, h long, n long, k long, s double, p double, r long")
     rows = written(rows, "lm-scores")  # after this a row's number is fixed
     rare = rows.where("h is not null").select("rid", "h", "n")
     counts = model.counts.withColumnRenamed("n", "c")
     rest = rare.join(counts, "h").groupBy("rid").agg(F.sum("n").alias("more_k"), F.sum(F.expr("n * log10(c + 1D)")).alias("more_s"))
     below = float(np.log10(model.total + model.distinct + 1))
+    texts = rows.where("h is null and r is null")
+    if not whole:
+        runs = rows.where("r is not null").select("rid", "r", "n")
+        sums = runs.join(written(_joined(runs, model), "lm-runs"), "r").groupBy("rid").agg(F.sum(F.expr("n * lp")).alias("more_p"))
+        texts = texts.join(sums, "rid", "left").withColumn("p", F.coalesce("more_p", "p"))
     return (
-        rows.where("h is null").join(rest, "rid", "left")
+        texts.join(rest, "rid", "left")
         .select(
             F.col("i").alias(id_col), (fold("i", 7) == 2).alias("held_out"), F.col("n").alias("n_tokens"), F.expr("k + coalesce(more_k, 0)").alias("n_known"),
             F.lit(model.total).cast("long").alias("train_tokens"), (F.expr("s + coalesce(more_s, 0D)") - F.col("n") * F.lit(below)).alias("base_score"),
