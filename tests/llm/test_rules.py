@@ -40,6 +40,13 @@ def test_awkward_rows_and_clashing_names(spark):
     check(clashing(awkward(spark)))
 
 
+def test_lines_of_the_letter_f_and_of_form_feeds(spark):
+    """A SQL literal reads a backslash before f as the letter alone."""
+    texts = ["ff\nff\nfine", "\f\n\f\nfine"]
+    check(documents(spark, texts))
+    assert [(r.n_lines, r.n_dup_lines) for r in rules.measured(documents(spark, texts)).orderBy("id").collect()] == [(3, 1), (1, 0)]
+
+
 def test_empty_table(spark):
     assert rules.rules(documents(spark, []).limit(0)).count() == 0
 

@@ -42,7 +42,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Counts that the rules read, one row per document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    lines = F.expr(rf"filter(split(t, '\n', -1), x -> x rlike '[^ \t\n\u000B\f\r]')")
+    lines = F.expr(rf"filter(split(t, '\n', -1), x -> x rlike '[^ \t\n\u000B\u000C\r]')")
     split = base.withColumn("ws", F.filter(F.split("t", BLANK + "+", -1), lambda w: w != "")).withColumn("ls", lines)
     return split.select(
         "id",
