@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a local master without one (a test) gets a temporary folder."""
+    """The session's checkpoint folder. Only a local master without one (a test) gets a temporary folder, one for each application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="wireloom-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="wireloom-llm-")
+    return _own[sc.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -27,7 +31,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made, once nothing reads them any more."""
+    for table in tables:
+        remove(table.sparkSession, table.written_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, through the file system that Spark itself uses."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
