@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wireloom.llm import centroids, contamination, near_dup, pieces, pii, quality, rules, secrets, suffix, suffix_tree, toxicity
-from wireloom.llm.sql import centroid_rounds
+from wireloom.llm import centroids, contamination, near_dup, pieces, pii, quality, rules, secrets, suffix, suffix_tree, toxicity, trie
+from wireloom.llm.sql import CONVERSATION_TRIE, centroid_rounds
 from wireloom.llm.store import documents_of
 from wireloom.session import ship
 
@@ -74,11 +74,16 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet")))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return trie.conversation_trie(spark.read.parquet(os.path.join(sf_dir, "conversations.parquet")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_secrets, op3_repeated_passages, op4_quality_rules, op5_toxicity, op6_contamination, op7_surrogates, op8_pieces, op9_suffix_tree, op10_quality,
-        op11_centroids,
+        op11_centroids, op13_trie,
     )
 }
 
@@ -97,6 +102,7 @@ comps AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(len(s.g), 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN sets s USING (doc_id) JOIN comps c ON c.doc_id = d.doc_id""",
     "op11_centroids": centroid_rounds(),
+    "op13_trie": CONVERSATION_TRIE,
     "op6_contamination": f"""
 WITH docs AS {_GRAMS.format(id="doc_id", words=_WORDS, table="documents")}, items AS {_GRAMS.format(id="item_id", words=_WORDS, table="benchmark")},
 d AS (SELECT doc_id, unnest(g) AS x FROM docs), i AS (SELECT item_id, len(g) AS n_item, unnest(g) AS x FROM items)
