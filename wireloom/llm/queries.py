@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wireloom.llm import centroids, contamination, near_dup, pieces, pii, quality, rules, secrets, suffix, suffix_tree, toxicity, trie
+from wireloom.llm import centroids, contamination, extract, near_dup, pieces, pii, quality, rules, secrets, suffix, suffix_tree, toxicity, trie
 from wireloom.llm.sql import CONVERSATION_TRIE, centroid_rounds
 from wireloom.llm.store import documents_of
 from wireloom.session import ship
@@ -74,6 +74,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet")))
 
 
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    pages = spark.read.parquet(os.path.join(sf_dir, "pages.parquet"))
+    return extract.extracted(pages, extract.train(pages))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return trie.conversation_trie(spark.read.parquet(os.path.join(sf_dir, "conversations.parquet")))
@@ -83,7 +89,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_secrets, op3_repeated_passages, op4_quality_rules, op5_toxicity, op6_contamination, op7_surrogates, op8_pieces, op9_suffix_tree, op10_quality,
-        op11_centroids, op13_trie,
+        op11_centroids, op12_extraction, op13_trie,
     )
 }
 
