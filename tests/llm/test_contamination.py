@@ -49,3 +49,12 @@ def test_empty_tables(spark):
     assert C.contamination(docs, items).count() == 0 and C.without_items(docs, items).count() == 0
     assert C.contamination(awkward(spark), items.limit(0)).count() == 0
     assert C.without_items(awkward(spark), items.limit(0)).count() == awkward(spark).count()
+
+
+def test_clashing_name_stays(spark):
+    from cases import documents
+
+    docs = documents(spark, ["a b c d e f g h", "other words"]).selectExpr("*", "'x' as contaminated", "'y' as _contaminated_fp")
+    items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    rows = contamination.without_items(docs, items).collect()
+    assert [(r.doc_id, r.contaminated) for r in rows] == [(1, "x")]

@@ -19,6 +19,10 @@ def test_classifiers_beat_the_prior_on_held_out_rows(spark):
         ones, zeros = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
         auc = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
         assert auc > 0.8
+        trained = [r.score for r in score(clashing(awkward(spark)), module.train(docs, labels)).collect()]
+        assert len(trained) == 12 and all(0 < s < 1 for s in trained)
+        texts = docs.selectExpr("concat('d', doc_id) as doc_id", "text")
+        assert score(texts, module.train(texts, labels.selectExpr("concat('d', doc_id) as doc_id", label))).count() == docs.count()
         odd = score(clashing(awkward(spark)), module.train(docs, labels.limit(0))).collect()
         assert len(odd) == 12 and all(r.score == 0.5 for r in odd)
         assert score(documents(spark, []), module.train(documents(spark, []), labels)).count() == 0
@@ -64,3 +68,56 @@ def test_all_contexts_that_pass_stay_and_a_joined_tree_scores_alike(spark):
     for df in (docs, awkward(spark)):
         a, b = (sorted(((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree.score(df, m).collect()), key=str) for m in (sent, joined))
         assert a == b
+
+
+def test_features_are_made_where_the_rows_are(spark):
+    """Labelled texts are drawn by id, features made in the tasks that read them; of a repeated id one row is learnt from."""
+    from pyspark.sql import functions as F
+    from wireloom.llm import labelled
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(2000)] + [(2, "other")], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    chosen = labelled.sample(docs, labels, "toxic", F.lit(True), 100)
+    n = labelled.fitted(chosen, toxicity.features, lambda xs, y: [len(xs), y.sum()], 2)
+    assert list(n) == [2, 1]
+    assert chosen.rdd.getNumPartitions() >= 4
+
+
+def test_classifier_scores_equal_brute_force(spark):
+    """Scores from given weights, made again from n-grams as text."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    texts = {r.doc_id: (r.text or "").lower() for r in docs.collect()}
+    w = toxicity.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    place = {}
+    for r in toxicity.toxicity(docs, w).collect():
+        grams = {texts[r.doc_id][i : i + n] for n in toxicity.ORDERS for i in range(len(texts[r.doc_id]) - n + 1)}
+        buckets = set()
+        for g in grams:
+            if g not in place:
+                # of a text of n characters only its own n-gram is new to the n-grams of its parts
+                inner = {b for m in toxicity.ORDERS if m < len(g) for i in range(len(g) - m + 1) for b in toxicity.features(g[i : i + m])}
+                own = set(toxicity.features(g).tolist()) - inner if len(g) > min(toxicity.ORDERS) else set(toxicity.features(g).tolist())
+                place[g] = own
+            buckets |= place[g]
+        z = sum(float(w[b]) for b in buckets) + float(w[-1])
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+
+
+def test_quality_scores_equal_brute_force(spark):
+    import numpy as np
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    w = quality.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality.quality(docs, w).collect():
+        ws = texts[r.doc_id].encode().lower().split()
+        single = {x.decode(): int(quality.features(x.decode())[0]) for x in set(ws)}
+        buckets = set(single.values())
+        for a, b in set(zip(ws, ws[1:])):
+            a, b = a.decode(), b.decode()
+            buckets |= set(quality.features(f"{a} {b}").tolist())
+        z = sum(float(w[k]) for k in buckets) / max(1, len(buckets)) ** 0.5 + float(w[-1])
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6

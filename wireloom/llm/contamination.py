@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.llm.store import written
+from wireloom.llm.store import unused, written
 
 BLANK = r"[ \t\n\u000B\f\r]+"
 SKETCH = 14
@@ -84,5 +84,5 @@ def without_items(docs: DataFrame, items: DataFrame, tenths: int = 8, text_col:
     """The rows, with all columns, whose text contains no item."""
     found = written(contained(docs, items, tenths, text_col, item_col, item_text).select("fp").distinct(), "contaminated")
     fp = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
-    bad = found.select(F.col("fp").alias("_contaminated_fp"))
-    return docs.join(_small(bad, found.count()), fp == F.col("_contaminated_fp"), "left_anti")
+    name = unused(docs, "contaminated")
+    return docs.join(_small(found.select(F.col("fp").alias(name)), found.count()), fp == F.col(name), "left_anti")

@@ -28,23 +28,27 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
 
 
 def fitted(rows: DataFrame, features: Callable, fit: Callable, size: int) -> np.ndarray:
-    """Features are made where the rows are; ``fit(list of index arrays, labels)`` runs over the bounded sample in one task and gives ``size`` weights."""
+    """Features are made where the rows are; ``fit(list of index arrays, labels)`` runs over the bounded sample in one task and gives ``size`` weights.
+
+    Of rows that repeat an id one is learnt from, the one with the smallest features.
+    """
 
     def indices(batches):
         for b in batches:
             ids, texts, marks = (b.column(i).to_pylist() for i in range(3))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([features(t).astype(np.uint32).tobytes() for t in texts], pa.binary()), pa.array(marks, pa.int32())],
+                [pa.array(ids, pa.string()), pa.array([features(t).astype(np.uint32).tobytes() for t in texts], pa.binary()), pa.array(marks, pa.int32())],
                 ["id", "x", "label"],
             )
 
     def train(batches):
-        got = sorted((i, x, y) for b in batches for i, x, y in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
-        w = fit([np.frombuffer(x, np.uint32) for _, x, _ in got], np.array([y for _, _, y in got], float))
+        got = sorted((len(i), i, x, y) for b in batches for i, x, y in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+        w = fit([np.frombuffer(x, np.uint32) for _, _, x, _ in got], np.array([y for *_, y in got], float))
         yield pa.RecordBatch.from_arrays([pa.array([np.asarray(w, np.float32).tobytes()], pa.binary())], ["w"])
 
-    packed = rows.select(F.col("_id").cast("long"), "text", "label").mapInArrow(indices, "id long, x binary, label int")
-    out = packed.coalesce(1).mapInArrow(train, "w binary").collect()
+    packed = rows.select(F.col("_id").cast("string"), "text", "label").mapInArrow(indices, "id string, x binary, label int")
+    packed = packed.groupBy("id").agg(F.min("x").alias("x"), F.first("label").alias("label"))
+    out = packed.repartition(1).mapInArrow(train, "w binary").collect()
     return np.frombuffer(bytes(out[0][0]), np.float32) if out else np.zeros(size, np.float32)
 
 

@@ -55,3 +55,11 @@ def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold(key, parts: int):
     """``crc32(key as text) mod parts``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it if the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
