@@ -98,8 +98,7 @@ def _serial_records(data, check_partial):
             at += 1
             continue
         if at + 5 + size > len(data):
-            actual = len(data) - at - 5
-            if check_partial and (size > 16384 or (kind < 22 and size > 10) or actual * 10 < size):
+            if check_partial and not (data[at + 1] == 3 and data[at + 2] <= 4 and size <= 18432):
                 at += 1
                 continue
             out.append((at, kind, size))

@@ -16,6 +16,7 @@ TYPE_NAMES = {20: "ChangeCipherSpec", 21: "Alert", 22: "Handshake", 23: "Applica
 APP_DATA = 23
 HEADER = 5
 MAX_RECORD = 16384
+MAX_WIRE = MAX_RECORD + 2048  # the protocol's largest encrypted record
 # Version labels by minor number of (3, n).
 VERSION_NAMES = {0: "SSL 3.0", 1: "TLS 1.0", 2: "TLS 1.1", 3: "TLS 1.2", 4: "TLS 1.3"}
 # Certificate protocols of which only the first occurrence in a path counts, and the layers that always stay.
@@ -108,8 +109,8 @@ def segment_type(segment_hex: Column) -> Column:
     return F.when(first.between(20, 24), first)
 
 
-def clean_path(protocols: Column) -> Column:
-    """Protocol path without repeated certificate layers; beyond ten entries only core layers and the first three others."""
+def clean_path(protocols: Column, limit: int | None = None) -> Column:
+    """Protocol path without repeated certificate layers. With a ``limit``, longer paths keep core layers and the first three others."""
     parts = F.split(protocols, ":")
     firsts = F.filter(
         F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
@@ -117,9 +118,11 @@ def clean_path(protocols: Column) -> Column:
         | (F.array_position(F.transform(parts, lambda q: F.lower(q)), F.lower(x["p"])) == x["i"] + 1),
     )
     names = F.transform(firsts, lambda x: x["p"])
+    if limit is None:
+        return names
     core = F.filter(names, lambda p: F.lower(p).isin(*CORE_LAYERS))
     others = F.filter(names, lambda p: ~F.lower(p).isin(*CORE_LAYERS))
-    return F.when(F.size(names) > 10, F.concat(core, F.slice(others, 1, 3))).otherwise(names)
+    return F.when(F.size(names) > limit, F.concat(core, F.slice(others, 1, 3))).otherwise(names)
 
 
 def app_data_zero_bytes(count: Column) -> Column:
@@ -133,18 +136,19 @@ def plausible_partial_record(content_type: Column, declared: Column, actual: Col
     return (declared <= MAX_RECORD) & small & (actual <= declared) & (actual * 10 >= declared)
 
 
-def plausible_rule(strategy_col: Column, content_type: Column, rule_len: Column, tcp_len: Column, first_byte: Column) -> Column:
-    """Single-packet rules: header rules are five bytes, full rules fit the segment, CCS rules are short and start with their type."""
+def plausible_rule(strategy_col: Column, content_type: Column, rule_len: Column, tcp_len: Column, first_byte: Column, ccs_limit: int | None = None) -> Column:
+    """Single-packet rules: header rules are five bytes, full rules fit the segment, CCS rules start with their type (and are short, with a limit)."""
     shape = F.when(strategy_col == "header_only", rule_len == HEADER).when(strategy_col == "full_message", rule_len <= tcp_len).otherwise(True)
     kind = (
         F.when((content_type == APP_DATA) & (strategy_col == "header_only"), first_byte == APP_DATA)
-        .when(content_type == 20, (rule_len <= 50) & (first_byte == 20))
+        .when(content_type == 20, (first_byte == 20) & (F.lit(True) if ccs_limit is None else rule_len <= ccs_limit))
         .otherwise(True)
     )
     return shape & kind
 
 
 def plausible_partial_rule(is_cross: Column, content_type: Column, strategy_col: Column, rule_len: Column, actual: Column) -> Column:
+    """Size limits for rules of records that were cut off (an option: they also drop long handshakes)."""
     limit = F.when(content_type == 20, 100).when(content_type == 21, 50).otherwise(2048)
     size_ok = ~is_cross | (rule_len <= F.least(limit, F.lit(2048)))
     full_ok = (strategy_col != "full_message") | (F.abs(rule_len - (HEADER + actual)) <= 10)

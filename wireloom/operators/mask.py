@@ -9,7 +9,7 @@ from wireloom.functions.octets import filler
 from wireloom.functions.ratios import safe_divide
 from wireloom.operators.reassembly import BUCKET, KEY
 from wireloom.operators.rules import both_directions, valid
-from wireloom.operators.scan import merge_intervals
+from wireloom.operators.scan import covering_end, merge_intervals
 from wireloom.operators.skew import explode_buckets, lookup
 from wireloom.operators.stage import materialise
 
@@ -20,18 +20,23 @@ def kept_ranges(segments: DataFrame, rules: DataFrame) -> DataFrame:
     """``(key, seq, len, ranges, has_rules)`` for each distinct segment: byte offsets that stay, sorted and disjoint.
 
     Distinct segments (not packets) meet merged rules in 16 KiB buckets of the sequence space, so neither copies of a segment nor a
-    long flow make a large join group; a segment collects at most its own length in ranges.
+    long flow make a large join group; a segment collects at most its own length in ranges. Ranges are cut at the borders of buckets
+    that hold segments: what begins in a bucket, and what a sweep finds open at its border. No range is spread over the buckets it spans.
     """
     distinct = segments.where("len > 0").select(*SEGMENT).distinct()
     # rules come out of long plans and are read by several branches below, hence written once
     own = materialise(valid(rules).select(*KEY, "seq_start", "seq_end").distinct())
     usable = both_directions(own)
-    merged = explode_buckets(merge_intervals(usable, KEY, "seq_start", "seq_end"), "seq_start", "seq_end", BUCKET)
+    merged = materialise(merge_intervals(usable, KEY, "seq_start", "seq_end"))
     pieces = explode_buckets(distinct.withColumn("__end", F.col("seq") + F.col("len")), "seq", "__end", BUCKET)
+    borders = pieces.select(*KEY, (F.col("__bucket") * BUCKET).alias("__at")).distinct()
+    still = covering_end(borders, KEY, "__at", merged, "seq_start", "seq_end", "__open").where("__open > __at")
+    still = still.select(*KEY, F.col("__at").alias("seq_start"), F.col("__open").alias("seq_end"))
+    new = merged.where(F.col("seq_start") % BUCKET != 0)
+    cut = new.unionByName(still).withColumn("__bucket", F.floor(F.col("seq_start") / BUCKET)).withColumn("seq_end", F.least("seq_end", (F.col("__bucket") + 1) * BUCKET))
     lo, hi = F.greatest("seq", "seq_start"), F.least("__end", "seq_end")
-    hits = pieces.join(merged, [*KEY, "__bucket"]).where("seq_start < __end AND seq_end > seq")
-    once = hits.where(F.floor(lo / BUCKET) == F.col("__bucket"))
-    ranges = once.groupBy(*SEGMENT).agg(
+    hits = pieces.join(cut, [*KEY, "__bucket"]).where("seq_start < __end AND seq_end > seq")
+    ranges = hits.groupBy(*SEGMENT).agg(
         F.array_sort(F.collect_list(F.struct((lo - F.col("seq")).cast("int").alias("a"), (hi - F.col("seq")).cast("int").alias("b")))).alias("ranges"))
     ruled = usable.select(*KEY).distinct().withColumn("has_rules", F.lit(True))
     return lookup(distinct.join(ranges, SEGMENT, "left"), ruled, KEY, by="seq")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from wireloom.functions import tls as T
 from wireloom.functions.octets import be_int
 from wireloom.operators.flows import FLOW
-from wireloom.operators.reassembly import BUCKET, KEY
-from wireloom.operators.scan import merge_intervals
-from wireloom.operators.skew import explode_buckets, lookup
+from wireloom.operators.reassembly import KEY
+from wireloom.operators.scan import covering_end, merge_intervals
+from wireloom.operators.skew import lookup
 
 RULE = [*KEY, "seq_start", "seq_end", "rule_type", "strategy"]
 # What is kept in full by default, by option name and content type.
@@ -36,8 +36,11 @@ def _is_kept(content_type: Column, keep: Mapping[int, bool]) -> Column:
     return content_type.isin(*full) if full else F.lit(False)
 
 
-def tls_rules(records: DataFrame, options: Mapping[str, bool] | None = None) -> DataFrame:
-    """A rule per record: whole record when its type is kept, else the five header bytes for application data, else none."""
+def tls_rules(records: DataFrame, options: Mapping[str, bool] | None = None, partial_limits: bool = False) -> DataFrame:
+    """A rule per record: whole record when its type is kept, else the five header bytes for application data, else none.
+
+    A record that was cut off keeps its rule for what is there; ``partial_limits`` drops such rules beyond a size by type.
+    """
     keep = policy(options)
     kind = F.col("content_type")
     full = _is_kept(kind, keep)
@@ -47,26 +50,21 @@ def tls_rules(records: DataFrame, options: Mapping[str, bool] | None = None) ->
         "seq_end": F.when(F.col("strategy") == "full_message", F.col("tls_payload_seq_end")).otherwise(F.col("tls_header_seq_end")),
         "rule_type": F.when(F.col("strategy") == "header_only", "tls_applicationdata_header").otherwise(F.concat(F.lit("tls_"), F.lower("content_type_name"))),
     })
-    ok = T.plausible_partial_rule(F.col("is_cross_segment"), kind, F.col("strategy"), F.col("seq_end") - F.col("seq_start"), F.col("actual_length"))
-    return r.where(ok).select(*RULE)
-
+    if partial_limits:
+        r = r.where(T.plausible_partial_rule(F.col("is_cross_segment"), kind, F.col("strategy"), F.col("seq_end") - F.col("seq_start"), F.col("actual_length")))
+    return r.select(*RULE)
 
-def covered_starts(frames: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct (key, seq) of frames whose first byte lies inside a rule: bucketed range join on distinct starts and merged rules."""
-    merged = explode_buckets(merge_intervals(rules.where("seq_start < seq_end"), KEY, "seq_start", "seq_end"), "seq_start", "seq_end", BUCKET)
-    starts = frames.select(*KEY, "seq").distinct().withColumn("__bucket", F.floor(F.col("seq") / BUCKET))
-    hit = starts.join(merged, [*KEY, "__bucket"]).where("seq_start <= seq AND seq < seq_end")
-    return hit.select(*KEY, "seq").distinct()
 
+def fallback_rules(frames: DataFrame, rules: DataFrame, options: Mapping[str, bool] | None = None, ccs_limit: int | None = None) -> DataFrame:
+    """Rules from single frames ``(key, seq, len, payload, content_types, segment_data)`` whose first byte no existing rule covers.
 
-def fallback_rules(frames: DataFrame, rules: DataFrame, options: Mapping[str, bool] | None = None) -> DataFrame:
-    """Rules from single frames ``(key, frame_no, seq, len, payload, content_types, segment_data)`` no existing rule covers."""
+    What a frame alone would give is found in a projection; only those rules, without payload, are swept against the existing ones.
+    """
     keep = policy(options)
-    open_ = lookup(frames, covered_starts(frames, rules), [*KEY, "seq"], how="left_anti")
     end = F.col("seq") + F.col("len")
-    fragments = open_.where(T.is_fragment() & ~T.is_app_data_fragment()).select(
+    fragments = frames.where(T.is_fragment() & ~T.is_app_data_fragment()).select(
         *KEY, F.col("seq").alias("seq_start"), end.alias("seq_end"), F.lit("tls_fragment_full_preserve").alias("rule_type"), F.lit("full_preserve").alias("strategy"))
-    starts = open_.where(~T.is_fragment() & T.is_record_start(F.col("payload")))
+    starts = frames.where(~T.is_fragment() & T.is_record_start(F.col("payload")))
     typed = starts.withColumn("content_type", F.explode(F.array_distinct(F.filter(F.transform("content_types", T.to_int), lambda t: t.isNotNull()))))
     typed = typed.where(T.type_matches_payload(F.col("payload"), F.col("content_type")) & (_is_kept(F.col("content_type"), keep) | (F.col("content_type") == T.APP_DATA)))
     header = (F.col("content_type") == T.APP_DATA) & ~_is_kept(F.col("content_type"), keep)
@@ -75,8 +73,10 @@ def fallback_rules(frames: DataFrame, rules: DataFrame, options: Mapping[str, bo
         "rule_type": F.when(header, "tls_applicationdata_header").otherwise(F.concat(F.lit("tls_"), F.lower(T.type_name(F.col("content_type"))))),
         "strategy": F.when(header, "header_only").otherwise("full_message"),
     })
-    ok = T.plausible_rule(F.col("strategy"), F.col("content_type"), F.col("seq_end") - F.col("seq_start"), F.col("len"), be_int(F.col("payload"), 0, 1))
-    return fragments.unionByName(typed.where(ok).select(*RULE))
+    ok = T.plausible_rule(F.col("strategy"), F.col("content_type"), F.col("seq_end") - F.col("seq_start"), F.col("len"), be_int(F.col("payload"), 0, 1), ccs_limit)
+    own = fragments.unionByName(typed.where(ok).select(*RULE)).distinct()
+    swept = covering_end(own, KEY, "seq_start", rules.where("seq_start < seq_end"), "seq_start", "seq_end", "__covered")
+    return swept.where("__covered IS NULL OR __covered <= seq_start").select(*RULE)
 
 
 def combine(*rule_sets: DataFrame) -> DataFrame:

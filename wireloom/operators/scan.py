@@ -77,6 +77,18 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, wi
     return islands.groupBy(*keys, "__island").agg(F.max(end).alias(end)).select(*keys, F.col("__island").alias(start), end)
 
 
+def covering_end(points: DataFrame, keys: Sequence[str], at: str, ranges: DataFrame, start: str, end: str, out: str, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Add ``out``: the largest end of the ranges of the key that start at or before the point (NULL without one).
+
+    A point is covered when ``out`` lies behind it. Points and range starts are swept together in order, block by block, so neither a
+    long range nor a hot key is spread out or collected. Equal points are expected to have been made distinct.
+    """
+    kind, stop = f"__{out}_kind", f"__{out}_end"
+    marks = ranges.select(*keys, F.col(start).alias(at), F.col(end).alias(stop), F.lit(0).alias(kind))
+    rows = points.withColumns({stop: F.lit(None).cast("bigint"), kind: F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    return running(rows, keys, at, F.col(stop), out, "max", tie_break=[kind], width=width).where(F.col(kind) == 1).drop(kind, stop)
+
+
 def trailing(
     df: DataFrame, keys: Sequence[str], ordinal: str, size: int, aggs: dict[str, Column], width: int = DEFAULT_WIDTH
 ) -> DataFrame:

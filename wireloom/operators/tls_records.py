@@ -25,7 +25,7 @@ _ITEM = ST.StructType([
 ])
 
 
-def _candidates(data: np.ndarray, base: int, block: int, island_len: int, strict: bool, check_partial: bool):
+def _candidates(data: np.ndarray, base: int, block: int, island_len: int, strict: bool, check_partial: bool, limits: bool):
     """All positions of one block at which a record could start, with the jump each of them means."""
     limit = max(0, min(block, len(data) - 4))
     p = np.flatnonzero((data[:limit] >= 20) & (data[:limit] <= 24))
@@ -37,23 +37,24 @@ def _candidates(data: np.ndarray, base: int, block: int, island_len: int, strict
     cut = nxt > island_len
     if cut.any():
         if check_partial:
-            actual = island_len - (base + p) - 5
-            small = (kind > 21) | (declared <= 10)
-            good = ~cut | ((declared <= T.MAX_RECORD) & small & (actual * 10 >= declared))
+            good = ~cut | ((data[p + 1] == 3) & (data[p + 2] <= 4) & (declared <= T.MAX_WIRE))
+            if limits:
+                actual = island_len - (base + p) - 5
+                good &= ~cut | ((declared <= T.MAX_RECORD) & ((kind > 21) | (declared <= 10)) & (actual * 10 >= declared))
             p, declared, kind, nxt, cut = p[good], declared[good], kind[good], nxt[good], cut[good]
         nxt = np.where(cut, NEVER, nxt)
     version = data[p + 1].astype(np.int32) * 256 + data[p + 2]
     return p + base, nxt, kind.astype(np.int32), version, declared
 
 
-def _scan(block: int, strict: bool, check_partial: bool, out_schema: pa.Schema):
+def _scan(block: int, strict: bool, check_partial: bool, limits: bool, out_schema: pa.Schema):
     """Partition kernel: slices arrive sorted by stretch, block and offset; one block is held at a time."""
     item = out_schema.field("items").type
 
     def flush(key, parts):
         *island_key, blk, island_len = key
         data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        cols = _candidates(data, blk * block, block, island_len, strict, check_partial)
+        cols = _candidates(data, blk * block, block, island_len, strict, check_partial, limits)
         if blk == 0:
             i = np.asarray(follow(cols[0], cols[1], 0), dtype=np.int64)
             cols = tuple(c[i] for c in cols)
@@ -90,13 +91,15 @@ def _scan(block: int, strict: bool, check_partial: bool, out_schema: pa.Schema):
 
 
 def tls_records(
-    pieces: DataFrame, segments: DataFrame, strict_version: bool = False, check_partial: bool = True, block: int = BLOCK, fan: int = 512, levels: int = 2
+    pieces: DataFrame, segments: DataFrame, strict_version: bool = False, check_partial: bool = True, partial_limits: bool = False, block: int = BLOCK, fan: int = 512,
+    levels: int = 2,
 ) -> DataFrame:
     """Records of every contiguous stretch of stream bytes.
 
     ``pieces`` comes from ``trimmed_segments(segments)``.  Unknown types advance one byte; a record that runs past the stretch is
-    reported as cross-segment and ends it, unless ``check_partial`` finds it implausible.  ``check_partial=False`` reports every such
-    record; ``strict_version`` also requires versions (3, 0..4).
+    reported as cross-segment and ends it.  ``check_partial`` asks such a record for a version (3, 0..4) and a length that the protocol
+    allows, whatever share of it is there; ``partial_limits`` adds limits by type and share.  ``check_partial=False`` reports every such
+    record; ``strict_version`` requires versions (3, 0..4) of all.
 
     Payloads move twice: to their piece, and to their block of the stream.
     """
@@ -119,7 +122,7 @@ def tls_records(
         *[pa.field(c, pa.string()) for c in KEY], pa.field("island", pa.int64()), pa.field("blk", pa.int64()), pa.field("island_len", pa.int64()),
         pa.field("items", pa.list_(pa.struct([("pos", pa.int64()), ("nxt", pa.int64()), ("content_type", pa.int32()), ("version", pa.int32()), ("declared", pa.int64())]))),
     ])
-    found = ready.mapInArrow(_scan(block, strict_version, check_partial, arrow), schema)
+    found = ready.mapInArrow(_scan(block, strict_version, check_partial, partial_limits, arrow), schema)
     rows = walk(found, [*ISLAND], "items", block, MAX_JUMP, fan, levels)
     pos, declared = F.col("__item.pos"), F.col("__item.declared")
     actual = F.least(declared, F.col("island_len") - pos - 5)

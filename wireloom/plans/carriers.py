@@ -76,8 +76,7 @@ DOC_PACKETS = """
 SELECT source AS capture_id, doc_id AS frame_no, hex(text) AS raw_hex FROM {documents}
 """
 
-# One flow-direction per document: 100-byte chunks; each 5th chunk is sent again later with other bytes, each 7th starts 10 bytes
-# early, each 11th is lost.
+# One flow-direction per document: 100-byte chunks; each 5th chunk is sent again later with other bytes, each 7th starts 10 bytes early.
 SEGMENTS = """
 SELECT capture_id, tuple_key, direction, frame_no, seq, payload_hex, cast(length(payload_hex) / 2 AS bigint) AS len
 FROM (
@@ -90,12 +89,14 @@ FROM (
     FROM (
       SELECT doc_id, source, h, ci, again, CASE WHEN ci % 7 = 6 AND again = 0 THEN 10 ELSE 0 END AS early
       FROM ({chunks}) c0 CROSS JOIN (SELECT 0 AS again UNION ALL SELECT 1 AS again) r
-      WHERE ci % 11 <> 10 AND (again = 0 OR ci % 5 = 4)
+      WHERE again = 0 OR ci % 5 = 4
     ) c1
   ) c2
 ) c3
 WHERE length(payload_hex) > 0
 """
+# The same with each 11th chunk lost, for what happens at gaps.
+GAPPED_SEGMENTS = SEGMENTS.replace("WHERE again = 0 OR ci % 5 = 4", "WHERE ci % 11 <> 10 AND (again = 0 OR ci % 5 = 4)")
 # The chunking engine side works on bytes (constant-time substring), the other one on hex text.
 _CHUNKS = {
     "spark": """SELECT doc_id, source, h, ci FROM (SELECT doc_id, source, cast(text AS binary) AS h FROM {documents}) d
@@ -109,9 +110,10 @@ _BODY = {
 }
 _PACKET = {"spark": "hex(substr(h, cast(ci * 100 + 1 AS int), 100))", "duck": "substr(h, cast(ci * 200 + 1 AS int), 200)"}
 
-# Each turn is one contiguous stretch of TLS records (handshake, CCS, app data, sometimes a cut-off alert; sometimes junk first).
+# Each turn is one contiguous stretch of TLS records of at most 16,000 bytes (handshake, CCS, app data, sometimes a cut-off alert;
+# sometimes junk first).
 TLS_STREAMS = """
-SELECT *, junk || '160303' || lpad(hex(na), 4, '0') || ha || '140303000101' || '170303' || lpad(hex(nb), 4, '0') || hb || tail AS stream_hex
+SELECT *, junk || {handshakes} || '140303000101' || {app_data} || tail AS stream_hex
 FROM (
   SELECT conv_id, turn, role, ha, hb, cast(length(ha) / 2 AS bigint) AS na, cast(length(hb) / 2 AS bigint) AS nb,
          CASE WHEN turn % 4 = 3 THEN 'AABB' ELSE '' END AS junk,
@@ -134,6 +136,11 @@ SELECT capture_id, tuple_key, direction, conv_id, turn, conv_id * 1000000 + turn
        base_seq + ci * 150 AS seq, payload_hex, cast(length(payload_hex) / 2 AS bigint) AS len
 FROM (SELECT *, substr(stream_hex, cast(ci * 300 + 1 AS int), 300) AS payload_hex FROM ({{tls_chunks}}) s0) s1
 """
+_RECORDS = {
+    "spark": """array_join(transform(sequence(0, cast(greatest(ceil({n} / 16000), 1) AS int) - 1), i -> '{kind}0303' || lpad(hex(least({n} - i * 16000, 16000)), 4, '0') || substr({h}, i * 32000 + 1, 32000)), '')""",
+    "duck": """array_to_string(list_transform(range(0, cast(greatest(ceil({n} / 16000), 1) AS int)), lambda i: '{kind}0303' || lpad(hex(cast(least({n} - i * 16000, 16000) AS bigint)), 4, '0') || substr({h}, i * 32000 + 1, 32000)), '')""",
+}
+_HANDSHAKES, _APP_DATA = ({d: t.format(n=n, h=h, kind=kind) for d, t in _RECORDS.items()} for n, h, kind in (("na", "ha", "16"), ("nb", "hb", "17")))
 _TLS_CHUNKS = {
     "spark": f"""SELECT * FROM ({TLS_STREAMS}) ts LATERAL VIEW explode(sequence(0L, cast(floor((length(stream_hex) - 1) / 300) AS bigint))) x AS ci""",
     "duck": f"""SELECT *, unnest(generate_series(0, cast(floor((length(stream_hex) - 1) / 300) AS bigint))) AS ci FROM ({TLS_STREAMS}) ts""",
@@ -150,7 +157,7 @@ SELECT cast(conv_id % 50 AS string) AS capture_id, conv_id * 100 + turn AS frame
        CASE WHEN turn % 6 = 5 THEN 'aa:bb' ELSE '' END AS segment_csv,
        CASE WHEN turn % 3 = 0 THEN 'eth:ethertype:ip:tcp:tls:x509sat:x509sat:x509af:x509sat:pkcs1:pkcs1:a1:b2:c3:d4'
             WHEN turn % 3 = 1 THEN 'eth:ethertype:ip:tcp:tls' ELSE 'eth:ethertype:ipv6:tcp:tls:x509sat:x509SAT:data' END AS protocols,
-       1000 + conv_id * 65536 + turn * 4096 AS seq_raw, nt, hex(substr(text, 1, 24)) || '0000' AS app_hex, text
+       1000 + conv_id * 65536 + turn * 4096 AS seq_raw, nt, hex(text) || '0000' AS app_hex, text
 FROM (SELECT conv_id, turn, role, text, cast(length(text) AS bigint) AS nt FROM {conversations}) f0
 """
 
@@ -204,7 +211,7 @@ SELECT event_id AS error_id, ts, capture_id, error_type, severity, component, op
        CASE WHEN user_id % 10 = 0 THEN 'critical' WHEN user_id % 3 = 0 THEN 'high' ELSE 'low' END AS severity,
        CASE WHEN user_id % 2 = 0 THEN 'masker' ELSE 'marker' END AS component,
        CASE WHEN user_id % 5 < 2 THEN 'read' ELSE 'write' END AS operation, value < 10 AS recovered
-  FROM {events}) q WHERE event_type = 'error'
+  FROM {events}) q
 """
 
 VIEWS = {
@@ -212,6 +219,7 @@ VIEWS = {
     "wire": WIRE,
     "doc_packets": DOC_PACKETS,
     "segments": SEGMENTS,
+    "gapped_segments": GAPPED_SEGMENTS,
     "tls_streams": TLS_STREAMS,
     "tls_segments": TLS_SEGMENTS,
     "frames": FRAMES,
@@ -227,7 +235,7 @@ _TABLES = ("events", "documents", "conversations", "pages", "orders", "lineitem"
 def carrier_sql(name: str, dialect: str) -> str:
     """SQL text of a carrier for ``spark`` (tables stay ``{name}`` placeholders) or ``duck`` (tables are registered views)."""
     text = VIEWS[name]
-    for token, options in (("{chunks}", _CHUNKS), ("{tls_chunks}", _TLS_CHUNKS), ("{http_chunks}", _HTTP_CHUNKS), ("{body}", _BODY), ("{packet}", _PACKET)):
+    for token, options in (("{chunks}", _CHUNKS), ("{tls_chunks}", _TLS_CHUNKS), ("{http_chunks}", _HTTP_CHUNKS), ("{handshakes}", _HANDSHAKES), ("{app_data}", _APP_DATA), ("{body}", _BODY), ("{packet}", _PACKET)):
         text = text.replace(token, options[dialect])
     if dialect == "duck":
         for table in _TABLES:

@@ -97,7 +97,7 @@ _MSG = f"""
  (SELECT *, sum(5 + length) OVER (PARTITION BY capture_id, frame_no ORDER BY i) - 5 - length AS off, row_number() OVER (PARTITION BY capture_id, frame_no ORDER BY i) - 1 AS pos
   FROM (SELECT capture_id, frame_no, i, ct, seq_raw, coalesce(lens[i + 1]::BIGINT, 0) AS length, coalesce(vers[i + 1]::BIGINT, 771) AS ver FROM {_POS} WHERE ct IS NOT NULL))"""
 _NAME = "CASE ct WHEN 20 THEN 'ChangeCipherSpec' WHEN 21 THEN 'Alert' WHEN 22 THEN 'Handshake' WHEN 23 THEN 'ApplicationData' ELSE 'Heartbeat' END"
-_PATH = """CASE protocols WHEN 'eth:ethertype:ip:tcp:tls:x509sat:x509sat:x509af:x509sat:pkcs1:pkcs1:a1:b2:c3:d4' THEN 'eth:ethertype:ip:tcp:tls:x509sat:x509af:pkcs1'
+_PATH = """CASE protocols WHEN 'eth:ethertype:ip:tcp:tls:x509sat:x509sat:x509af:x509sat:pkcs1:pkcs1:a1:b2:c3:d4' THEN 'eth:ethertype:ip:tcp:tls:x509sat:x509af:pkcs1:a1:b2:c3:d4'
    WHEN 'eth:ethertype:ipv6:tcp:tls:x509sat:x509SAT:data' THEN 'eth:ethertype:ipv6:tcp:tls:x509sat:data' ELSE protocols END"""
 _TYPES = f"SELECT capture_id, frame_no, list(ct ORDER BY i) FILTER (WHERE ct IS NOT NULL) AS types FROM {_POS} GROUP BY 1, 2"
 # hit positions: an opaque type equal to a content type is not listed twice (does not occur in this data), '17' is not used here

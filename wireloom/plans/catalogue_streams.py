@@ -96,6 +96,7 @@ def w10(spark, sf):
 QUERIES = {
     "w8_concat_offsets": lambda s, d: ra.concat_offsets(segments(s, d)).select(*KEY, "frame_no", "seq", "stream_off"),
     "w9_trimmed_segments": lambda s, d: pieces(s, d).select(*KEY, "frame_no", "start", "end", "island", F.col("gap").cast("int").alias("gap"), F.hex("payload").alias("payload_hex")),
+    "w9_gapped_segments": lambda s, d: pieces(s, d, "gapped_segments").select(*KEY, "frame_no", "start", "end", "island", F.col("gap").cast("int").alias("gap"), F.hex("payload").alias("payload_hex")),
     "w10_offset_to_seq": w10,
     "t2_records": lambda s, d: _rec_out(records(s, d)),
     "t2_records_small_blocks": lambda s, d: _rec_out(records(s, d, block=96, fan=4)),
@@ -132,7 +133,7 @@ _WALK = """
    UNION ALL
    SELECT capture_id, tuple_key, direction, base_seq, h, n,
           CASE WHEN NOT ok THEN cur + 1 WHEN cur + 5 + d > n AND NOT part_ok THEN cur + 1 ELSE cur + 5 + d END, ok AND (cur + 5 + d <= n OR part_ok), c, ma, mn, d, cur
-   FROM (SELECT *, c BETWEEN 20 AND 24 AS ok, d <= 16384 AND (c > 21 OR d <= 10) AND (n - cur - 5) * 10 >= d AS part_ok
+   FROM (SELECT *, c BETWEEN 20 AND 24 AS ok, ma = 3 AND mn <= 4 AND d <= 18432 AS part_ok
          FROM (SELECT capture_id, tuple_key, direction, base_seq, h, n, cur, ('0x' || substr(h, 2 * cur + 1, 2))::BIGINT AS c, ('0x' || substr(h, 2 * cur + 3, 2))::BIGINT AS ma,
                       ('0x' || substr(h, 2 * cur + 5, 2))::BIGINT AS mn, ('0x' || substr(h, 2 * cur + 7, 4))::BIGINT AS d FROM w WHERE cur + 5 <= n)))
  , recs AS (SELECT capture_id, tuple_key, direction, ct AS content_type, CASE ct WHEN 20 THEN 'ChangeCipherSpec' WHEN 21 THEN 'Alert' WHEN 22 THEN 'Handshake' WHEN 23 THEN 'ApplicationData' ELSE 'Heartbeat' END AS content_type_name,
@@ -142,8 +143,7 @@ _WALK = """
 """
 _RULES = """, rules AS (SELECT * FROM (SELECT capture_id, tuple_key, direction, content_type, actual_length, is_complete, tls_header_seq_start AS seq_start,
      CASE content_type WHEN 23 THEN tls_header_seq_start + 5 ELSE tls_payload_seq_end END AS seq_end,
-     CASE content_type WHEN 23 THEN 'tls_applicationdata_header' ELSE 'tls_' || lower(content_type_name) END AS rule_type, CASE content_type WHEN 23 THEN 'header_only' ELSE 'full_message' END AS strategy FROM recs)
-   WHERE is_complete = 1 OR seq_end - seq_start <= CASE content_type WHEN 20 THEN 100 WHEN 21 THEN 50 ELSE 2048 END)
+     CASE content_type WHEN 23 THEN 'tls_applicationdata_header' ELSE 'tls_' || lower(content_type_name) END AS rule_type, CASE content_type WHEN 23 THEN 'header_only' ELSE 'full_message' END AS strategy FROM recs))
 """
 _COLS = "capture_id, tuple_key, direction"
 _HDR = "SELECT capture_id, tuple_key, direction, page_id * 1000000 AS frame_no, 5000 + (page_id % 100000) * 40000 AS start_seq, header_hex, 1 AS complete FROM {http_streams}"
@@ -167,6 +167,7 @@ _BYTES = f"""WITH smp AS (SELECT * FROM {_SAMPLE}), cov AS ({_MERGE.replace('IN_
 ORACLES = {
     "w8_concat_offsets": """SELECT capture_id, tuple_key, direction, frame_no, seq, coalesce(sum(len) OVER (PARTITION BY capture_id, tuple_key, direction ORDER BY seq, frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stream_off FROM {segments}""",
     "w9_trimmed_segments": f"""SELECT {_COLS}, frame_no, start, "end", island, gap, payload_hex FROM {_TRIM}""".replace("{SRC}", "{segments}"),
+    "w9_gapped_segments": f"""SELECT {_COLS}, frame_no, start, "end", island, gap, payload_hex FROM {_TRIM}""".replace("{SRC}", "{gapped_segments}"),
     "w10_offset_to_seq": """SELECT capture_id, tuple_key, direction, so + len // 2 + CASE WHEN frame_no % 50 = 0 THEN 10000000 ELSE 0 END AS off, CASE WHEN frame_no % 50 = 0 THEN 0 ELSE seq + len // 2 END AS seq
         FROM (SELECT *, coalesce(sum(len) OVER (PARTITION BY capture_id, tuple_key, direction ORDER BY seq, frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS so FROM {segments})""",
     "t2_records": f"{_WALK} SELECT * FROM recs",
@@ -189,8 +190,7 @@ ORACLES = {
         SELECT * FROM (SELECT {_COLS}, seq AS seq_start, seq + CASE substr(payload_hex, 1, 2) WHEN '17' THEN 5 ELSE len END AS seq_end,
           CASE substr(payload_hex, 1, 2) WHEN '14' THEN 'tls_changecipherspec' WHEN '15' THEN 'tls_alert' WHEN '16' THEN 'tls_handshake' WHEN '17' THEN 'tls_applicationdata_header' ELSE 'tls_heartbeat' END AS rule_type,
           CASE substr(payload_hex, 1, 2) WHEN '17' THEN 'header_only' ELSE 'full_message' END AS strategy FROM op
-          WHERE len >= 5 AND substr(payload_hex, 1, 2) IN ('14', '15', '16', '17', '18') AND substr(payload_hex, 3, 4) IN ('0300', '0301', '0302', '0303') AND ('0x' || substr(payload_hex, 7, 4))::BIGINT BETWEEN 1 AND 16384)
-        WHERE rule_type <> 'tls_changecipherspec' OR seq_end - seq_start <= 50""",
+          WHERE len >= 5 AND substr(payload_hex, 1, 2) IN ('14', '15', '16', '17', '18') AND substr(payload_hex, 3, 4) IN ('0300', '0301', '0302', '0303') AND ('0x' || substr(payload_hex, 7, 4))::BIGINT BETWEEN 1 AND 16384)""",
     "k4_union": f"""{_WALK} {_RULES} SELECT rule_type, strategy, count(*) AS rules FROM rules GROUP BY 1, 2 UNION ALL SELECT 'http_header', 'header_only', sum(ranges)::BIGINT FROM ({_HKEEP})""",
     "k5_merged": f"""SELECT {_COLS}, seq_start, seq_end, strategy FROM {_SAMPLE} WHERE strategy = 'header_only' UNION ALL
         SELECT *, 'full_preserve' FROM ({_MERGE.replace('IN_', f"(SELECT * FROM {_SAMPLE} WHERE strategy = 'full_preserve')")})""",

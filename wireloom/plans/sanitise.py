@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wireloom.functions import addresses as A
 from wireloom.functions import http as H
-from wireloom.functions.octets import filler
+from wireloom.functions import tls as T
+from wireloom.functions.octets import be_int, filler
 from wireloom.operators import dedup as dd
 from wireloom.operators import flows as fl
 from wireloom.operators import http_headers as hh
@@ -23,14 +24,31 @@ from wireloom.operators.stage import materialise
 SEGMENT = [*ra.KEY, "frame_no", "seq", "len", "payload", "sport", "dport"]
 
 
-def keep_rules(segments: DataFrame, protocol: str = "auto", preserve: Mapping[str, bool] | None = None, http_ports=H.PORTS, strict_version: bool = False) -> DataFrame | None:
-    """Rules of the chosen protocol over TCP segments; None when nothing is to be kept (``none``)."""
+def record_start_frames(segments: DataFrame) -> DataFrame:
+    """Segments as the frames that ``fallback_rules`` reads: one that begins with a record header has that type, others have none."""
+    none, payload = F.array().cast("array<string>"), F.col("payload")
+    kind = F.when(T.is_record_start(payload), F.array(be_int(payload, 0, 1).cast("string"))).otherwise(none)
+    return segments.withColumns({"content_types": kind, "segment_data": none})
+
+
+def keep_rules(
+    segments: DataFrame, protocol: str = "auto", preserve: Mapping[str, bool] | None = None, http_ports=H.PORTS, strict_version: bool = False, fallback: bool = True
+) -> DataFrame | None:
+    """Rules of the chosen protocol over TCP segments; None when nothing is to be kept (``none``).
+
+    TLS rules come from the reassembled records; with ``fallback``, segments that begin with a record header but lie in no rule (behind a
+    gap, or where the reader lost its place) add one of their own. ``auto`` takes TLS and HTTP rules together.
+    """
     if protocol not in ("tls", "http", "auto", "none"):
         raise ValueError(f"unknown protocol: {protocol}")
     parts = []
     if protocol in ("tls", "auto"):
         pieces = ra.trimmed_segments(segments)
-        parts.append(ru.tls_rules(tr.tls_records(pieces, segments, strict_version=strict_version), preserve))
+        records = ru.tls_rules(tr.tls_records(pieces, segments, strict_version=strict_version), preserve)
+        if fallback:
+            records = materialise(records)
+            parts.append(ru.fallback_rules(record_start_frames(segments), records, preserve))
+        parts.append(records)
     if protocol in ("http", "auto"):
         parts.append(hh.header_rules(hh.message_headers(segments, http_ports)))
     return ru.combine(*parts) if parts else None
