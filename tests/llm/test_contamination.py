@@ -56,5 +56,5 @@ def test_clashing_name_stays(spark):
 
     docs = documents(spark, ["a b c d e f g h", "other words"]).selectExpr("*", "'x' as contaminated", "'y' as _contaminated_fp")
     items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
-    rows = contamination.without_items(docs, items).collect()
+    rows = C.without_items(docs, items).collect()
     assert [(r.doc_id, r.contaminated) for r in rows] == [(1, "x")]
