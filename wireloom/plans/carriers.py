@@ -184,6 +184,25 @@ _HTTP_CHUNKS = {
     "duck": f"""SELECT *, unnest(generate_series(0, cast(floor((length(header_hex) + length(body_hex) - 1) / 512) AS bigint))) AS ci FROM ({HTTP_STREAMS}) hs""",
 }
 
+# Ethernet frames around the TLS and HTTP segments.
+_FRAME = """
+SELECT capture_id, tuple_key, direction, frame_no, seq, payload_hex, len,
+       '02000000000102000000000208004500' || lpad(hex(40 + len), 4, '0') || '0001400040060000' || src_hex || dst_hex || lpad(hex(sport), 4, '0') || lpad(hex(dport), 4, '0')
+       || lpad(hex(seq % 4294967296), 8, '0') || '000000005018200000000000' || payload_hex AS raw_hex
+FROM (
+  SELECT prefix || capture_id AS capture_id, tuple_key, direction, frame_no, seq, payload_hex, len,
+         CASE WHEN direction = 'forward' THEN a_hex ELSE b_hex END AS src_hex, CASE WHEN direction = 'forward' THEN b_hex ELSE a_hex END AS dst_hex,
+         CASE WHEN direction = 'forward' THEN a_port ELSE b_port END AS sport, CASE WHEN direction = 'forward' THEN b_port ELSE a_port END AS dport
+  FROM (INNER_) i0
+) i1
+"""
+TLS_WIRE = _FRAME.replace("INNER_", f"""
+SELECT *, 't' AS prefix, CASE WHEN conv_id % 2 = 0 THEN '0A010001' ELSE '0A010002' END AS a_hex, CASE WHEN conv_id % 2 = 0 THEN '0A010002' ELSE '0A020009' END AS b_hex,
+       cast(CASE WHEN conv_id % 2 = 0 THEN 40000 + conv_id % 20000 ELSE 443 END AS bigint) AS a_port, cast(CASE WHEN conv_id % 2 = 0 THEN 443 ELSE 40000 + conv_id % 20000 END AS bigint) AS b_port
+FROM ({TLS_SEGMENTS}) t0""")
+HTTP_WIRE = _FRAME.replace("INNER_", f"""
+SELECT *, 'h' AS prefix, '0A030001' AS a_hex, '0A030002' AS b_hex, cast(20000 + page_id % 40000 AS bigint) AS a_port, cast(80 AS bigint) AS b_port FROM ({HTTP_SEGMENTS}) h0""")
+
 # Each document as a little-endian capture file: 100-byte packets, one per second.
 DOC_CAPTURES = """
 SELECT cast(doc_id AS string) AS capture_id, ci + 1 AS frame_no, 1000000 * (ci % 65536) + 7 AS ts_us, {packet} AS raw_hex,
@@ -226,6 +245,8 @@ VIEWS = {
     "doc_captures": DOC_CAPTURES,
     "http_streams": HTTP_STREAMS,
     "http_segments": HTTP_SEGMENTS,
+    "tls_wire": TLS_WIRE,
+    "http_wire": HTTP_WIRE,
     "stage_runs": STAGE_RUNS,
     "errors": ERRORS,
 }

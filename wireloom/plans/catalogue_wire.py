@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from wireloom.functions import layers as L
 from wireloom.functions.octets import be_int
 from wireloom.operators import dissect as di
-from wireloom.plans.carriers import KEY, table
+from wireloom.plans.carriers import KEY, carrier, table
 from wireloom.plans.catalogue_packets import anon_sql, wire
+from wireloom.plans.catalogue_streams import _MERGE, _RULES, _WALK
 from wireloom.plans.sanitise import sanitise
 from wireloom.sources.captures import check_header, split_content
 from wireloom.sources.sinks import processed_name
@@ -64,6 +65,20 @@ def sanitise_packets(spark, sf):
     return out.select("capture_id", "frame_no", "tuple_key", "src_ip", "dst_ip", F.hex("payload").alias("payload_hex"))
 
 
+def protocol_frames(spark, sf, *names):
+    out = None
+    for name in names:
+        part = carrier(spark, sf, name).select("capture_id", "frame_no", F.unhex("raw_hex").alias("raw"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sanitised(spark, sf, protocol, *names):
+    """Real frames of whole texts through the whole flow: dedup, anonymise, find rules, mask."""
+    out = sanitise(protocol_frames(spark, sf, *names), KEY, protocol=protocol)
+    return out.select("capture_id", "frame_no", "direction", F.col("ip_modified").cast("int").alias("ip_modified"), F.hex("payload").alias("payload_hex"), "kept_bytes", "masked_bytes")
+
+
 def s2_packets(spark, sf):
     """Capture bytes made from whole documents, then read back record by record."""
     rows = table(spark, sf, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("capture_id"), F.col("text").cast("binary").alias("b"))
@@ -111,6 +126,9 @@ QUERIES = {
     "a9_checksums": a9_checksums,
     "sanitise_flagship": sanitise_flagship,
     "sanitise_packets": sanitise_packets,
+    "sanitise_tls": lambda s, d: sanitised(s, d, "tls", "tls_wire"),
+    "sanitise_http": lambda s, d: sanitised(s, d, "http", "http_wire"),
+    "sanitise_auto": lambda s, d: sanitised(s, d, "auto", "tls_wire", "http_wire"),
     "p1_layers": p1_layers,
     "p2_ethernet": lambda s, d: _fields(s, d, "Ethernet", L.ethernet_fields, 1),
     "p3_vlans": p3_vlans,
@@ -138,7 +156,38 @@ def _fold(s: str) -> str:
     return f"(65535 - ((({s}) % 65536 + ({s}) // 65536) % 65536 + (({s}) % 65536 + ({s}) // 65536) // 65536))"
 
 
+_FLOW = "capture_id, tuple_key, direction"
+# Frames whose first byte lies in no rule and that begin with a record header, with the rule that each adds.
+_ALONE = f"""(SELECT {_FLOW}, seq AS seq_start, seq + CASE substr(payload_hex, 1, 2) WHEN '17' THEN 5 ELSE len END AS seq_end FROM {{tls_segments}} s
+   WHERE len >= 5 AND substr(payload_hex, 1, 2) IN ('14', '15', '16', '17', '18') AND substr(payload_hex, 3, 4) IN ('0300', '0301', '0302', '0303') AND ('0x' || substr(payload_hex, 7, 4))::BIGINT BETWEEN 1 AND 16384
+   AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.capture_id = s.capture_id AND r.tuple_key = s.tuple_key AND r.direction = s.direction AND r.seq_start <= s.seq AND s.seq < r.seq_end))"""
+_TLS_MASKED = f""", own AS (SELECT {_FLOW}, seq_start, seq_end FROM rules WHERE seq_start < seq_end UNION SELECT * FROM {_ALONE}),
+   both_ways AS (SELECT * FROM own UNION SELECT capture_id, tuple_key, CASE direction WHEN 'forward' THEN 'reverse' ELSE 'forward' END, seq_start, seq_end FROM own
+     WHERE (capture_id, tuple_key) IN (SELECT (capture_id, tuple_key) FROM own GROUP BY capture_id, tuple_key HAVING count(DISTINCT direction) = 1)),
+   spans AS ({_MERGE.replace('IN_', 'both_ways')}),
+   hit AS (SELECT s.capture_id, s.frame_no, list(struct_pack(a := greatest(s.seq, c.seq_start) - s.seq, b := least(s.seq + s.len, c.seq_end) - s.seq)) AS rs
+     FROM {{tls_segments}} s JOIN spans c ON c.capture_id = s.capture_id AND c.tuple_key = s.tuple_key AND c.direction = s.direction AND c.seq_start < s.seq + s.len AND c.seq_end > s.seq GROUP BY 1, 2),
+   tls_out AS (SELECT 't' || s.capture_id AS capture_id, s.frame_no, s.direction, 1 AS ip_modified,
+     array_to_string(list_transform(range(0, len), lambda i: CASE WHEN len(list_filter(coalesce(rs, []), lambda r: r.a <= i AND i < r.b)) > 0 THEN substr(payload_hex, 2 * i + 1, 2) ELSE '00' END), '') AS payload_hex,
+     coalesce(list_sum(list_transform(rs, lambda r: r.b - r.a)), 0)::BIGINT AS kept_bytes, len - coalesce(list_sum(list_transform(rs, lambda r: r.b - r.a)), 0)::BIGINT AS masked_bytes
+     FROM {{tls_segments}} s LEFT JOIN hit USING (capture_id, frame_no))"""
+# What may stay of each request or response: all of the header but the values of Cookie and Referer; made from the same parts as the header.
+_CRLF = "'0D0A'"
+_SHOWN = f"""(SELECT page_id, hex(CASE WHEN page_id % 3 = 0 THEN 'HTTP/1.1 200 OK' ELSE 'GET /p/' || page_id || ' HTTP/1.1' END) || {_CRLF} || hex('Host: h' || page_id % 9 || '.example') || {_CRLF}
+     || hex('Cookie: ') || repeat('00', length('id=' || page_id)) || {_CRLF} || repeat('00', length(' folded=' || page_id * 7)) || {_CRLF} || hex('Accept: */*') || {_CRLF}
+     || CASE WHEN page_id % 2 = 0 THEN hex('Referer:  ') || repeat('00', octet_length(encode(url))) || {_CRLF} ELSE '' END || {_CRLF} AS shown,
+     hex(CASE WHEN page_id % 3 = 0 THEN 'HTTP/1.1 200 OK' ELSE 'GET /p/' || page_id || ' HTTP/1.1' END) || {_CRLF} || hex('Host: h' || page_id % 9 || '.example') || {_CRLF}
+     || hex('Cookie: ') || repeat('FF', length('id=' || page_id)) || {_CRLF} || repeat('FF', length(' folded=' || page_id * 7)) || {_CRLF} || hex('Accept: */*') || {_CRLF}
+     || CASE WHEN page_id % 2 = 0 THEN hex('Referer:  ') || repeat('FF', octet_length(encode(url))) || {_CRLF} ELSE '' END || {_CRLF} AS marked FROM pages)"""
+_HTTP_OUT = f"""(SELECT capture_id, frame_no, direction, ip_modified, rpad(part, 2 * len::INT, '0') AS payload_hex, kept AS kept_bytes, len - kept AS masked_bytes FROM (
+     SELECT 'h' || s.capture_id AS capture_id, frame_no, direction, 1 AS ip_modified, len, substr(shown, (512 * (frame_no % 1000000) + 1)::INT, 512) AS part,
+       (SELECT count(*) FROM range(0, 256) t(i) WHERE substr(marked, (512 * (frame_no % 1000000) + 2 * i + 1)::INT, 2) NOT IN ('FF', ''))::BIGINT AS kept
+     FROM {{http_segments}} s JOIN {_SHOWN} h USING (page_id)))"""
+
 ORACLES = {
+    "sanitise_tls": f"{_WALK} {_RULES} {_TLS_MASKED} SELECT * FROM tls_out",
+    "sanitise_http": f"SELECT * FROM {_HTTP_OUT}",
+    "sanitise_auto": f"{_WALK} {_RULES} {_TLS_MASKED} SELECT * FROM tls_out UNION ALL SELECT * FROM {_HTTP_OUT}",
     "s2_packets": "SELECT capture_id, frame_no, ts_us, length(raw_hex) // 2 AS wire_len, 1 AS linktype, raw_hex FROM {doc_captures}",
     "s9_header_check": """SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 0 WHEN doc_id % 3 = 0 AND octet_length(encode(text)) < 16 THEN 0 ELSE 1 END AS is_valid, CASE doc_id % 3 WHEN 0 THEN 'pcap' WHEN 1 THEN 'pcapng' END AS format,
         CASE WHEN doc_id % 3 = 0 THEN '2.4' END AS version, CASE WHEN doc_id % 3 = 0 THEN doc_id % 200 END AS linktype,
