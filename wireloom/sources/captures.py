@@ -5,14 +5,15 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wireloom.functions.octets import be_int
-from wireloom.operators.walk import follow, walk
+from wireloom.operators.stage import materialise
 from wireloom.sources import framing as fr
 
 EXTENSIONS = ("pcap", "pcapng", "cap")
@@ -22,7 +23,9 @@ _PACKET = T.StructType([
     T.StructField("capture_id", T.StringType()), T.StructField("frame_no", T.LongType()), T.StructField("ts_us", T.LongType()),
     T.StructField("wire_len", T.LongType()), T.StructField("linktype", T.IntegerType()), T.StructField("raw", T.BinaryType())])
 _PACKET_ARROW = pa.schema([("capture_id", pa.string()), ("frame_no", pa.int64()), ("ts_us", pa.int64()), ("wire_len", pa.int64()), ("linktype", pa.int32()), ("raw", pa.binary())])
-_RANGE_ITEM = T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("nxt", T.LongType())]))
+_FACT = "path string, size long, blk long, guess boolean, entry long, leave long, n long, changes binary"
+_STEP = "path string, size long, blk long, entry long, first long, state binary, missing boolean"
+SMALL_TASK = 64 << 20  # bytes of small captures for one task
 
 
 def _files(spark: SparkSession, path: str, recursive: bool, extensions=EXTENSIONS) -> DataFrame:
@@ -128,23 +131,108 @@ def _read_range(f, at: int, size: int) -> bytes:
     return f.read(size)
 
 
-def read_captures(spark: SparkSession, path: str, recursive: bool = True, range_bytes: int = RANGE, levels: int = 2, fan: int = 512) -> DataFrame:
+def _head(f) -> bytes:
+    return _read_range(f, 0, fr.FILE_HEADER)
+
+
+def _range_fact(f, size: int, blk: int, range_bytes: int, entry: int | None, state: bytes) -> tuple:
+    """(entry, next entry, packets, interface changes) of one byte range; without ``entry`` a guess is made, which may be None."""
+    head, base = _head(f), blk * range_bytes
+    limit = min(base + range_bytes, size)
+    data = _read_range(f, base, limit - base + fr.RECORD_HEADER - 1)
+    known = fr.pcap_header(head)
+    if known:
+        order, ticks = known[:2]
+        if entry is None:
+            entry = fr.FILE_HEADER if blk == 0 else fr.pcap_guess(data, base, limit, size, order, ticks)
+        return (None, None, 0, b"") if entry is None else (entry, *fr.pcap_follow(data, base, entry, limit, size, order), b"")
+    order = fr.section_order(state or head)
+    if entry is None:
+        entry = 0 if blk == 0 else fr.pcapng_guess(data, base, limit, size, order)
+    return (None, None, 0, b"") if entry is None else (entry, *fr.pcapng_follow(data, base, entry, limit, size, order, lambda at, n: _read_range(f, at, n)))
+
+
+def _placed_ranges(range_bytes: int):
+    """Facts of one capture's ranges -> where each range is truly entered, its first frame and interface blocks; ``missing`` where no fact tells how it is left."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        path, size = pdf["path"].iloc[0], int(pdf["size"].iloc[0])
+        guess, facts = {}, {}
+        for blk, guessed, entry, leave, n, changes in zip(pdf["blk"], pdf["guess"], pdf["entry"], pdf["leave"], pdf["n"], pdf["changes"]):
+            if not pd.isna(entry):
+                facts[blk, int(entry)] = int(leave), int(n), changes
+                if guessed:
+                    guess[blk] = int(entry)
+        at, frame, state, out = guess.get(0, 0), 0, b"", []
+        for blk in range(int(pdf["blk"].max()) + 1):
+            if at is None:
+                at = guess.get(blk)  # behind a range that has to be read again: taken on trust until the next pass
+            if at is None or at >= (blk + 1) * range_bytes:
+                continue
+            known = facts.get((blk, at))
+            out.append((path, size, blk, at, frame, state, known is None))
+            at = None
+            if known:
+                at, n, changes = known
+                frame += n
+                state = fr.current_section(state + changes) if changes else state
+        return pd.DataFrame(out, columns=["path", "size", "blk", "entry", "first", "state", "missing"])
+
+    return run
+
+
+def _packets_between(f, name: str, entry: int, stop: int, first: int, state: bytes) -> Iterator[tuple]:
+    """Packets of the records that begin in [entry, stop), in constant memory however long they are."""
+    known = fr.pcap_header(_head(f))
+    f.seek(entry)
+    stream = io.BufferedReader(f, 1 << 20)
+    at, n = entry, first
+
+    def read(k: int) -> bytes:
+        nonlocal at
+        got = before.read(k)
+        if len(got) < k:
+            more = stream.read(k - len(got))
+            at += len(more)
+            got += more
+        return got
+
+    before = io.BytesIO(state)
+    if known:
+        order, ticks, link, _snap = known
+        while at < stop:
+            h = read(fr.RECORD_HEADER)
+            size = int.from_bytes(h[8:12], "little" if order == "<" else "big")
+            if len(h) < fr.RECORD_HEADER or len(body := read(size)) < size:
+                return
+            n += 1
+            ts, wire, raw = fr.pcap_record(h + body, 0, order, ticks)
+            yield name, n, ts, wire, link, raw
+    else:
+        for n, (link, ts, wire, raw) in enumerate(fr.pcapng_records(read, lambda: at < stop), first + 1):
+            yield name, n, ts, wire, link, raw
+
+
+def read_captures(spark: SparkSession, path: str, recursive: bool = True, range_bytes: int = RANGE) -> DataFrame:
     """Packets ``(capture_id, frame_no, ts_us, wire_len, linktype, raw)`` of all captures below ``path``.
 
-    Files up to one range are read by one task each.  Larger pcap files are cut into byte ranges: every range lists where records may
-    begin, the walk over ranges finds where they do begin, and each range then emits its own packets, so no task reads a file as a
-    whole and no packet is shuffled.  pcapng packets depend on earlier interface blocks, so such files are streamed by one task.
+    Files up to one range are read by one task each.  Larger files, pcap or pcapng, are cut into byte ranges that are read in parallel:
+    every range guesses where its first record begins and follows the chain from there; a pass over these facts, a few bytes a range,
+    finds where each range is truly entered, which interfaces are known there and which frame comes first.  Ranges guessed wrongly are
+    followed again from their true entry until all are known, so the result is that of a front-to-back read, whatever the records' size.
+    No task reads a file as a whole and no packet is shuffled.
     """
-    if range_bytes < fr.MAX_JUMP:
-        raise ValueError(f"range_bytes must be at least {fr.MAX_JUMP}")
     files = _files(spark, path, recursive).select("path", "length")
-    n = spark.sparkContext.defaultParallelism
+    total = files.agg(F.sum(F.least("length", F.lit(range_bytes)))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, int(total) // SMALL_TASK)
+
     def split(batches):
         for b in batches:
             kinds = []
             for name, size in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
                 with _open(name) as f:
-                    kinds.append(size > range_bytes and fr.pcap_header(_read_range(f, 0, fr.FILE_HEADER)) is not None)
+                    head = _head(f)
+                    kinds.append(size > range_bytes and (fr.pcap_header(head) is not None or fr.is_pcapng(head)))
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(kinds, pa.bool_())], ["path", "length", "ranged"])
 
     # the first bytes say what a file is, not its name
@@ -161,45 +249,36 @@ def read_captures(spark: SparkSession, path: str, recursive: bool = True, range_
     large = files.where("ranged").select("path", "length")
     if large.isEmpty():
         return out
-    last = F.floor((F.col("length") - fr.FILE_HEADER - 1) / range_bytes)
-    ranges = large.select(F.col("path"), F.col("length").alias("size"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("blk")).repartition("path", "blk")
-    item_arrow = pa.schema([("path", pa.string()), ("size", pa.int64()), ("blk", pa.int64()), ("items", pa.list_(pa.struct([("pos", pa.int64()), ("nxt", pa.int64())])))])
+    last = F.floor((F.col("length") - 1) / range_bytes)
+    ranges = large.select("path", F.col("length").alias("size"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("blk")).repartition("path", "blk")
 
-    def scan(batches):
-        for b in batches:
-            for name, size, blk in zip(*[b.column(c).to_pylist() for c in ("path", "size", "blk")]):
-                with _open(name) as f:
-                    known = fr.pcap_header(_read_range(f, 0, fr.FILE_HEADER))
-                    items = []
-                    if known:
-                        base = blk * range_bytes
-                        data = _read_range(f, fr.FILE_HEADER + base, range_bytes + fr.RECORD_HEADER - 1)
-                        pos, nxt = fr.record_starts(data, base, range_bytes, size - fr.FILE_HEADER, known[0], known[1])
-                        if blk == 0:
-                            taken = follow(pos, nxt, 0)
-                            pos, nxt = pos[taken], nxt[taken]
-                        items = [{"pos": int(p), "nxt": int(x)} for p, x in zip(pos, nxt)]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([blk]), pa.array([items], type=item_arrow.field("items").type)], schema=item_arrow)
-
-    found = ranges.mapInArrow(scan, T.StructType([*ranges.schema.fields, T.StructField("items", _RANGE_ITEM)]))
-    records = walk(found, ["path"], "items", range_bytes, fr.MAX_JUMP, fan, levels)
-    per_range = records.select("path", F.floor(F.col("__item.pos") / range_bytes).alias("blk"), F.col("__item.pos").alias("pos")).groupBy("path", "blk").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    before = Window.partitionBy("path").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = per_range.select("path", "blk", F.size("at").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    plan = per_range.join(counts, ["path", "blk"]).repartition("path", "blk")
+    def facts(guessing: bool):
+        def run(batches):
+            for b in batches:
+                for row in b.to_pylist():
+                    with _open(row["path"]) as f:
+                        got = _range_fact(f, row["size"], row["blk"], range_bytes, None if guessing else row["entry"], b"" if guessing else row["state"])
+                    cols = [row["path"], row["size"], row["blk"], guessing, *got]
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cols, kinds)], [c.split()[0] for c in _FACT.split(", ")])
+
+        return run
+
+    known = materialise(ranges.mapInArrow(facts(True), _FACT))
+    while True:
+        plan = materialise(known.groupBy("path").applyInPandas(_placed_ranges(range_bytes), _STEP))
+        again = plan.where("missing")
+        if again.isEmpty():
+            break
+        known = known.unionByName(materialise(again.repartition("path", "blk").mapInArrow(facts(False), _FACT)))
 
     def cut(batches):
         def rows():
             for b in batches:
-                for name, blk, at, first in zip(*[b.column(c).to_pylist() for c in ("path", "blk", "at", "first")]):
-                    with _open(name) as f:
-                        order, ticks, link, _snap = fr.pcap_header(_read_range(f, 0, fr.FILE_HEADER))
-                        base = blk * range_bytes
-                        data = _read_range(f, fr.FILE_HEADER + base, range_bytes + fr.MAX_JUMP)
-                        for i, p in enumerate(at):
-                            ts, wire, raw = fr.pcap_record(data, p - base, order, ticks)
-                            yield name, first + i + 1, ts, wire, link, raw
+                for row in b.to_pylist():
+                    with _open(row["path"]) as f:
+                        yield from _packets_between(f, row["path"], row["entry"], min((row["blk"] + 1) * range_bytes, row["size"]), row["first"], row["state"])
 
         yield from _batched(rows())
 
-    return out.unionByName(plan.mapInArrow(cut, _PACKET))
+    return out.unionByName(plan.repartition("path", "blk").mapInArrow(cut, _PACKET))
