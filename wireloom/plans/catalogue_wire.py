@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wireloom.functions import layers as L
 from wireloom.functions.octets import be_int
 from wireloom.operators import dissect as di
+from wireloom.operators.scan import running_count
+from wireloom.operators.stage import shared_folder
 from wireloom.plans.carriers import KEY, carrier, table
 from wireloom.plans.catalogue_packets import anon_sql, wire
 from wireloom.plans.catalogue_streams import _MERGE, _RULES, _WALK
 from wireloom.plans.sanitise import sanitise
-from wireloom.sources.captures import check_header, split_content
-from wireloom.sources.sinks import processed_name
+from wireloom.sources.captures import check_header, read_captures, split_content
+from wireloom.sources.sinks import processed_name, write_captures
 
 
 def raw_frames(spark, sf):
@@ -95,6 +99,16 @@ def s2_packets(spark, sf):
     return out.select("capture_id", "frame_no", "ts_us", "wire_len", "linktype", F.hex("raw").alias("raw_hex"))
 
 
+def s2_ranged(spark, sf):
+    """One capture file per source, a whole document in each record, written and read back in byte ranges."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("capture_id"), F.coalesce(F.col("text").cast("binary"), F.unhex(F.lit(""))).alias("raw"))
+    ids = running_count(docs.select("capture_id", "doc_id"), ["capture_id"], "doc_id", "before").select("doc_id", (F.col("before") + 1).alias("frame_no"))
+    folder = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    write_captures(docs.join(ids, "doc_id").select("capture_id", "frame_no", F.col("doc_id").alias("ts_us"), "raw"), folder)
+    name = F.regexp_extract("capture_id", r"([^/]+)_processed[^/]*$", 1)
+    return read_captures(spark, folder, range_bytes=1 << 18).select(name.alias("capture_id"), "frame_no", "ts_us", "wire_len", "linktype", F.hex("raw").alias("raw_hex"))
+
+
 def s9_header_check(spark, sf):
     docs = table(spark, sf, "documents")
     magic = F.when(F.col("doc_id") % 3 == 0, "A1B2C3D4").when(F.col("doc_id") % 3 == 1, "0A0D0D0A").otherwise("00000000")
@@ -121,6 +135,7 @@ def s10_names(spark, sf):
 
 QUERIES = {
     "s2_packets": s2_packets,
+    "s2_ranged": s2_ranged,
     "s9_header_check": s9_header_check,
     "s10_output_names": s10_names,
     "a9_checksums": a9_checksums,
@@ -185,6 +200,8 @@ _HTTP_OUT = f"""(SELECT capture_id, frame_no, direction, ip_modified, rpad(part,
      FROM {{http_segments}} s JOIN {_SHOWN} h USING (page_id)))"""
 
 ORACLES = {
+    "s2_ranged": """SELECT coalesce(source, 'none') AS capture_id, row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id) AS frame_no, doc_id AS ts_us,
+        octet_length(encode(coalesce(text, ''))) AS wire_len, 1 AS linktype, hex(coalesce(text, '')) AS raw_hex FROM documents""",
     "sanitise_tls": f"{_WALK} {_RULES} {_TLS_MASKED} SELECT * FROM tls_out",
     "sanitise_http": f"SELECT * FROM {_HTTP_OUT}",
     "sanitise_auto": f"{_WALK} {_RULES} {_TLS_MASKED} SELECT * FROM tls_out UNION ALL SELECT * FROM {_HTTP_OUT}",

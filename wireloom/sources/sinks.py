@@ -50,7 +50,7 @@ class _PcapWriter(DataSourceArrowWriter):
         self.folder = folder.rstrip("/")
 
     def _fs(self):
-        uri = self.folder if "://" in self.folder else "file://" + self.folder
+        uri = self.folder if "://" in self.folder else "file://" + self.folder.removeprefix("file:")
         return pafs.FileSystem.from_uri(uri)
 
     def write(self, iterator):
