@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.llm.store import written
+from wireloom.llm.store import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.unionAll(now.join(least, "u").select("u", F.col("m").alias("v"))).where("u > v").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(below.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        now = written(small, "stars")
+        new = written(small, "stars")
+        forget(now)
+        now = new
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

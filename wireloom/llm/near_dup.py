@@ -1,9 +1,12 @@
-"""Near duplicates by an exact prefix join over 5-word shingle sets.
+"""Near duplicates by a chosen-path set similarity join over 5-word shingle sets.
 
-Under a common order of all shingles, two sets that are similar enough share one of their first few (``_prefix``), so every such pair meets in
-the node of some shingle. Nodes of at most ``leaf`` sets are compared exhaustively. Larger nodes link their members to the node's smallest
-one; members that this leaves outside the node's largest component are compared with all others, block by block. Equal sets are one member
-throughout. Candidates that signatures do not rule out are confirmed on the full sets.
+Every distinct set has 64 minwise tokens. In each of several independent trees the root picks some of their places and sends a set to one
+child for each, named by its token there; a child with many sets picks places of its own and branches again. Sets that are similar enough
+share most tokens, so they meet in some small node; others are soon apart. Nodes of at most ``leaf`` sets are compared exhaustively, in larger
+ones all sets are compared with the smallest. What a sketch of the tokens does not rule out is confirmed on the full sets.
+
+A large node whose members these links have joined already is done; only others are branched. What is still large and not joined at the
+lowest level is compared block by block. Equal sets are one member throughout.
 """
 
 from __future__ import annotations
@@ -17,63 +20,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.llm.graph import components
-from wireloom.llm.store import written
-from wireloom.llm.words import WordHashes, shingles, words
+from wireloom.llm.store import forget, small_batches, unused, written
+from wireloom.llm.words import WordHashes, mixed, shingles, words
 
 COORDS = 64
+TREES = 6
+CHOSEN = 2  # places that a node picks: of 12 at the roots, two sets at 0.85 have none in common with probability 1e-10, at 0.80 with 4e-9
+LEVELS = 5
 BROADCAST_ROWS = 500_000
-SAMPLE = 20  # one text in so many is read for the frequencies
-FREQUENT = 1_000_000
 TILE = 2048  # members of a block, or 128 times as many shingles
 COLUMNS = 1024
+BATCH = 500  # rows that a Python task gets at once
 _rng = np.random.default_rng(20)
 _XOR, _MUL = (_rng.integers(1, 2**63, COORDS, dtype=np.int64).astype(np.uint64) for _ in range(2))
 _MUL |= np.uint64(1)
-_hashes = WordHashes()
+_ROOTS = _rng.permutation(COORDS)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_hashes = WordHashes(200_000)
 
 
-def signature(s: np.ndarray) -> bytes:
-    """The minwise tokens of a set, four bytes each; long sets go slice by slice."""
+def signature(s: np.ndarray) -> np.ndarray:
+    """The minwise tokens of a set; long sets go slice by slice."""
     least = np.full(COORDS, 2**64 - 1, np.uint64)
     for at in range(0, len(s), 4096):
         least = np.minimum(least, ((s[None, at : at + 4096] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1))
-    return (least >> np.uint64(32)).astype(np.uint32).tobytes()
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def least_equal(percent: int) -> int:
-    """Equal tokens of two signatures below which a pair is ruled out: of pairs at exactly ``percent`` one in 10**12 has fewer."""
-    t, k, tail = percent / 100, 0, (1 - percent / 100) ** COORDS
+    """Places at which the two-bit sketches of a pair must be equal: of pairs at exactly ``percent`` one in 10**12 has fewer."""
+    t = percent / 100 + (1 - percent / 100) / 4
+    k, tail = 0, (1 - t) ** COORDS
     while tail < 1e-12:
         k += 1
         tail += math.comb(COORDS, k) * t**k * (1 - t) ** (COORDS - k)
     return k
 
 
+def _sketch(sigs: np.ndarray) -> list[np.ndarray]:
+    """The two lowest bits of all tokens of each set, as two 64-bit numbers."""
+    return [np.packbits(((sigs >> np.uint32(k)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64).ravel() for k in range(2)]
+
+
 def _fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _summary(percent: int, shared):
-    def run(batches):
-        frequent, counts = shared.value
-        for b in _sliced(batches):
-            sets = [shingles(_hashes.of(words(t)), 5) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()),
-                    pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array([_prefix(s, percent, frequent, counts).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ],
-                ["id", "tkey", "n", "fp", "sig", "prefix"],
-            )
-
-    return run
+def _summary(batches):
+    """(id, tkey, text) -> size, fingerprint and tokens of the set; tokens are null without a word."""
+    for b in _sliced(batches):
+        sets = [shingles(_hashes.of(words(t)), 5) for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()),
+                pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+            ],
+            ["id", "tkey", "n", "fp", "sig"],
+        )
 
 
 def _sliced(batches):
     """Few rows at a time, so that the sets of a batch need little memory."""
     for b in batches:
-        for at in range(0, len(b), 256):
-            yield b.slice(at, 256)
+        for at in range(0, len(b), 128):
+            yield b.slice(at, 128)
 
 
 def _full(batches):
@@ -82,43 +92,38 @@ def _full(batches):
         yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "grams"])
 
 
-def _tokens(batches):
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(shingles(_hashes.of(words(t)), 5).view(np.int64))], ["token"])
-
+def _tokens(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
 
-def _prefix(s: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set of which one is shared with every set that is similar enough: by a common order, all but the last that both may lack.
 
-    The order is by frequency as far as it is known, then by hash; which order it is decides the cost alone.
-    """
-    k = len(s) - (percent * len(s) + 99) // 100 + 1
-    if not len(frequent):
-        return s[:k]
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    return s[np.argsort(np.where(frequent[at] == s, counts[at], 0), kind="stable")[:k]]
+def _child(node: np.ndarray, place: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mixed(mixed(node + (place.astype(np.uint64) + np.uint64(1)) * _GOLD) ^ (token.astype(np.uint64) * _GOLD)).view(np.int64)
 
 
-def _entries(batches):
-    """(fp, prefix, n) -> one row for each shingle of the prefix."""
+def _planted(batches):
+    """(fp, n, sig) -> the children of the roots of all trees: (node, fp, n, p, q)."""
     for b in batches:
-        many = b.column(1).to_pylist()
-        row = np.repeat(np.arange(len(many)), [len(x) // 8 for x in many])
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(many), np.int64)), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row))], ["token", "fp", "n"])
-
-
-def _alike(percent: int):
-    least = least_equal(percent)
-
-    def run(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, COORDS) for i in (2, 3))
-            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
-
-    return run
+        if not len(b):
+            continue
+        sigs = _tokens(b.column(2))
+        p, q = map(pa.array, _sketch(sigs))
+        for tree in range(TREES):
+            for place in _ROOTS[CHOSEN * tree : CHOSEN * (tree + 1)]:
+                node = _child(np.full(len(b), tree, np.uint64), np.full(len(b), place), sigs[:, place])
+                yield pa.RecordBatch.from_arrays([pa.array(node), b.column(0), b.column(1), p, q], ["node", "fp", "n", "p", "q"])
+
+
+def _branched(batches):
+    """(node, fp, n, p, q, comp, sig) -> the children of ``node``, which picks places by its own name: (node, fp, n, p, q, comp)."""
+    for b in batches:
+        if not len(b):
+            continue
+        node, sigs = b.column(0).to_numpy().view(np.uint64), _tokens(b.column(6))
+        picked = mixed(node + _GOLD)
+        for k in range(CHOSEN):
+            place = ((picked + np.uint64(k) * (np.uint64(1) + (picked >> np.uint64(32)) % np.uint64(COORDS - 1))) % np.uint64(COORDS)).astype(np.int64)
+            child = _child(node, place, sigs[np.arange(len(b)), place])
+            yield pa.RecordBatch.from_arrays([pa.array(child), *b.columns[1:6]], ["node", "fp", "n", "p", "q", "comp"])
 
 
 def _confirmed(percent: int):
@@ -188,13 +193,35 @@ def _tile(percent: int):
     return run
 
 
-def _open(large: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of nodes that hold more than one component (``comps``: node, comp), with the node's largest one and its number of strays.
+def _near(level: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """Pairs (a, b) within nodes that sizes and sketches do not rule out: all of a small node, those with the smallest set of a large one.
 
-    Strays are members outside the largest component. Of nodes with the same members one is left.
+    ``level``: node, fp, n, p, q, comp (what earlier links have joined), size and hub of the node.
     """
-    rows = large.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("comp", "fp").alias("comp"))
-    rows = written(rows, "unsettled")
+    differ = f"bit_count((x.p ^ y.p) | (x.q ^ y.q)) <= {COORDS - least_equal(percent)} and x.comp <> y.comp"
+    fits = f"{percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
+    few = level.where(F.col("size") <= leaf).groupBy("node").agg(F.collect_list(F.struct("fp", "n", "p", "q", "comp")).alias("m"))
+    every = few.select(F.explode(F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> y.fp > x.fp and {fits} and {differ}), y -> struct(x.fp as a, y.fp as b))))")).alias("r")).select("r.*")
+    many = level.where(F.col("size") > leaf).select(F.col("hub").alias("x"), F.struct("fp", "n", "p", "q", "comp").alias("y")).where(f"x.fp <> y.fp and {fits} and {differ}")
+    return every.unionAll(many.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))).distinct()
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, fp, n, p, q, comp) of nodes that hold more than one component, with the node's size and its smallest set as hub."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("fp", "n", "p", "q", "comp")).alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    return written(rows.join(sizes.where("size > 1 and c0 <> c1").drop("c0", "c1"), "node"), "nodes")
+
+
+def _placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.drop("comp").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+
+
+def _still_open(large: DataFrame) -> DataFrame:
+    """Members (token, fp, comp, main, m, strays, grams) of nodes with more than one component; strays are those outside the largest one.
+
+    Of nodes with the same members one is left.
+    """
+    rows = large.select(F.col("node").alias("token"), "fp", "n", "comp")
     parts = rows.groupBy("token", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("grams"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
     nodes = parts.groupBy("token").agg(
         F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"), (F.sum("m") - F.max("m")).alias("strays"), F.sum("grams").alias("grams"), F.sum("x").alias("x"), F.bit_xor("y").alias("y")
@@ -203,16 +230,6 @@ def _open(large: DataFrame, comps: DataFrame) -> DataFrame:
     return written(rows.join(nodes, "token"), "open-nodes")
 
 
-def _near(open_: DataFrame, leaf: int) -> DataFrame:
-    """Pairs of all strays with all members of other components in nodes of at most ``leaf`` strays; one pair for each stray of other nodes."""
-    few, many = open_.where(F.col("strays") <= leaf), open_.where((F.col("strays") > leaf) & (F.col("comp") != F.col("main")))
-    x = few.where("comp <> main").select("token", F.col("fp").alias("x"), F.col("comp").alias("cx"))
-    y = few.select("token", F.col("fp").alias("y"), F.col("comp").alias("cy"))
-    cross = x.join(y, "token").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    hubs = many.groupBy("token").agg(F.min("fp").alias("hub"))
-    return cross.unionAll(many.join(hubs, "token").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))).distinct()
-
-
 def _tiled(open_: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The links of all strays with all members of other components, block by block; blocks are bounded by members and by shingles."""
     sets = _sets(open_.select("fp").distinct(), texts, reps)
@@ -228,78 +245,106 @@ def _tiled(open_: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) ->
 
 def _sets(members: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     """(fp, grams) of the members, made again from one text of each."""
-    members = written(members.join(reps.select("fp", "tkey"), "fp").select("tkey"), "members")
-    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    sets = texts.join(members, "tkey", "left_semi").select("text").mapInArrow(_full, "fp binary, grams binary").groupBy("fp").agg(F.first("grams").alias("grams"))
-    return written(sets, "sets")
+    keys = written(members.join(reps.select("fp", "tkey"), "fp").select("tkey"), "members")
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    sets = texts.join(few, "tkey", "left_semi").select("text").mapInArrow(_full, "fp binary, grams binary").groupBy("fp").agg(F.first("grams").alias("grams"))
+    out = written(sets, "sets")
+    forget(keys)
+    return out
 
 
 def _links(pairs: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), texts, reps)
     left, right = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a binary, b binary"), "links")
-
+    out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a binary, b binary"), "links")
+    forget(sets)
+    return out
 
-def similar(texts: DataFrame, reps: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """(node, comp) of the members linked with any other."""
-    sigs = reps.select("fp", "sig")
 
-    def ruled(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sigs.withColumnsRenamed({"fp": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"fp": "b", "sig": "y"}), "b")
-        return written(pairs.select("a", "b", "x", "y").mapInArrow(_alike(percent), "a binary, b binary"), "alike")
+def _joined(links: DataFrame | None, comps: DataFrame | None, pairs: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All links and components after confirming ``pairs``: first one pair of each member, then only those that this has not joined already."""
 
-    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    def apart(some: DataFrame) -> DataFrame:
         of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    level = written(reps.select("fp", "prefix", "n").mapInArrow(_entries, "token long, fp binary, n long"), "nodes")
-    sizes = level.groupBy("token").agg(F.count("*").alias("size"), F.min("fp").alias("least")).where("size > 1")
-    sized = written(level.join(sizes, "token"), "sized-nodes")
-    few = sized.where(F.col("size") <= leaf).groupBy("token").agg(F.collect_list(F.struct("fp", "n")).alias("m"))
-    fits = f"y.fp > x.fp and {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
-    every = few.select(F.explode(F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> {fits}), y -> struct(x.fp as a, y.fp as b))))")).alias("p")).select("p.*")
-    large = sized.where(F.col("size") > leaf).select("token", "fp", "n", "least")
-    stars = large.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    pairs = ruled(every.unionAll(stars).distinct())
-    # first one pair of each member, then only pairs that these links have not joined already
+        return some.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    def add(some: DataFrame) -> None:
+        nonlocal links, comps
+        if not some.isEmpty():
+            new = _links(some, texts, reps, percent)
+            links = new if links is None else links.unionAll(new)
+            if comps is not None:
+                forget(comps)
+            comps = written(components(links), "components")
+
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _links(first, texts, reps, percent)
-    comps = written(components(links), "components")
-    rest = written(apart(pairs, comps).join(first, ["a", "b"], "left_anti"), "apart")
-    if not rest.isEmpty():
-        links = links.unionAll(_links(rest, texts, reps, percent))
-        comps = written(components(links), "components")
-    # large nodes: what the links to one member have not joined is compared in full
-    large = large.select("token", "fp", "n")
-    open_ = _open(large, comps)
-    if open_.isEmpty():
-        return comps
-    rest = written(apart(ruled(_near(open_, leaf)), comps), "apart")
-    if not rest.isEmpty():
-        links = links.unionAll(_links(rest, texts, reps, percent))
-        comps = written(components(links), "components")
-    open_ = _open(open_.where(F.col("strays") > leaf).select("token", "fp", "n"), comps)
-    if open_.isEmpty():
-        return comps
-    return written(components(links.unionAll(_tiled(open_, texts, reps, percent))), "components")
-
-
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of a sample of texts hold, sorted, and how many. They order the sets' shingles and decide the cost alone."""
-    tokens = texts.where(F.crc32(F.col("tkey").cast("binary")) % SAMPLE == 0).select("text").mapInArrow(_tokens, "token long")
-    counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n >= 5"), "frequent")
-    sizes = sorted(map(tuple, counts.groupBy("n").agg(F.count("*")).collect()), reverse=True)
-    least, rows = 2**62, 0
-    for n, k in sizes:
-        rows += k
-        if rows > FREQUENT:
+    add(first)
+    if comps is not None:
+        rest = written(apart(pairs.join(first, ["a", "b"], "left_anti")), "apart")
+        add(rest)
+        forget(rest)
+    return links, comps
+
+
+def similar(texts: DataFrame, reps: DataFrame, percent: int, leaf: int) -> DataFrame | None:
+    """(node, comp) of the members linked with any other; None without a link."""
+    planted = reps.select("fp", "n", "sig").mapInArrow(_planted, "node long, fp binary, n long, p long, q long")
+    level = _sized(planted.withColumn("comp", F.col("fp")))
+    links = comps = None
+    below = []
+    for depth in range(LEVELS):
+        pairs = written(_near(level, percent, leaf), "pairs")
+        if depth == 0:
+            links, comps = _joined(links, comps, pairs, texts, reps, percent)
+            forget(pairs)
+        else:
+            below.append(pairs)
+        large = level.where(F.col("size") > leaf).drop("size", "hub")
+        if comps is not None and depth == 0:
+            large = _placed(large, comps)
+        if depth == LEVELS - 1 or large.isEmpty():
             break
-        least = n
-    got = counts.where(F.col("n") >= least).toArrow()
-    tokens, n = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], n[order]
+        # nodes whose members the links at the roots have joined drop out, here and in _sized of their children
+        mixed_ = large.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node")
+        going = large.join(mixed_, "node", "left_semi").join(reps.select("fp", "sig"), "fp").select("node", "fp", "n", "p", "q", "comp", "sig")
+        new = _sized(going.mapInArrow(_branched, "node long, fp binary, n long, p long, q long, comp binary"))
+        forget(level)
+        level = new
+    if below:
+        every = below[0]
+        for more in below[1:]:
+            every = every.unionAll(more)
+        links, comps = _joined(links, comps, written(every.distinct(), "pairs"), texts, reps, percent)
+        forget(*below)
+    large = level.where(F.col("size") > leaf).drop("size", "hub")
+    if not large.isEmpty():
+        # as large as ever at the lowest level: strays are compared with all members in full
+        open_ = _still_open(_placed(large, comps) if comps is not None else large)
+        if not open_.isEmpty():
+            found = _tiled(open_, texts, reps, percent)
+            if not found.isEmpty():
+                comps = written(components(found if links is None else links.unionAll(found)), "components")
+        forget(open_)
+    forget(level)
+    return comps
+
+
+def _classes(docs: DataFrame, percent: int, leaf: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, tkey, n, component_id, kept) per row; ``tkey`` is a digest of the row's text."""
+    texts = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("tkey"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    with small_batches(docs.sparkSession, BATCH):
+        rows = written(texts.select("id", "tkey", "text").mapInArrow(_summary, f"id {kind}, tkey string, n long, fp binary, sig binary"), "signatures")
+        reps = written(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("tkey").alias("tkey"), F.first("sig").alias("sig"), F.first("n").alias("n")), "members")
+        comps = similar(texts, reps, percent, leaf)
+    placed = reps.select("fp", "id")
+    placed = placed.withColumn("comp", F.col("fp")) if comps is None else placed.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    least = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
+    placed = placed.join(least, "comp").select("fp", "component_id")
+    out = rows.select("id", "tkey", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(placed, "fp", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select("id", "tkey", "n", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, leaf: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,23 +354,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, leaf: int = 24, id_col:
     nothing. Rows with equal ids are separate documents that share a name: each is linked by its own text. A null id is never the smallest
     unless a component has no other; such a row is kept as its component's only one. Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("tkey"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
-    rows = written(texts.select("id", "tkey", "text").mapInArrow(_summary(percent, shared), f"id {kind}, tkey string, n long, fp binary, sig binary, prefix binary"), "signatures")
-    reps = written(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("tkey").alias("tkey"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"), F.first("n").alias("n")), "members")
-    comps = similar(texts, reps, percent, leaf)
-    placed = reps.select("fp", "id").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    least = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
-    placed = placed.join(least, "comp").select("fp", "component_id")
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(placed, "fp", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    out = _classes(docs, percent, leaf, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
-def without_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, of each component's smallest id; texts without words all stay. Of rows that repeat an id all stay."""
-    gone = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).where(~F.col("kept"))
-    gone = written(gone.select(F.col(id_col).alias("_gone")).distinct(), "near-duplicates")
+def without_near_duplicates(docs: DataFrame, percent: int = 85, leaf: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, of each component's smallest id; texts without words all stay.
+
+    Rows that share an id are separate: one goes only if its own text is in a component with a smaller id. Of rows that repeat id and
+    text all stay or all go.
+    """
+    names = [unused(docs, "gone_id"), unused(docs, "gone_text")]
+    gone = _classes(docs, percent, leaf, id_col, text_col).where(~F.col("kept"))
+    gone = written(gone.select(F.col("id").alias(names[0]), F.col("tkey").alias(names[1])).distinct(), "near-duplicates")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")), "left_anti")
+    digest = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (digest == F.col(names[1])), "left_anti")
