@@ -13,8 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round hangs neighbours under their smallest one; minima are summed before the shuffle, so a node with very many neighbours is
     only met in joins, which Spark splits. The rounds grow with the logarithm of the longest chain; each is written, so lineage stays short.
+    They end when every node hangs under one other and none of those hangs under a third.
     """
-    now, mark = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(small, "stars")
         forget(now)
         now = new
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == mark:
+        # of each node: how often it hangs, and whether another hangs under it
+        roles = now.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionAll(now.select("v", F.lit(0), F.lit(1)))
+        if roles.groupBy("x").agg(F.sum("hangs").alias("h"), F.max("holds").alias("o")).where("h > 1 or (h = 1 and o = 1)").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        mark = seen

@@ -26,7 +26,7 @@ from wireloom.llm.words import WordHashes, mixed, shingles, words
 COORDS = 64
 TREES = 6
 CHOSEN = 2  # places that a node picks: of 12 at the roots, two sets at 0.85 have none in common with probability 1e-10, at 0.80 with 4e-9
-LEVELS = 5
+LEVELS = 3
 BROADCAST_ROWS = 500_000
 TILE = 2048  # members of a block, or 128 times as many shingles
 COLUMNS = 1024
@@ -262,71 +262,54 @@ def _links(pairs: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) ->
     return out
 
 
-def _joined(links: DataFrame | None, comps: DataFrame | None, pairs: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All links and components after confirming ``pairs``: first one pair of each member, then only those that this has not joined already."""
+def _apart(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The pairs that no component holds already."""
+    if comps is None:
+        return pairs
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def apart(some: DataFrame) -> DataFrame:
-        of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-        return some.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def add(some: DataFrame) -> None:
-        nonlocal links, comps
-        if not some.isEmpty():
-            new = _links(some, texts, reps, percent)
-            links = new if links is None else links.unionAll(new)
-            if comps is not None:
-                forget(comps)
-            comps = written(components(links), "components")
-
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    add(first)
+def _joined(links: DataFrame | None, new: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """All links, and their components in place of the earlier ones."""
+    links = new if links is None else links.unionAll(new)
     if comps is not None:
-        rest = written(apart(pairs.join(first, ["a", "b"], "left_anti")), "apart")
-        add(rest)
-        forget(rest)
-    return links, comps
+        forget(comps)
+    return links, written(components(links), "components")
 
 
-def similar(texts: DataFrame, reps: DataFrame, percent: int, leaf: int) -> DataFrame | None:
-    """(node, comp) of the members linked with any other; None without a link."""
+def similar(texts: DataFrame, reps: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """(node, comp) of the members linked with any other."""
     planted = reps.select("fp", "n", "sig").mapInArrow(_planted, "node long, fp binary, n long, p long, q long")
     level = _sized(planted.withColumn("comp", F.col("fp")))
-    links = comps = None
-    below = []
-    for depth in range(LEVELS):
-        pairs = written(_near(level, percent, leaf), "pairs")
-        if depth == 0:
-            links, comps = _joined(links, comps, pairs, texts, reps, percent)
-            forget(pairs)
-        else:
-            below.append(pairs)
+    pairs = written(_near(level, percent, leaf), "pairs")
+    # one pair of each member first: what these links join needs no other pair, and large nodes that they join need no branching
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links, comps = _joined(None, _links(first, texts, reps, percent), None)
+    met = [written(_apart(pairs.join(first, ["a", "b"], "left_anti"), comps), "pairs")]
+    forget(pairs)
+    for depth in range(1, LEVELS):
         large = level.where(F.col("size") > leaf).drop("size", "hub")
-        if comps is not None and depth == 0:
+        if depth == 1:
             large = _placed(large, comps)
-        if depth == LEVELS - 1 or large.isEmpty():
-            break
-        # nodes whose members the links at the roots have joined drop out, here and in _sized of their children
-        mixed_ = large.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node")
-        going = large.join(mixed_, "node", "left_semi").join(reps.select("fp", "sig"), "fp").select("node", "fp", "n", "p", "q", "comp", "sig")
+            mixed_ = large.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node")
+            large = large.join(mixed_, "node", "left_semi")
+        going = large.join(reps.select("fp", "sig"), "fp").select("node", "fp", "n", "p", "q", "comp", "sig")
         new = _sized(going.mapInArrow(_branched, "node long, fp binary, n long, p long, q long, comp binary"))
         forget(level)
         level = new
-    if below:
-        every = below[0]
-        for more in below[1:]:
-            every = every.unionAll(more)
-        links, comps = _joined(links, comps, written(every.distinct(), "pairs"), texts, reps, percent)
-        forget(*below)
-    large = level.where(F.col("size") > leaf).drop("size", "hub")
-    if not large.isEmpty():
-        # as large as ever at the lowest level: strays are compared with all members in full
-        open_ = _still_open(_placed(large, comps) if comps is not None else large)
-        if not open_.isEmpty():
-            found = _tiled(open_, texts, reps, percent)
-            if not found.isEmpty():
-                comps = written(components(found if links is None else links.unionAll(found)), "components")
-        forget(open_)
+        met.append(written(_near(level, percent, leaf), "pairs"))
+    rest = met[0]
+    for more in met[1:]:
+        rest = rest.unionAll(more)
+    links, comps = _joined(links, _links(written(rest.distinct(), "pairs"), texts, reps, percent), comps)
+    forget(*met)
+    # as large as ever at the lowest level: strays are compared with all members in full
+    open_ = _still_open(_placed(level.where(F.col("size") > leaf).drop("size", "hub"), comps))
     forget(level)
+    if not open_.isEmpty():
+        links, comps = _joined(links, _tiled(open_, texts, reps, percent), comps)
+    forget(open_)
     return comps
 
 
@@ -338,8 +321,7 @@ def _classes(docs: DataFrame, percent: int, leaf: int, id_col: str, text_col: st
         rows = written(texts.select("id", "tkey", "text").mapInArrow(_summary, f"id {kind}, tkey string, n long, fp binary, sig binary"), "signatures")
         reps = written(rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("tkey").alias("tkey"), F.first("sig").alias("sig"), F.first("n").alias("n")), "members")
         comps = similar(texts, reps, percent, leaf)
-    placed = reps.select("fp", "id")
-    placed = placed.withColumn("comp", F.col("fp")) if comps is None else placed.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    placed = reps.select("fp", "id").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     least = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
     placed = placed.join(least, "comp").select("fp", "component_id")
     out = rows.select("id", "tkey", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(placed, "fp", "left")
