@@ -173,7 +173,7 @@ def test_header_walk_equals_serial_scan(spark, block):
     rng = random.Random(3)
     pieces = [b"GET /a HTTP/1.1\r\nHost: x\r\n", b"\r\n", b"\r", b"\n", b"body text ", b"HTTP/1.1 200 OK\r\n", b"POST /", b"Cookie: secret\r\n", b"z" * 90, b"more GET /b"]
     parts = [b"".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6))) for _ in range(400)]
-    got = hh.message_headers(segments(spark, parts), block=block, fan=3).collect()
+    got = hh.message_headers(segments(spark, parts), block=block, fan=3, limits=hh.BUFFER_LIMITS).collect()
     assert sorted((r.start_seq, bytes(r.header), r.complete) for r in got) == sorted(_serial_headers(parts))
 
 

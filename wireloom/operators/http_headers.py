@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +14,14 @@ from pyspark.sql import types as ST
 
 from wireloom.functions import http as H
 from wireloom.functions.octets import latin1
+from wireloom.operators.http_lines import headers_of
 from wireloom.operators.reassembly import KEY
 from wireloom.operators.scan import running
 from wireloom.operators.walk import NEVER, follow, walk
 
-MAX_HEADER = 16384
-MIN_FALLBACK = 1024
+#: Optional buffer limits of a reader that gives up: bytes without a blank line after which only the start line counts, and bytes buffered at most.
+BUFFER_LIMITS = (1024, 16384)
 BLOCK = 1 << 17
-MAX_JUMP = MAX_HEADER + 65535
 
 _ITEM = ST.StructType([
     ST.StructField("pos", ST.LongType()), ST.StructField("nxt", ST.LongType()), ST.StructField("frame_no", ST.LongType()),
@@ -45,7 +46,7 @@ def _start_in(payload: bytes, strict: bool) -> int:
     return m.start() if m else -1
 
 
-def _block_items(segments: list[tuple[int, int, int, bytes]], limit: int, strict: bool) -> list[tuple]:
+def _block_items(segments: list[tuple[int, int, int, bytes]], limit: int, strict: bool, limits: tuple[int, int]) -> list[tuple]:
     """Outcome of starting a message in each segment of a block; ``segments`` (offset, frame, seq, payload) include the look-ahead."""
     base = segments[0][0]
     data = b"".join(s[3] for s in segments)
@@ -58,11 +59,11 @@ def _block_items(segments: list[tuple[int, int, int, bytes]], limit: int, strict
         if at < 0:
             continue
         p = off + at - base
-        stop = min(p + MAX_HEADER, len(data))
+        stop = min(p + limits[1], len(data))
         blank, line = data.find(b"\r\n\r\n", p, stop), data.find(b"\r\n", p, stop)
-        # segment after which the blank line is visible / after which 1 KiB is buffered and a first line is complete
+        # segment after which the blank line is visible / after which the lower limit is buffered and a first line is complete
         full = int(np.searchsorted(ends, base + blank + 4)) if blank >= 0 else len(ends)
-        half = int(np.searchsorted(ends, base + max(line + 2, p + MIN_FALLBACK))) if line >= 0 else len(ends)
+        half = int(np.searchsorted(ends, base + max(line + 2, p + limits[0]))) if line >= 0 else len(ends)
         if blank >= 0 and full <= half:
             out.append((off, int(ends[full]), frame, seq + at, data[p : blank + 4], True))
         elif line >= 0 and half < len(ends):
@@ -72,10 +73,10 @@ def _block_items(segments: list[tuple[int, int, int, bytes]], limit: int, strict
     return out
 
 
-def _scan(block: int, strict: bool, schema: pa.Schema):
+def _scan(block: int, strict: bool, limits: tuple[int, int], schema: pa.Schema):
     def flush(key, segments):
         blk = key[-1]
-        items = _block_items(segments, (blk + 1) * block, strict)
+        items = _block_items(segments, (blk + 1) * block, strict, limits)
         if blk == 0 and items:
             pos, nxt = np.array([i[0] for i in items]), np.array([i[1] for i in items])
             items = [items[i] for i in follow(pos, nxt, 0)]
@@ -106,17 +107,26 @@ def _scan(block: int, strict: bool, schema: pa.Schema):
     return run
 
 
-def message_headers(segments: DataFrame, ports=H.PORTS, strict_start: bool = False, block: int = BLOCK, fan: int = 512, levels: int = 2) -> DataFrame:
+def message_headers(segments: DataFrame, ports=H.PORTS, strict_start: bool = False, block: int = BLOCK, fan: int = 512, levels: int = 2, limits: tuple[int, int] | None = None) -> DataFrame:
     """Headers (start line to blank line) found in TCP segments ``(key, frame_no, seq, len, payload, sport, dport)``.
 
-    A message starts at a token, is buffered up to 16 KiB until a blank line, and ends with the segment that completes it; with 1 KiB
-    and no blank line only the first line is reported (``complete`` false).  ``strict_start`` accepts tokens only at a segment start.
+    A message starts at a token and is read line by line, over as many segments as it takes, until a blank line (``complete``), until a line
+    that is neither a field nor a folded one, or until the stream ends; in the last two cases only the start line is reported. The segment in
+    which it ends is used up. ``strict_start`` accepts tokens only at a segment start. ``limits`` (see ``BUFFER_LIMITS``) gives up by size
+    instead: lines are not looked at, and a header without a blank line within the limits is its start line.
     """
     likely = segments.where((F.col("len") > 0) & H.likely_http(ports))
     placed = running(likely, KEY, "frame_no", F.col("len"), "off")
+    if limits is None:
+        return headers_of(placed, partial(_start_in, strict=strict_start), block, fan, levels)
+    return _buffered(placed, strict_start, block, fan, levels, limits)
+
+
+def _buffered(placed: DataFrame, strict: bool, block: int, fan: int, levels: int, limits: tuple[int, int]) -> DataFrame:
+    jump = limits[1] + 65535
     # A segment belongs to the block it begins in, and is look-ahead for the messages of the block(s) before it: a message that
-    # starts in the last segment of a block may need the 16 KiB and the one segment that follow it.
-    first = F.floor(F.greatest(F.col("off") - MAX_JUMP, F.lit(0)) / block)
+    # starts in the last segment of a block may need the upper limit and the one segment that follow it.
+    first = F.floor(F.greatest(F.col("off") - jump, F.lit(0)) / block)
     last = F.floor(F.col("off") / block)
     ready = (
         placed.select(*KEY, "frame_no", "seq", F.col("off").cast("bigint").alias("off"), "payload", F.explode(F.sequence(first, last)).alias("blk"))
@@ -125,8 +135,8 @@ def message_headers(segments: DataFrame, ports=H.PORTS, strict_start: bool = Fal
     )
     schema = ST.StructType([*[ready.schema[c] for c in KEY], ST.StructField("blk", ST.LongType()), ST.StructField("items", ST.ArrayType(_ITEM))])
     arrow = pa.schema([*[pa.field(c, pa.string()) for c in KEY], pa.field("blk", pa.int64()), pa.field("items", _ARROW_ITEM)])
-    found = ready.mapInArrow(_scan(block, strict_start, arrow), schema)
-    rows = walk(found, KEY, "items", block, MAX_JUMP, fan, levels)
+    found = ready.mapInArrow(_scan(block, strict, limits, arrow), schema)
+    rows = walk(found, KEY, "items", block, jump, fan, levels)
     return rows.where("__item.header IS NOT NULL").select(
         *KEY, F.col("__item.frame_no").alias("frame_no"), F.col("__item.start_seq").alias("start_seq"), F.col("__item.header").alias("header"), F.col("__item.complete").alias("complete"))
 

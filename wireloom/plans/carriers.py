@@ -184,6 +184,28 @@ _HTTP_CHUNKS = {
     "duck": f"""SELECT *, unnest(generate_series(0, cast(floor((length(header_hex) + length(body_hex) - 1) / 512) AS bigint))) AS ci FROM ({HTTP_STREAMS}) hs""",
 }
 
+# One request per document, many to a flow: its whole text is a folded field; each third header breaks off at a line that is no field.
+LONG_HTTP_STREAMS = """
+SELECT doc_id, capture_id, tuple_key, direction, complete, start_hex, start_hex || rest_hex AS stream_hex,
+       start_hex || CASE WHEN complete = 1 THEN substr(rest_hex, 1, length(rest_hex) - 8) ELSE '' END AS header_hex
+FROM (
+  SELECT doc_id, source AS capture_id, '10.4.0.1:20000-10.4.0.2:8080' AS tuple_key, 'forward' AS direction, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS complete,
+         hex('POST /d/' || cast(doc_id AS string) || ' HTTP/1.1' || chr(13) || chr(10)) AS start_hex,
+         hex('X-Text: ' || replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), chr(13) || chr(10) || ' ') || chr(13) || chr(10)
+             || CASE WHEN doc_id % 3 = 0 THEN 'no field' || chr(13) || chr(10) ELSE '' END || chr(13) || chr(10) || 'done') AS rest_hex
+  FROM {documents}
+) d0
+"""
+LONG_HTTP_SEGMENTS = """
+SELECT capture_id, tuple_key, direction, doc_id * 1000000 + ci AS frame_no, doc_id * 4000000 + ci * 512 AS seq, payload_hex, cast(length(payload_hex) / 2 AS bigint) AS len,
+       cast(20000 AS bigint) AS sport, cast(8080 AS bigint) AS dport
+FROM (SELECT *, substr(stream_hex, cast(ci * 1024 + 1 AS int), 1024) AS payload_hex FROM ({long_http_chunks}) h0) h1
+"""
+_LONG_HTTP_CHUNKS = {
+    "spark": f"SELECT * FROM ({LONG_HTTP_STREAMS}) hs LATERAL VIEW explode(sequence(0L, cast(floor((length(stream_hex) - 1) / 1024) AS bigint))) x AS ci",
+    "duck": f"SELECT *, unnest(generate_series(0, cast(floor((length(stream_hex) - 1) / 1024) AS bigint))) AS ci FROM ({LONG_HTTP_STREAMS}) hs",
+}
+
 # Ethernet frames around the TLS and HTTP segments.
 _FRAME = """
 SELECT capture_id, tuple_key, direction, frame_no, seq, payload_hex, len,
@@ -245,6 +267,8 @@ VIEWS = {
     "doc_captures": DOC_CAPTURES,
     "http_streams": HTTP_STREAMS,
     "http_segments": HTTP_SEGMENTS,
+    "long_http_streams": LONG_HTTP_STREAMS,
+    "long_http_segments": LONG_HTTP_SEGMENTS,
     "tls_wire": TLS_WIRE,
     "http_wire": HTTP_WIRE,
     "stage_runs": STAGE_RUNS,
@@ -256,7 +280,7 @@ _TABLES = ("events", "documents", "conversations", "pages", "orders", "lineitem"
 def carrier_sql(name: str, dialect: str) -> str:
     """SQL text of a carrier for ``spark`` (tables stay ``{name}`` placeholders) or ``duck`` (tables are registered views)."""
     text = VIEWS[name]
-    for token, options in (("{chunks}", _CHUNKS), ("{tls_chunks}", _TLS_CHUNKS), ("{http_chunks}", _HTTP_CHUNKS), ("{handshakes}", _HANDSHAKES), ("{app_data}", _APP_DATA), ("{body}", _BODY), ("{packet}", _PACKET)):
+    for token, options in (("{chunks}", _CHUNKS), ("{tls_chunks}", _TLS_CHUNKS), ("{http_chunks}", _HTTP_CHUNKS), ("{long_http_chunks}", _LONG_HTTP_CHUNKS), ("{handshakes}", _HANDSHAKES), ("{app_data}", _APP_DATA), ("{body}", _BODY), ("{packet}", _PACKET)):
         text = text.replace(token, options[dialect])
     if dialect == "duck":
         for table in _TABLES:

@@ -42,8 +42,8 @@ def _rec_out(df):
                      "tls_header_seq_start", "tls_payload_seq_end", F.col("is_complete").cast("int").alias("is_complete"), "processing_strategy")
 
 
-def headers(spark, sf, **kw):
-    return hh.message_headers(segments(spark, sf, "http_segments"), **kw)
+def headers(spark, sf, name="http_segments", **kw):
+    return hh.message_headers(segments(spark, sf, name), **kw)
 
 
 def _head_out(df):
@@ -107,6 +107,8 @@ QUERIES = {
         T.type_matches_payload(F.col("payload"), F.lit(22)).cast("int").alias("is_handshake")),
     "h1_headers": lambda s, d: _head_out(headers(s, d)),
     "h1_headers_small_blocks": lambda s, d: _head_out(headers(s, d, block=512, fan=4)),
+    "h1_long_headers": lambda s, d: _head_out(headers(s, d, "long_http_segments")),
+    "h2_start_lines": lambda s, d: _head_out(headers(s, d, "long_http_segments", block=4096, fan=8).where("NOT complete")),
     "h3_keep_ranges": lambda s, d: hh.header_rules(headers(s, d)).groupBy(*KEY).agg(F.count("*").alias("ranges"), F.sum(F.col("seq_end") - F.col("seq_start")).alias("kept")),
     "h5_stats": lambda s, d: hh.scan_stats(segments(s, d, "http_segments"), headers(s, d), hh.header_rules(headers(s, d))),
     "k1_tls_rules": lambda s, d: ru.tls_rules(records(s, d)),
@@ -147,6 +149,7 @@ _RULES = """, rules AS (SELECT * FROM (SELECT capture_id, tuple_key, direction,
 """
 _COLS = "capture_id, tuple_key, direction"
 _HDR = "SELECT capture_id, tuple_key, direction, page_id * 1000000 AS frame_no, 5000 + (page_id % 100000) * 40000 AS start_seq, header_hex, 1 AS complete FROM {http_streams}"
+_LONG_HDR = "SELECT capture_id, tuple_key, direction, doc_id * 1000000 AS frame_no, doc_id * 4000000 AS start_seq, header_hex, complete FROM {long_http_streams}"
 _HKEEP = """SELECT capture_id, tuple_key, direction, page_id, ranges, length(header_hex) // 2 - hidden AS kept FROM (
    SELECT *, 2 * (CASE WHEN page_id % 2 = 0 THEN 7 ELSE 6 END) - 2 AS ranges,
      length('id=' || page_id) + length(' folded=' || page_id * 7) + CASE WHEN page_id % 2 = 0 THEN (SELECT octet_length(encode(url)) FROM pages pg WHERE pg.page_id = hs.page_id) ELSE 0 END AS hidden FROM {http_streams} hs)"""
@@ -181,6 +184,8 @@ ORACLES = {
         AND ('0x' || substr(payload_hex, 7, 4))::BIGINT BETWEEN 1 AND 16384 THEN 1 ELSE 0 END AS is_start, CASE WHEN substr(payload_hex, 1, 2) = '16' THEN 1 ELSE 0 END AS is_handshake FROM {tls_segments}""",
     "h1_headers": _HDR,
     "h1_headers_small_blocks": _HDR,
+    "h1_long_headers": _LONG_HDR,
+    "h2_start_lines": _LONG_HDR + " WHERE complete = 0",
     "h3_keep_ranges": f"SELECT {_COLS}, ranges::BIGINT AS ranges, kept FROM ({_HKEEP})",
     "h5_stats": f"""SELECT a.capture_id, n AS tcp_packets, n AS with_payload, n AS candidates, headers, rules FROM (SELECT capture_id, count(*) AS n FROM {{http_segments}} GROUP BY 1) a
         JOIN (SELECT capture_id, count(*) AS headers, sum(ranges)::BIGINT AS rules FROM ({_HKEEP}) GROUP BY 1) b USING (capture_id)""",
