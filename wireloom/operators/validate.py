@@ -1,7 +1,8 @@
 """Before/after checks on TLS hit tables ``(capture_id, frame_no, path, types, lengths, zero_bytes)`` and on outputs.
 
 Every check yields one row per capture ``(capture_id, check, total, passed, rate, status)``; frames join one to one on
-``(capture_id, frame_no)``, so no check ever gathers the frames of a capture or stream in one place.
+``(capture_id, frame_no)``, so no check ever gathers the frames of a capture or stream in one place. Where both sides have a ``payload``,
+its bytes are checked too; only digests and verdicts of payloads move, never the payloads of frames that agree.
 """
 
 from __future__ import annotations
@@ -13,15 +14,23 @@ from wireloom.functions import http as H
 from wireloom.functions import tls as T
 from wireloom.functions.octets import all_zero, latin1
 from wireloom.functions.ratios import percent
+from wireloom.operators.stage import materialise
 
 FRAME = ["capture_id", "frame_no"]
 KEEP_TYPES = (20, 21, 22, 24)
 ALL_TYPES = (20, 21, 22, 23, 24)
 
 
+def _digest(df: DataFrame) -> Column:
+    """Of the payload; null where there is none, which differs from no other."""
+    return F.when(F.length("payload") > 0, F.md5("payload")) if "payload" in df.columns else F.lit(None).cast("string")
+
+
 def _side_by_side(original: DataFrame, masked: DataFrame) -> DataFrame:
-    m = masked.select(*FRAME, *[F.col(c).alias(f"m_{c}") for c in ("path", "types", "lengths", "zero_bytes")], F.lit(True).alias("present"))
-    return original.join(m, FRAME, "left")
+    looks = looks_masked(F.hex("payload")) if "payload" in masked.columns else F.lit(None).cast("boolean")
+    m = masked.select(
+        *FRAME, *[F.col(c).alias(f"m_{c}") for c in ("path", "types", "lengths", "zero_bytes")], _digest(masked).alias("m_digest"), looks.alias("m_looks"), F.lit(True).alias("present"))
+    return original.withColumn("digest", _digest(original)).drop("payload").join(m, FRAME, "left")
 
 
 def _verdict(per_frame: DataFrame, check: str, threshold: float) -> DataFrame:
@@ -51,7 +60,7 @@ def app_data_frames(masked: DataFrame) -> DataFrame:
 
 def preservation_frames(original: DataFrame, masked: DataFrame, types=KEEP_TYPES) -> DataFrame:
     both = _side_by_side(original.where(F.exists("types", lambda t: t.isin(*types))), masked)
-    same = (F.col("types") == F.col("m_types")) & (F.col("lengths") == F.col("m_lengths"))
+    same = (F.col("types") == F.col("m_types")) & (F.col("lengths") == F.col("m_lengths")) & F.coalesce(F.col("digest") == F.col("m_digest"), F.lit(True))
     return both.select(*FRAME, F.when(F.col("present").isNull(), "missing").when(same, "preserved").otherwise("modified").alias("outcome"))
 
 
@@ -61,11 +70,47 @@ def complete_preservation(original: DataFrame, masked: DataFrame, types=KEEP_TYP
 
 
 def smart_masking(original: DataFrame, masked: DataFrame, target: int = T.APP_DATA, header: int = T.HEADER) -> DataFrame:
-    """Output frames keep about ``header`` bytes of their target records and zero the rest (tolerance 5)."""
+    """Output frames keep about ``header`` bytes of their target records and zero the rest (tolerance 5).
+
+    A frame without zero counts or lengths is judged by its payload's share of zeros, if it has one (``looks_masked``).
+    """
+    both = smart_masking_frames(original, masked, target, header)
+    return _verdict(both.withColumn("ok", F.col("outcome") == "correctly_masked"), "smart_masking", 95.0)
+
+
+def smart_masking_frames(original: DataFrame, masked: DataFrame, target: int = T.APP_DATA, header: int = T.HEADER) -> DataFrame:
+    """The frames behind that check."""
     both = _side_by_side(original.where(F.array_contains("types", target)), masked)
     total = F.aggregate("m_lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    ok = (F.size("m_lengths") > 0) & (F.abs(F.col("m_zero_bytes") - (total - header)) <= 5)
-    return _verdict(both.withColumn("ok", F.coalesce(ok, F.lit(False))), "smart_masking", 95.0)
+    counted = (F.size("m_lengths") > 0) & F.col("m_zero_bytes").isNotNull()
+    ok = F.when(counted, F.abs(F.col("m_zero_bytes") - (total - header)) <= 5).otherwise(F.col("m_looks"))
+    return both.select(*FRAME, F.when(F.col("present").isNull(), "missing").when(F.coalesce(ok, F.lit(False)), "correctly_masked").otherwise("incorrectly_masked").alias("outcome"))
+
+
+def changed_payloads(original: DataFrame, masked: DataFrame, width: int = 4096, piece: int = 64) -> DataFrame:
+    """Frames ``(capture_id, frame_no, payload)`` that differ: ``outcome`` (missing, added, length, bytes), first changed byte and their number.
+
+    Compared from the top down: digests of blocks of ``width`` frame numbers (partial sums, no payload moves), then the frames of blocks
+    that differ, then pieces of a payload, then bytes. ``first_changed`` and ``changed_bytes`` are null unless the lengths agree. A null
+    payload counts as empty; a frame is expected once on each side.
+    """
+    def side(df):
+        return df.select(*FRAME, F.coalesce("payload", F.unhex(F.lit(""))).alias("payload"), F.floor(F.col("frame_no") / width).alias("blk"))
+
+    def digests(df, p):
+        return side(df).groupBy("capture_id", "blk").agg(
+            F.count("*").alias(f"{p}n"), F.bit_xor(F.xxhash64("frame_no", "payload")).alias(f"{p}x"), F.bit_xor(F.xxhash64(F.lit(1), "payload", "frame_no")).alias(f"{p}y"))
+
+    both = digests(original, "a").join(digests(masked, "b"), ["capture_id", "blk"], "full_outer")
+    odd = materialise(both.where("NOT (an <=> bn AND ax <=> bx AND ay <=> by)").select("capture_id", "blk"))
+    of = lambda df, name: side(df).join(odd, ["capture_id", "blk"], "left_semi").select(*FRAME, F.col("payload").alias(name))
+    pairs = of(original, "a").join(of(masked, "b"), FRAME, "full_outer").where("NOT (a <=> b)")
+    at = f"""CASE WHEN length(a) = length(b) THEN flatten(transform(
+        filter(sequence(0, (length(a) - 1) div {piece}), c -> substring(a, cast(c * {piece} + 1 AS int), {piece}) <> substring(b, cast(c * {piece} + 1 AS int), {piece})),
+        c -> filter(sequence(c * {piece}, least(c * {piece} + {piece - 1}, length(a) - 1)), i -> substring(a, cast(i + 1 AS int), 1) <> substring(b, cast(i + 1 AS int), 1)))) END"""
+    outcome = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").when(F.length("a") != F.length("b"), "length").otherwise("bytes")
+    out = pairs.select(*FRAME, outcome.alias("outcome"), F.expr(at).alias("at"))
+    return out.select(*FRAME, "outcome", F.get("at", F.lit(0)).cast("bigint").alias("first_changed"), F.when(F.col("at").isNotNull(), F.size("at")).cast("bigint").alias("changed_bytes"))
 
 
 def looks_masked(payload: Column, header: int = T.HEADER) -> Column:

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from wireloom.functions import layers as L
+from wireloom.functions import tls as T
 from wireloom.functions.octets import be_int
 from wireloom.operators import dissect as di
+from wireloom.operators import validate as va
 from wireloom.operators.scan import running_count
-from wireloom.operators.stage import shared_folder
+from wireloom.operators.stage import materialise, shared_folder
 from wireloom.plans.carriers import KEY, carrier, table
 from wireloom.plans.catalogue_packets import anon_sql, wire
 from wireloom.plans.catalogue_streams import _MERGE, _RULES, _WALK
@@ -83,6 +85,20 @@ def sanitised(spark, sf, protocol, *names):
     return out.select("capture_id", "frame_no", "direction", F.col("ip_modified").cast("int").alias("ip_modified"), F.hex("payload").alias("payload_hex"), "kept_bytes", "masked_bytes")
 
 
+def masked_pair(spark, sf):
+    """TLS frames before and after the whole flow: the record type each begins with, its length, its payload."""
+    def side(rows):
+        payload, none = F.col("payload"), F.array()
+        start = T.is_record_start(payload)
+        return rows.select(
+            "capture_id", "frame_no", "payload", F.lit("tcp").alias("path"), F.when(start, F.array(be_int(payload, 0, 1))).otherwise(none.cast("array<bigint>")).alias("types"),
+            F.array(F.length(payload).cast("bigint")).alias("lengths"), F.lit(None).cast("bigint").alias("zero_bytes"))
+
+    out = materialise(sanitise(protocol_frames(spark, sf, "tls_wire"), KEY, protocol="tls").select("capture_id", "frame_no", "payload"))
+    source = carrier(spark, sf, "tls_segments").select(F.concat(F.lit("t"), "capture_id").alias("capture_id"), "frame_no", F.unhex("payload_hex").alias("payload"))
+    return side(source), side(out)
+
+
 def s2_packets(spark, sf):
     """Capture bytes made from whole documents, then read back record by record."""
     rows = table(spark, sf, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("capture_id"), F.col("text").cast("binary").alias("b"))
@@ -144,6 +160,9 @@ QUERIES = {
     "sanitise_tls": lambda s, d: sanitised(s, d, "tls", "tls_wire"),
     "sanitise_http": lambda s, d: sanitised(s, d, "http", "http_wire"),
     "sanitise_auto": lambda s, d: sanitised(s, d, "auto", "tls_wire", "http_wire"),
+    "v2_payloads": lambda s, d: va.preservation_frames(*masked_pair(s, d)),
+    "v3_payloads": lambda s, d: va.smart_masking_frames(*masked_pair(s, d)),
+    "v6_changed_bytes": lambda s, d: va.changed_payloads(*masked_pair(s, d)),
     "p1_layers": p1_layers,
     "p2_ethernet": lambda s, d: _fields(s, d, "Ethernet", L.ethernet_fields, 1),
     "p3_vlans": p3_vlans,
@@ -199,7 +218,16 @@ _HTTP_OUT = f"""(SELECT capture_id, frame_no, direction, ip_modified, rpad(part,
        (SELECT count(*) FROM range(0, 256) t(i) WHERE substr(marked, (512 * (frame_no % 1000000) + 2 * i + 1)::INT, 2) NOT IN ('FF', ''))::BIGINT AS kept
      FROM {{http_segments}} s JOIN {_SHOWN} h USING (page_id)))"""
 
+_START = lambda h, n: f"(CASE WHEN {n} >= 5 AND substr({h}, 1, 2) IN ('14', '15', '16', '17', '18') AND substr({h}, 3, 4) IN ('0300', '0301', '0302', '0303') AND ('0x' || substr({h}, 7, 4))::BIGINT BETWEEN 1 AND 16384 THEN substr({h}, 1, 2) ELSE '' END)"
+_SIDES = f"""{_TLS_MASKED}, sides AS (SELECT o.capture_id, o.frame_no, s.len, s.payload_hex AS a, o.payload_hex AS b, {_START('s.payload_hex', 's.len')} AS ta, {_START('o.payload_hex', 's.len')} AS tb
+     FROM tls_out o JOIN {{tls_segments}} s ON o.capture_id = 't' || s.capture_id AND o.frame_no = s.frame_no)"""
+
 ORACLES = {
+    "v2_payloads": f"{_WALK} {_RULES} {_SIDES} SELECT capture_id, frame_no, CASE WHEN ta = tb AND a = b THEN 'preserved' ELSE 'modified' END AS outcome FROM sides WHERE ta IN ('14', '15', '16', '18')",
+    "v3_payloads": f"""{_WALK} {_RULES} {_SIDES} SELECT capture_id, frame_no, CASE WHEN NOT regexp_full_match(substr(b, 1, 10), '0*') AND (len = 5 OR
+        length(substr(b, 11)) - length(replace(substr(b, 11), '0', '')) > 0.8 * length(substr(b, 11))) THEN 'correctly_masked' ELSE 'incorrectly_masked' END AS outcome FROM sides WHERE ta = '17'""",
+    "v6_changed_bytes": f"""{_WALK} {_RULES} {_SIDES} SELECT capture_id, frame_no, 'bytes' AS outcome, d[1] AS first_changed, len(d)::BIGINT AS changed_bytes
+        FROM (SELECT *, list_filter(range(0, len), lambda i: substr(a, 2 * i + 1, 2) <> substr(b, 2 * i + 1, 2)) AS d FROM sides WHERE a <> b)""",
     "s2_ranged": """SELECT coalesce(source, 'none') AS capture_id, row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id) AS frame_no, doc_id AS ts_us,
         octet_length(encode(coalesce(text, ''))) AS wire_len, 1 AS linktype, hex(coalesce(text, '')) AS raw_hex FROM documents""",
     "sanitise_tls": f"{_WALK} {_RULES} {_TLS_MASKED} SELECT * FROM tls_out",
