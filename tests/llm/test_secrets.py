@@ -64,3 +64,18 @@ def test_masking_keeps_rows_columns_and_other_text(spark):
     assert out.columns == df.columns
     got = {r.doc_id: r.text for r in out.collect()}
     assert got[0] == "see <assign:copied> now" and got[9] == "é <assign>!" and got[10] is None and got[11] == "clean" and len(got) == 7
+
+
+def test_many_repositories_of_one_owner_are_copies(spark):
+    rows = [(4 * i, "token=Qw3rTy7uIoP0") for i in range(25)] + [(4 * i, "token=Aa1Bb2Cc3Dd4") for i in range(25, 30)]
+    got = {r.doc_id: r for r in secrets.secrets(documents(spark, rows)).collect()}
+    assert (got[0].owners, got[0].repos, got[0].n_copied, got[0].n_live) == (1, 25, 1, 0)
+    assert (got[100].owners, got[100].repos, got[100].n_copied, got[100].n_live) == (1, 5, 0, 1)
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 20_000
+    rows = check(documents(spark, [" ".join(f"token=abc{i:06d}" for i in range(n))]))
+    assert rows[0].n_assign == n
+    masked = secrets.without_secrets(documents(spark, [" ".join(f"token=abc{i:06d}" for i in range(n))])).first().text
+    assert masked == " ".join(["<assign>"] * n)

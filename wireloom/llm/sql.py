@@ -3,6 +3,18 @@
 from __future__ import annotations
 
 
+def folded(items: str, start: str, step: str, out: str, chunk: int = 256) -> str:
+    """Spark SQL: ``aggregate`` over the array ``items`` with state ``struct(at, out)``, ``out`` growing by a few elements of type ``out`` a step.
+
+    An array that grows in one ``aggregate`` is copied whole at every step. Here only that of a chunk is; ``step`` is ``(a, x) -> ...``.
+    """
+    return (
+        f"aggregate(sequence(0, (size({items}) - 1) div {chunk}), struct({start} as at, cast(array() as array<array<{out}>>) as outs), (o, c) -> "
+        f"transform(array(aggregate(slice({items}, c * {chunk} + 1, {chunk}), struct(o.at as at, cast(array() as array<{out}>) as out), {step})), "
+        "y -> struct(y.at as at, concat(o.outs, array(y.out)) as outs))[0], o -> struct(o.at as at, flatten(o.outs) as out))"
+    )
+
+
 def centroid_rounds(clusters: int = 8, rounds: int = 10, dim: int = 64) -> str:
     """The plain algorithm: every round computes all distances anew, one CTE after the other."""
     parts = [
