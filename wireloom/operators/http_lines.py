@@ -224,7 +224,8 @@ def _cut(schema: pa.Schema):
 
 def headers_of(placed: DataFrame, start_in: Callable[[bytes], int], block: int, fan: int, levels: int) -> DataFrame:
     """Headers of segments ``(key, frame_no, seq, off, payload)`` whose ``off`` is their place in the flow direction's bytes."""
-    rows = placed.select(*KEY, "frame_no", "seq", F.col("off").cast("bigint").alias("off"), F.floor(F.col("off") / block).cast("bigint").alias("blk"), "payload")
+    # Read twice, for the lines and for the bytes of taken headers.
+    rows = materialise(placed.select(*KEY, "frame_no", "seq", F.col("off").cast("bigint").alias("off"), F.floor(F.col("off") / block).cast("bigint").alias("blk"), "payload"))
     ready = rows.repartition(*KEY, "blk").sortWithinPartitions(*KEY, "blk", "off")
     keys = [ready.schema[c] for c in KEY]
     schema = ST.StructType([*keys, ST.StructField("blk", ST.LongType()), ST.StructField("starts", ST.ArrayType(_START)), ST.StructField("ends", ST.ArrayType(_END))])

@@ -199,13 +199,15 @@ FROM (
 LONG_HTTP_SEGMENTS = """
 SELECT capture_id, tuple_key, direction, doc_id * 1000000 + ci AS frame_no, doc_id * 4000000 + ci * 512 AS seq, payload_hex, cast(length(payload_hex) / 2 AS bigint) AS len,
        cast(20000 AS bigint) AS sport, cast(8080 AS bigint) AS dport
-FROM (SELECT *, substr(stream_hex, cast(ci * 1024 + 1 AS int), 1024) AS payload_hex FROM ({long_http_chunks}) h0) h1
+FROM (SELECT *, {long_piece} AS payload_hex FROM ({long_http_chunks}) h0) h1
 """
 _LONG_HTTP_CHUNKS = {
-    "spark": f"SELECT * FROM ({LONG_HTTP_STREAMS}) hs LATERAL VIEW explode(sequence(0L, cast(floor((length(stream_hex) - 1) / 1024) AS bigint))) x AS ci",
+    "spark": f"SELECT * FROM (SELECT *, unhex(stream_hex) AS bytes FROM ({LONG_HTTP_STREAMS}) hs) hb LATERAL VIEW explode(sequence(0L, cast(floor((length(bytes) - 1) / 512) AS bigint))) x AS ci",
     "duck": f"SELECT *, unnest(generate_series(0, cast(floor((length(stream_hex) - 1) / 1024) AS bigint))) AS ci FROM ({LONG_HTTP_STREAMS}) hs",
 }
 
+_LONG_PIECE = {"spark": "hex(substr(bytes, cast(ci * 512 + 1 AS int), 512))", "duck": "substr(stream_hex, cast(ci * 1024 + 1 AS int), 1024)"}
+
 # Ethernet frames around the TLS and HTTP segments.
 _FRAME = """
 SELECT capture_id, tuple_key, direction, frame_no, seq, payload_hex, len,
@@ -280,7 +282,7 @@ _TABLES = ("events", "documents", "conversations", "pages", "orders", "lineitem"
 def carrier_sql(name: str, dialect: str) -> str:
     """SQL text of a carrier for ``spark`` (tables stay ``{name}`` placeholders) or ``duck`` (tables are registered views)."""
     text = VIEWS[name]
-    for token, options in (("{chunks}", _CHUNKS), ("{tls_chunks}", _TLS_CHUNKS), ("{http_chunks}", _HTTP_CHUNKS), ("{long_http_chunks}", _LONG_HTTP_CHUNKS), ("{handshakes}", _HANDSHAKES), ("{app_data}", _APP_DATA), ("{body}", _BODY), ("{packet}", _PACKET)):
+    for token, options in (("{chunks}", _CHUNKS), ("{tls_chunks}", _TLS_CHUNKS), ("{http_chunks}", _HTTP_CHUNKS), ("{long_http_chunks}", _LONG_HTTP_CHUNKS), ("{long_piece}", _LONG_PIECE), ("{handshakes}", _HANDSHAKES), ("{app_data}", _APP_DATA), ("{body}", _BODY), ("{packet}", _PACKET)):
         text = text.replace(token, options[dialect])
     if dialect == "duck":
         for table in _TABLES:
