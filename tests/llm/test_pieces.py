@@ -37,6 +37,32 @@ def test_library_agrees_on_words_in_its_own_lattice():
         assert a == b or score(a) == score(b)
 
 
+def test_words_solved_together_are_those_solved_alone():
+    """Words of one length go through one lattice; alone each goes through the plain recurrence. Ties, characters without a piece and long words, too."""
+    rnd = random.Random(7)
+    parts = ["th", "er", "ing", "an", "on", "é", "z", "qu", "x", ".", "aa", "a", "日", "本", "\u0378", "🙂", "0", "tion", "\n"]
+    texts = [" ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) for _ in range(400)) + " " * rnd.randint(0, 3) for _ in range(20)]
+    texts += ["", " ", "a" * 100, "▁ ▁▁ x"]
+    together, alone = codec(), codec()
+    got = together.encode_all(texts)
+    assert [len(together.units) > 64 * 32, len(got)] == [True, len(texts)]
+    for text, ids in zip(texts, got, strict=True):
+        marked, want = alone.marked(text), []
+        for unit in P._UNITS.findall(marked):
+            want += alone.traced(unit, alone.solved(unit, [0.0])[1], len(unit), 1)[1]
+        assert ids.tolist() == want and together.decode(ids.tolist()) == text
+
+
+def test_one_hash_for_two_strings_is_noticed():
+    c = codec()
+    words = [a + b for a in "abcdefgh" for b in "abcdefgh"]
+    want = [c.encode(w) for w in words]
+    c.units.clear()
+    c.lattice.codes[:] = 1  # as if every chosen piece only had the hash of another string
+    assert c.lattice.solved([P.SPACE + w for w in words]) == [None] * len(words)
+    assert [i.tolist() for i in c.encode_all(words)] == want
+
+
 def test_chunks_change_nothing(spark, sf):
     c = codec()
     texts = [r.text for r in real(spark, sf, 6).collect()] + ["x" * 500, "the " * 200 + " " * 90 + "é▁🙂" * 60, "ab" * 64, "a" * 127, "a" * 128, "a" * 129]

@@ -23,6 +23,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WIDTH = 16
 SPACE, OTHER = "▁", "\ud800"  # the mark for a space; a stand-in for that character itself, which no valid text holds
 NONE = -np.inf
+GROUP = 4096  # words that are solved together
+TOGETHER = 1 << 21  # characters of texts whose words are gathered together
+SLOTS = 18
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_UNITS = re.compile(f"{SPACE}+[^{SPACE}]*")  # a word with the marks before it; marks at the end are one, too
 
 
 def vocabulary(path: str) -> dict:
@@ -37,6 +42,68 @@ def vocabulary(path: str) -> dict:
     return {"plain": plain, "bytes": {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}, "fallback": min(s for _, s in plain.values()) - 10}
 
 
+class _Lattice:
+    """The best segmentations of many strings of one length at once; substrings are found by rolling hashes in a table of the pieces."""
+
+    def __init__(self, plain: dict, fallback: float):
+        pieces = list(plain)
+        keys = np.array([self.hashed(p) for p in pieces], np.uint64)
+        order = np.argsort(keys, kind="stable")
+        ids, scores = zip(*(plain[pieces[i]] for i in order), strict=True)
+        self.fallback, self.ids, self.scores = fallback, np.array(ids, np.int32), np.append(np.array(scores), NONE)
+        self.keys = keys[order]
+        self.codes = np.array([[*map(ord, pieces[i]), *[0] * (WIDTH - len(pieces[i]))] for i in order], np.uint32)
+        slots = (self.keys >> np.uint64(64 - SLOTS)).astype(np.int64)
+        self.first, self.longest = np.searchsorted(slots, np.arange(1 << SLOTS)).astype(np.int32), int(np.bincount(slots).max())
+
+    @staticmethod
+    def hashed(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h + ord(c) + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def found(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, or -1."""
+        at, out = self.first[h >> np.uint64(64 - SLOTS)], np.full(h.shape, -1, np.int32)
+        for k in range(self.longest):
+            i = np.minimum(at + k, len(self.keys) - 1)
+            np.copyto(out, i, where=self.keys[i] == h)
+        return out
+
+    def solved(self, strings: list[str]) -> list[bytes | None]:
+        """The ids of each; None where a character has no piece, or where a chosen piece only has the hash of one."""
+        n, rows = len(strings[0]), len(strings)
+        codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, n)
+        steps, row = codes.T.astype(np.uint64) + np.uint64(1), np.arange(rows)
+        h, piece, score = np.zeros((n, rows), np.uint64), np.full((min(n, WIDTH), n, rows), -1, np.int32), []
+        for length in range(1, len(piece) + 1):
+            h = (h[: n - length + 1] + steps[length - 1 :]) * _GOLD
+            got = piece[length - 1, : n - length + 1] = self.found(h)
+            score.append(self.scores[got])
+        score[0][score[0] == NONE] = self.fallback
+        best, back = np.zeros((n + 1, rows)), np.zeros((n + 1, rows), np.int64)
+        for end in range(1, n + 1):
+            low = max(0, end - WIDTH)
+            total = np.stack([best[start] + score[end - start - 1][start] for start in range(low, end)])
+            pick = total.argmax(axis=0)  # the first one: of equal sums the longest last piece
+            best[end], back[end] = total[pick, row], low + pick
+        # all strings are traced together, from the right
+        out, wide, ok = np.zeros((rows, n), np.int32), np.pad(codes, ((0, 0), (0, WIDTH))), np.ones(rows, bool)
+        at, end, place = row, np.full(rows, n), n
+        while len(at):
+            place -= 1
+            start = back[end, at]
+            i = piece[end - start - 1, start, at]
+            here = np.where(np.arange(WIDTH) < (end - start)[:, None], wide[at[:, None], start[:, None] + np.arange(WIDTH)], 0)
+            ok[at[(i < 0) | (here != self.codes[i]).any(axis=1)]] = False
+            out[at, place] = self.ids[i]
+            back[0, at] = place  # a string that is done begins at this place
+            at, end = at[start > 0], start[start > 0]
+        raw, begins = out.tobytes(), back[0].tolist()
+        return [raw[4 * (k * n + begin) : 4 * (k + 1) * n] if fine else None for k, (begin, fine) in enumerate(zip(begins, ok.tolist(), strict=True))]
+
+
 class Codec:
     def __init__(self, vocab: dict, limit: int = 300_000):
         self.plain, self.bytes, self.fallback = vocab["plain"], vocab["bytes"], vocab["fallback"]
@@ -48,9 +115,10 @@ class Codec:
             for n in range(1, len(piece)):
                 self.scores.setdefault(piece[:n], NONE)
             self.scores[piece] = score
+        self.lattice = _Lattice(self.plain, self.fallback)
         # a character that no longer piece holds stands alone in every segmentation
         joining = "".join(re.escape(c) for c in sorted({c for piece in self.plain if len(piece) > 1 for c in piece}))
-        self.parts = re.compile(f"[{joining}]+|[^{joining}]", re.DOTALL)
+        self.parts, self.lone = re.compile(f"[{joining}]+|[^{joining}]", re.DOTALL), re.compile(f"[^{joining}]")
 
     @staticmethod
     def marked(text: str) -> str:
@@ -114,30 +182,41 @@ class Codec:
         ids = [i for a, b in zip(cuts[:0:-1], cuts[-2::-1], strict=True) for i in self.ids_of(s[a:b])]
         return cuts[-1], ids
 
-    def unit(self, s: str) -> list[int]:
-        got = self.units.get(s)
-        if got is None:
-            if len(self.units) >= self.limit:
+    def learn(self, units: set[str]) -> None:
+        """Solves words that are not remembered: those of one length together."""
+        parts = {s: self.parts.findall(s) for s in units if self.lone.search(s)}
+        by_length = {}
+        for part in units.difference(parts).union(*parts.values()):
+            by_length.setdefault(len(part), []).append(part)
+        solved = {}
+        for n, some in by_length.items():
+            for at in range(0, len(some), GROUP):
+                group = some[at : at + GROUP]
+                together = n <= 4 * WIDTH and len(group) >= 32
+                solved.update(zip(group, self.lattice.solved(group) if together else [None] * len(group), strict=True))
+        for s in [s for s, ids in solved.items() if ids is None]:
+            solved[s] = np.array(self.traced(s, self.solved(s, [0.0])[1], len(s), 1)[1], np.int32).tobytes()
+        for s in units:
+            self.units[s] = b"".join([solved[part] for part in parts[s]]) if s in parts else solved[s]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """No piece goes over a border of words, so every distinct word is solved once and remembered."""
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            words = [_UNITS.findall(self.marked(text)) for text in texts[at:end]]
+            if len(self.units) > self.limit:
                 self.units.clear()
-            parts = self.parts.findall(s)
-            if len(parts) > 1:
-                got = [i for part in parts for i in self.unit(part)]
-            else:
-                _, back = self.solved(s, [0.0])
-                got = self.traced(s, back, len(s), 1)[1]
-            self.units[s] = got
-        return got
+            self.learn(set().union(*words) - self.units.keys())
+            out += [np.frombuffer(b"".join(map(self.units.__getitem__, some)), np.int32) for some in words]
+            at = end
+        return out
 
     def encode(self, text: str) -> list[int]:
-        """No piece goes over a border of words, so words are solved (and remembered) one by one."""
-        out = []
-        held = ""
-        for word in self.marked(text).split(SPACE)[1:]:
-            held += SPACE
-            if word:
-                out += self.unit(held + word)
-                held = ""
-        return out + self.unit(held) if held else out
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.text_of.__getitem__, ids))
@@ -254,11 +333,9 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = 65_536, id_col: st
     def short(batches):
         codec = Codec(vocab.value)
         for b in batches:
-            ids, exact = [], []
-            for text in b.column(1).to_pylist():
-                got = codec.encode(text)
-                ids.append(np.array(got, np.int32))
-                exact.append(codec.decode(got) == text)
+            texts = b.column(1).to_pylist()
+            ids = codec.encode_all(texts)
+            exact = [codec.decode(i.tolist()) == text for i, text in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], ["id", "n_tokens", "ids", "exact"])
 
     def decoded(batches):
