@@ -114,16 +114,18 @@ def _planted(batches):
 
 
 def _branched(batches):
-    """(node, fp, n, p, q, comp, sig) -> the children of ``node``, which picks places by its own name: (node, fp, n, p, q, comp)."""
+    """(fp, n, p, q, comp, nodes, sig) -> the children of all nodes that hold the set; a node picks places by its own name: (node, fp, n, p, q, comp)."""
     for b in batches:
         if not len(b):
             continue
-        node, sigs = b.column(0).to_numpy().view(np.uint64), _tokens(b.column(6))
-        picked = mixed(node + _GOLD)
+        nodes = b.column(5)
+        of, sigs = np.repeat(np.arange(len(b)), nodes.value_lengths().to_numpy()), _tokens(b.column(6))
+        node = nodes.flatten().to_numpy().view(np.uint64)
+        rest, picked = [c.take(pa.array(of)) for c in b.columns[:5]], mixed(node + _GOLD)
         for k in range(CHOSEN):
             place = ((picked + np.uint64(k) * (np.uint64(1) + (picked >> np.uint64(32)) % np.uint64(COORDS - 1))) % np.uint64(COORDS)).astype(np.int64)
-            child = _child(node, place, sigs[np.arange(len(b)), place])
-            yield pa.RecordBatch.from_arrays([pa.array(child), *b.columns[1:6]], ["node", "fp", "n", "p", "q", "comp"])
+            child = _child(node, place, sigs[of, place])
+            yield pa.RecordBatch.from_arrays([pa.array(child), *rest], ["node", "fp", "n", "p", "q", "comp"])
 
 
 def _confirmed(percent: int):
@@ -294,7 +296,9 @@ def similar(texts: DataFrame, reps: DataFrame, percent: int, leaf: int) -> DataF
             large = _placed(large, comps)
             mixed_ = large.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node")
             large = large.join(mixed_, "node", "left_semi")
-        going = large.join(reps.select("fp", "sig"), "fp").select("node", "fp", "n", "p", "q", "comp", "sig")
+        # one row of a set for all its nodes, of which it has no more than TREES * CHOSEN ** depth
+        held = large.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "p", "q", "comp")), F.collect_list("node").alias("nodes"))
+        going = held.join(reps.select("fp", "sig"), "fp").select("fp", "n", "p", "q", "comp", "nodes", "sig")
         new = _sized(going.mapInArrow(_branched, "node long, fp binary, n long, p long, q long, comp binary"))
         forget(level)
         level = new
