@@ -1,7 +1,6 @@
 """Protocol layers of a raw frame as column expressions.
 
-The nesting is walked with one ``aggregate`` over a fixed number of steps (at most 20 layers); each step reads the few header bytes it
-needs and says which protocol follows and where.  Field values are projected afterwards from the recorded offsets, and only if used.
+``layer_walk`` reads the nesting, batch by batch. Field values are projected afterwards from the recorded offsets, and only if used.
 """
 
 from __future__ import annotations
@@ -9,27 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wireloom.functions.addresses import let, v4_from_binary, v6_from_binary
+from wireloom.functions.addresses import v4_from_binary, v6_from_binary
 from wireloom.functions.octets import be_int
 
-MAX_LAYERS = 20
-# Protocol numbers.
-ETHERTYPES = {0x0800: "IP", 0x86DD: "IPv6", 0x8100: "Dot1Q", 0x88A8: "Dot1AD", 0x8847: "MPLS", 0x8848: "MPLS", 0x6558: "Ethernet"}
-IP_PROTOCOLS = {4: "IP", 6: "TCP", 17: "UDP", 41: "IPv6", 47: "GRE", 0: "IPv6Ext", 43: "IPv6Ext", 60: "IPv6Ext", 44: "IPv6Frag"}
-VXLAN_PORT = 4789
 TUNNELS = ("Dot1Q", "Dot1AD", "MPLS", "GRE", "VXLAN")
 ADDRESSED = ("IP", "IPv6")
 TRANSPORTS = ("TCP", "UDP")
 
-_LAYER = "struct<name:string,depth:int,off:int,len:int>"
-
-
-def _by(value: Column, table: dict, other: str = "Raw") -> Column:
-    out = None
-    for k, v in table.items():
-        out = F.when(value == k, v) if out is None else out.when(value == k, v)
-    return out.otherwise(other)
-
 
 def first_layer(raw: Column, linktype: Column) -> Column:
     """Outermost header by capture link type; a type that is not known is named so, and its frames fail to parse."""
@@ -41,65 +26,6 @@ def first_layer(raw: Column, linktype: Column) -> Column:
     )
 
 
-def walk_layers(raw: Column, first: str | Column = "Ethernet") -> Column:
-    """STRUCT<next, at, stop, layers, error>: the layers of a frame, where reading ended, and why if it failed.
-
-    Each step only decides what follows (an ethertype, an IP protocol or a name), how long this header is and where its datagram
-    ends; the state is rebuilt once from that decision, which keeps the expression small.  Bytes are read unchecked: a header that does
-    not fit the frame is rejected as a whole.
-    """
-    start = F.struct(
-        (F.lit(first) if isinstance(first, str) else first).alias("next"), F.lit(0).alias("at"), F.length(raw).alias("stop"), F.array().cast(f"array<{_LAYER}>").alias("layers"), F.lit("").alias("error"))
-    none_i, none_s = F.lit(None).cast("int"), F.lit(None).cast("string")
-
-    def step(acc: Column, _i: Column) -> Column:
-        name, at, stop = acc["next"], acc["at"], acc["stop"]
-        u = lambda o, n: F.conv(F.hex(F.substring(raw, at + (o + 1), F.lit(n))), 16, 10).cast("int")
-
-        def go(size, ethertype=none_i, proto=none_i, to=none_s, length=none_i) -> Column:
-            size = size if isinstance(size, Column) else F.lit(size)
-            return F.struct(size.cast("int").alias("size"), ethertype.alias("et"), proto.alias("proto"), to.alias("to"), length.cast("int").alias("total"))
-
-        flag = lambda b, n, extra: F.when(F.floor(b / n) % 2 == 1, extra).otherwise(0)
-        decision = (
-            F.when(name == "Ethernet", go(14, ethertype=u(12, 2)))
-            .when(name == "Cooked", go(16, ethertype=u(14, 2)))
-            .when(name == "Cooked2", go(20, ethertype=u(0, 2)))
-            .when(name == "Loopback", go(4, to=let(F.greatest(u(0, 1), u(3, 1)), lambda f: F.when(f == 2, "IP").when(f.isin(10, 24, 28, 30), "IPv6").otherwise("Raw"))))
-            .when(name.isin("Dot1Q", "Dot1AD"), go(4, ethertype=u(2, 2)))
-            .when(name == "MPLS", go(4, to=F.when(u(2, 1) % 2 == 0, "MPLS").otherwise(F.when(u(4, 1).between(64, 79), "IP").when(u(4, 1).between(96, 111), "IPv6").otherwise("Raw"))))
-            .when(name == "IP", go(F.nullif(F.greatest(u(0, 1) % 16 * 4, F.lit(19)), F.lit(19)), proto=u(9, 1), to=F.when(u(6, 2) % 8192 > 0, "Raw"), length=u(2, 2)))
-            .when(name == "IPv6", go(40, proto=u(6, 1), length=u(4, 2) + 40))
-            .when(name == "IPv6Frag", go(8, proto=u(0, 1), to=F.when(u(2, 2) >= 8, "Raw")))
-            .when(name == "IPv6Ext", go((u(1, 1) + 1) * 8, proto=u(0, 1)))
-            .when(name == "GRE", go(let(u(0, 1), lambda f: 4 + flag(f, 128, 4) + flag(f, 32, 4) + flag(f, 16, 4)), ethertype=u(2, 2)))
-            .when(name == "UDP", go(8, to=F.when((u(0, 2) == VXLAN_PORT) | (u(2, 2) == VXLAN_PORT), "VXLAN").otherwise("Raw")))
-            .when(name == "VXLAN", go(8, to=F.lit("Ethernet")))
-            .when(name == "TCP", go(F.nullif(F.greatest(F.floor(u(12, 1) / 16) * 4, F.lit(19)), F.lit(19)), to=F.lit("Raw")))
-        )
-
-        def apply(d: Column) -> Column:
-            follow = F.coalesce(d["to"], F.when(d["et"].isNotNull(), _by(d["et"], ETHERTYPES)), _by(d["proto"], IP_PROTOCOLS))
-            end = at + d["size"]
-            fits = F.coalesce(end <= stop, F.lit(False))
-            # a datagram length shorter than its header (or zero, as left by offloading) says nothing
-            limit = F.when((d["total"] >= d["size"]) & (at + d["total"] < stop) & ((name != "IPv6") | (d["total"] > 40)), at + d["total"]).otherwise(stop)
-            layer = F.struct(name.alias("name"), F.size(acc["layers"]).alias("depth"), at.alias("off"), d["size"].alias("len"))
-            return F.struct(
-                F.when(fits, follow).otherwise("").alias("next"), F.when(fits, end).otherwise(at).alias("at"), F.when(fits, limit).otherwise(stop).alias("stop"),
-                F.when(fits, F.concat(acc["layers"], F.array(layer))).otherwise(acc["layers"]).alias("layers"),
-                F.when(fits, "").otherwise(F.concat(F.lit("truncated "), name)).alias("error"))
-
-        return F.when(name.isin("", "Raw"), acc).otherwise(let(decision, apply))
-
-    def checked(acc: Column) -> Column:
-        # a frame with more layers than are read must not pass for a parsed one
-        error = F.when((acc["error"] == "") & ~acc["next"].isin("", "Raw"), F.concat(F.lit("unread "), acc["next"])).otherwise(acc["error"])
-        return F.struct(acc["next"].alias("next"), acc["at"].alias("at"), acc["stop"].alias("stop"), acc["layers"].alias("layers"), error.alias("error"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_LAYERS)), start, step, checked)
-
-
 def named(layers: Column, *names: str) -> Column:
     return F.filter(layers, lambda l: l["name"].isin(*names))
 

@@ -10,13 +10,14 @@ from pyspark.sql import types as T
 
 from wireloom.functions import layers as L
 from wireloom.functions.addresses import to_binary
+from wireloom.functions.layer_walk import walk_layers
 from wireloom.functions.octets import be_int
 
 
 def with_layers(packets: DataFrame) -> DataFrame:
     """Adds ``layers`` (name, depth, offset, header length), ``stop`` (end of the innermost datagram), ``parse_ok``, ``parse_error``, ``parsed_until``."""
-    first = L.first_layer(F.col("raw"), F.col("linktype").cast("int")) if "linktype" in packets.columns else "Ethernet"
-    w = packets.withColumn("__w", L.walk_layers(F.col("raw"), first))
+    first = L.first_layer(F.col("raw"), F.col("linktype").cast("int")) if "linktype" in packets.columns else F.lit("Ethernet")
+    w = packets.withColumn("__w", walk_layers(F.col("raw"), first))
     return w.withColumns({
         "layers": F.col("__w.layers"), "stop": F.col("__w.stop"), "parse_ok": F.col("__w.error") == "", "parse_error": F.nullif(F.col("__w.error"), F.lit("")),
         "parsed_until": F.col("__w.at")}).drop("__w")
