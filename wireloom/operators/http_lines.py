@@ -12,7 +12,6 @@ import bisect
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from pyspark.sql import types as ST
 
 from wireloom.operators.reassembly import KEY
 from wireloom.operators.stage import materialise
-from wireloom.operators.walk import NEVER, taken, walk
+from wireloom.operators.walk import NEVER, by_group, map_groups, taken, walk
 
 # States of the open line at a border: in the start line, at a line's beginning, in a field's name, in a valid line, in an invalid one;
 # the odd ones have just seen a carriage return.
@@ -43,6 +42,7 @@ _START = ST.StructType([
     ST.StructField("pos", ST.LongType()), ST.StructField("p", ST.LongType()), ST.StructField("frame_no", ST.LongType()), ST.StructField("start_seq", ST.LongType()), *_END.fields,
 ])
 _ARROW_END = [("state", pa.int32()), ("stop", pa.int64()), ("seg_end", pa.int64()), ("complete", pa.bool_()), ("line_end", pa.int64())]
+_ARROW_ENDS = pa.list_(pa.struct(_ARROW_END))
 _ARROW_START = [("pos", pa.int64()), ("p", pa.int64()), ("frame_no", pa.int64()), ("start_seq", pa.int64()), *_ARROW_END]
 
 
@@ -125,31 +125,10 @@ class _Block:
         return {"state": state, "stop": self.base + stop if state == DONE else 0, "seg_end": seg_end, "complete": complete, "line_end": self.base + line_end if line_end else 0}
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], make: Callable, schema: pa.Schema, held: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """``make(key, rows)`` for the sorted rows of every (key, block), its results in batches."""
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
-
-    key, rows, done, size = None, [], [], 0
-    for batch in batches:
-        keys = zip(*[batch.column(n).to_pylist() for n in (*KEY, "blk")])
-        for k, row in zip(keys, zip(*[batch.column(n).to_pylist() for n in names])):
-            if k != key:
-                if key is not None:
-                    done.extend(make(key, rows))
-                    size += sum(len(r[-1] or b"") for r in rows)
-                key, rows = k, []
-                if size > held or len(done) >= 1024:
-                    yield out(done)
-                    done, size = [], 0
-            rows.append(row)
-    if key is not None:
-        done.extend(make(key, rows))
-    if done:
-        yield out(done)
-
-
-def _read(start_in: Callable[[bytes], int], schema: pa.Schema):
+_BLOCK_KEY = [*KEY, "blk"]
+
+
+def _read(start_in: Callable[[bytes], int]):
     def make(key, segments):
         block = _Block(segments)
         starts = []
@@ -159,7 +138,8 @@ def _read(start_in: Callable[[bytes], int], schema: pa.Schema):
                 starts.append({"pos": off, "p": off + at, "frame_no": frame, "start_seq": seq + at, **block.placed(block.start_line(off + at - block.base))})
         return [(*key, starts, [block.placed(block.enter(s)) for s in range(9)])]
 
-    return lambda batches: _by_block(batches, ("off", "frame_no", "seq", "payload"), make, schema)
+    out = [("starts", pa.list_(pa.struct(_ARROW_START))), ("ends", _ARROW_ENDS)]
+    return lambda batches: by_group(batches, _BLOCK_KEY, ("off", "frame_no", "seq", "payload"), make, out, len(_BLOCK_KEY))
 
 
 def _then(first: list, later: list | None) -> list:
@@ -174,27 +154,20 @@ def _then(first: list, later: list | None) -> list:
     return out
 
 
-def _rows(maps) -> list:
-    return [dict(m) if isinstance(m, dict) else m.asDict() for m in maps]
-
-
-def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
+def _composed(key: tuple, rows: list) -> list:
     later = None
-    for m in pdf.sort_values("blk")["ends"].iloc[::-1]:
-        later = _then(_rows(m), later)
-    first = pdf.iloc[:1]
-    return first[[*KEY]].assign(blk=first["sup"], ends=[later])
+    for _blk, ends in reversed(rows):
+        later = _then(ends, later)
+    return [(*key, later)]
 
 
-def _behind(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each block (or group) the map of all that lie behind it; ``behind`` of the last one is handed down or null."""
-    pdf = pdf.sort_values("blk")
-    later = pdf["above"].iloc[0] if "above" in pdf.columns else None
-    later, out = None if later is None else _rows(later), []
-    for m in pdf["ends"].iloc[::-1]:
-        out.append(later)
-        later = _then(_rows(m), later)
-    return pdf[[*KEY, "blk"]].assign(behind=out[::-1])
+def _behind(key: tuple, rows: list) -> list:
+    """For each block (or group) the map of all that lie behind it; ``above`` is handed down to the last one, which has none without."""
+    later, out = rows[0][2] if len(rows[0]) > 2 else None, []
+    for blk, ends, *_ in reversed(rows):
+        out.append((*key[: len(KEY)], blk, later))
+        later = _then(ends, later)
+    return out
 
 
 def _with_later(blocks: DataFrame, fan: int) -> DataFrame:
@@ -205,13 +178,14 @@ def _with_later(blocks: DataFrame, fan: int) -> DataFrame:
     several = ST.ArrayType(_END)
     whole = ST.StructType([*key_fields, ST.StructField("blk", ST.LongType()), ST.StructField("ends", several)])
     after = ST.StructType([*key_fields, ST.StructField("blk", ST.LongType()), ST.StructField("behind", several)])
-    groups = maps.groupBy(*KEY, "sup").applyInPandas(_composed, whole)
-    above = groups.groupBy(*KEY).applyInPandas(_behind, after).select(*KEY, F.col("blk").alias("sup"), F.col("behind").alias("above"))
-    found = maps.join(above, [*KEY, "sup"]).groupBy(*KEY, "sup").applyInPandas(_behind, after)
+    out_map, out_after = [("blk", pa.int64()), ("ends", _ARROW_ENDS)], [("blk", pa.int64()), ("behind", _ARROW_ENDS)]
+    groups = map_groups(maps, [*KEY, "sup"], "blk", ["blk", "ends"], _composed, out_map, whole, len(KEY))
+    above = map_groups(groups, KEY, "blk", ["blk", "ends"], _behind, out_after, after, len(KEY)).select(*KEY, F.col("blk").alias("sup"), F.col("behind").alias("above"))
+    found = map_groups(maps.join(above, [*KEY, "sup"]), [*KEY, "sup"], "blk", ["blk", "ends", "above"], _behind, out_after, after, len(KEY))
     return blocks.join(found, [*KEY, "blk"], "left")
 
 
-def _cut(schema: pa.Schema):
+def _cut():
     def make(key, rows):
         segments = [(r[0], r[3]) for r in rows if r[3] is not None]
         if not segments:
@@ -219,7 +193,8 @@ def _cut(schema: pa.Schema):
         base, data = segments[0][0], b"".join(s[1] for s in segments)
         return [(*key, r[0], data[max(r[1] - base, 0) : max(r[2] - base, 0)]) for r in rows if r[3] is None]
 
-    return lambda batches: _by_block(batches, ("off", "p", "q", "payload"), make, schema)
+    out = [("pos", pa.int64()), ("part", pa.binary())]
+    return lambda batches: by_group(batches, _BLOCK_KEY, ("off", "p", "q", "payload"), make, out, len(_BLOCK_KEY))
 
 
 def headers_of(placed: DataFrame, start_in: Callable[[bytes], int], block: int, fan: int, levels: int) -> DataFrame:
@@ -229,9 +204,7 @@ def headers_of(placed: DataFrame, start_in: Callable[[bytes], int], block: int,
     ready = rows.repartition(*KEY, "blk").sortWithinPartitions(*KEY, "blk", "off")
     keys = [ready.schema[c] for c in KEY]
     schema = ST.StructType([*keys, ST.StructField("blk", ST.LongType()), ST.StructField("starts", ST.ArrayType(_START)), ST.StructField("ends", ST.ArrayType(_END))])
-    of_keys = [*[pa.field(c, pa.string()) for c in KEY], pa.field("blk", pa.int64())]
-    arrow = pa.schema([*of_keys, pa.field("starts", pa.list_(pa.struct(_ARROW_START))), pa.field("ends", pa.list_(pa.struct(_ARROW_END)))])
-    blocks = materialise(ready.mapInArrow(_read(start_in, arrow), schema))
+    blocks = materialise(ready.mapInArrow(_read(start_in), schema))
     if blocks.where("blk > 0").isEmpty():
         known = blocks.withColumn("behind", F.lit(None).cast(ST.ArrayType(_END)))
     else:
@@ -254,6 +227,6 @@ def headers_of(placed: DataFrame, start_in: Callable[[bytes], int], block: int,
     held = rows.join(parts.select(*KEY, "blk").distinct(), [*KEY, "blk"], "left_semi").select(*KEY, "blk", "off", none.alias("p"), none.alias("q"), "payload")
     both = held.unionByName(parts.withColumn("payload", F.lit(None).cast("binary"))).repartition(*KEY, "blk").sortWithinPartitions(*KEY, "blk", F.col("payload").isNull(), "off")
     out = ST.StructType([*keys, ST.StructField("blk", ST.LongType()), ST.StructField("pos", ST.LongType()), ST.StructField("part", ST.BinaryType())])
-    cut = both.mapInArrow(_cut(pa.schema([*of_keys, pa.field("pos", pa.int64()), pa.field("part", pa.binary())])), out)
+    cut = both.mapInArrow(_cut(), out)
     whole = cut.groupBy(*KEY, "pos").agg(F.array_sort(F.collect_list(F.struct("blk", F.hex("part").alias("part")))).alias("parts"))
     return found.join(whole, [*KEY, "pos"]).select(*KEY, "frame_no", "start_seq", F.unhex(F.array_join("parts.part", "")).alias("header"), "complete")
