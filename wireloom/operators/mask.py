@@ -7,27 +7,32 @@ from pyspark.sql import functions as F
 
 from wireloom.functions.octets import filler
 from wireloom.functions.ratios import safe_divide
-from wireloom.operators.reassembly import BUCKET, KEY
+from wireloom.operators.reassembly import KEY
 from wireloom.operators.rules import both_directions, valid
 from wireloom.operators.scan import covering_end, merge_intervals
-from wireloom.operators.skew import explode_buckets, lookup
+from wireloom.operators.skew import FRAME_BLOCK, explode_buckets, lookup
 from wireloom.operators.stage import materialise
 
 SEGMENT = [*KEY, "seq", "len"]
+#: Every segment of a bucket meets every rule of it, so a bucket holds few segments of usual size.
+BUCKET = 2048
 
 
 def kept_ranges(segments: DataFrame, rules: DataFrame) -> DataFrame:
     """``(key, seq, len, ranges, has_rules)`` for each distinct segment: byte offsets that stay, sorted and disjoint.
 
-    Distinct segments (not packets) meet merged rules in 16 KiB buckets of the sequence space, so neither copies of a segment nor a
+    Distinct segments (not packets) meet merged rules in 2 KiB buckets of the sequence space, so neither copies of a segment nor a
     long flow make a large join group; a segment collects at most its own length in ranges. Ranges are cut at the borders of buckets
     that hold segments: what begins in a bucket, and what a sweep finds open at its border. No range is spread over the buckets it spans.
     """
-    distinct = segments.where("len > 0").select(*SEGMENT).distinct()
-    # rules come out of long plans and are read by several branches below, hence written once
+    # several branches read them, and each comes out of a long plan: written once
+    return _ranges_of(materialise(segments.where("len > 0").select(*SEGMENT).distinct()), rules)
+
+
+def _ranges_of(distinct: DataFrame, rules: DataFrame) -> DataFrame:
     own = materialise(valid(rules).select(*KEY, "seq_start", "seq_end").distinct())
-    usable = both_directions(own)
-    merged = materialise(merge_intervals(usable, KEY, "seq_start", "seq_end"))
+    # a direction that borrows rules merges them as their owner does, so they are merged before they are copied
+    merged = materialise(both_directions(materialise(merge_intervals(own, KEY, "seq_start", "seq_end"))))
     pieces = explode_buckets(distinct.withColumn("__end", F.col("seq") + F.col("len")), "seq", "__end", BUCKET)
     borders = pieces.select(*KEY, (F.col("__bucket") * BUCKET).alias("__at")).distinct()
     still = covering_end(borders, KEY, "__at", merged, "seq_start", "seq_end", "__open").where("__open > __at")
@@ -38,8 +43,8 @@ def kept_ranges(segments: DataFrame, rules: DataFrame) -> DataFrame:
     hits = pieces.join(cut, [*KEY, "__bucket"]).where("seq_start < __end AND seq_end > seq")
     ranges = hits.groupBy(*SEGMENT).agg(
         F.array_sort(F.collect_list(F.struct((lo - F.col("seq")).cast("int").alias("a"), (hi - F.col("seq")).cast("int").alias("b")))).alias("ranges"))
-    ruled = usable.select(*KEY).distinct().withColumn("has_rules", F.lit(True))
-    return lookup(distinct.join(ranges, SEGMENT, "left"), ruled, KEY, by="seq")
+    ruled = merged.select(*KEY).distinct().withColumn("has_rules", F.lit(True))
+    return lookup(distinct, ruled, KEY, by="seq").join(ranges, SEGMENT, "left")
 
 
 def apply_ranges(payload: Column, ranges: Column, mask_byte: int = 0) -> Column:
@@ -59,9 +64,12 @@ def mask_payloads(packets: DataFrame, rules: DataFrame, mask_byte: int = 0, mask
     Expects flow keys, ``proto``, ``seq``, ``len`` and ``payload``.  Any TCP payload without a rule is fully masked; UDP payloads are
     only touched on request.  A packet is moved once, in the final join on (segment, block of frames).
     """
-    tcp = packets.where("proto = 'tcp' AND len > 0")
-    ranges = kept_ranges(tcp, rules)
-    joined = lookup(packets.withColumn("__tcp", F.expr("proto = 'tcp' AND len > 0")), ranges, SEGMENT)
+    block = F.floor(F.col("frame_no") / FRAME_BLOCK)
+    packets = packets.withColumns({"__tcp": F.expr("proto = 'tcp' AND len > 0"), "__lb": block})
+    # the packets' plan is run once for where segments occur, and once more for the packets themselves
+    placed = materialise(packets.groupBy(*SEGMENT, "__lb").agg(F.max("__tcp").alias("__tcp")))
+    ranges = _ranges_of(materialise(placed.where("__tcp").select(*SEGMENT).distinct()), rules)
+    joined = packets.join(placed.drop("__tcp").join(ranges, SEGMENT), [*SEGMENT, "__lb"], "left").drop("__lb")
     touch = F.col("__tcp") | ((F.col("proto") == "udp") & (F.col("len") > 0) if mask_udp else F.lit(False))
     kept = F.coalesce(F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, r: a + r["b"] - r["a"]), F.lit(0).cast("bigint"))
     masked = F.when(F.col("ranges").isNotNull(), apply_ranges(F.col("payload"), F.col("ranges"), mask_byte)).otherwise(filler(F.length("payload"), mask_byte))
