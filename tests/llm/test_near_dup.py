@@ -114,6 +114,18 @@ def test_large_group_of_members_that_are_not_linked_with_its_smallest_one(spark,
     assert len({g[2] for g in got}) > 24
 
 
+def test_a_set_is_joined_once_for_all_open_nodes(spark):
+    """Joined once for each node that holds it, a group of n sets made up to 48 n rows with all their shingles."""
+    fps = [bytes([k]) * 16 for k in range(40)]
+    rows = [(t, fp, fps[k % 3], fps[0], 40, 27, 400 + t * 1_000_000) for t in range(9) for k, fp in enumerate(fps)]
+    open_ = spark.createDataFrame(rows, "token long, fp binary, comp binary, main binary, m long, strays long, grams long")
+    sets = spark.createDataFrame([(fp, fp * 3) for fp in fps], "fp binary, grams binary")
+    held = near_dup._held(open_, sets).collect()
+    assert sorted((bytes(r.fp), bytes(r.grams)) for r in held) == [(fp, fp * 3) for fp in fps]
+    want = sorted((t, fp, comp, main, max(1, -(-g // (near_dup.TILE * 128)))) for t, fp, comp, main, _, _, g in rows)
+    assert sorted((p.token, bytes(r.fp), bytes(p.comp), bytes(p.main), p.parts) for r in held for p in r.places) == want
+
+
 def test_tile_joins_what_all_links_join():
     import numpy as np
 

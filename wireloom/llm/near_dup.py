@@ -232,13 +232,20 @@ def _still_open(large: DataFrame) -> DataFrame:
     return written(rows.join(nodes, "token"), "open-nodes")
 
 
+def _held(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, grams, places) of the open nodes' members: a set is joined once for all nodes that hold it; places: token, comp, main, parts of the node."""
+    parts = F.ceil(F.greatest(F.col("m") / TILE, F.col("grams") / (TILE * 128))).cast("int").alias("parts")
+    return open_.groupBy("fp").agg(F.collect_list(F.struct("token", "comp", "main", parts)).alias("places")).join(sets, "fp")
+
+
 def _tiled(open_: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The links of all strays with all members of other components, block by block; blocks are bounded by members and by shingles."""
     sets = _sets(open_.select("fp").distinct(), texts, reps)
-    rows = open_.withColumn("parts", F.ceil(F.greatest(F.col("m") / TILE, F.col("grams") / (TILE * 128))).cast("int")).drop("grams").join(sets, "fp")
+    held = _held(open_, sets)
+    at = lambda places: held.select("fp", "grams", F.explode(places).alias("at")).select("fp", "grams", "at.*")
     block, every = F.expr("cast(pmod(xxhash64(fp), parts) as int)"), F.explode(F.expr("sequence(0, parts - 1)"))
-    x = rows.where("comp <> main").withColumn("i", block).withColumn("j", every)
-    y = rows.withColumn("j", block).withColumn("i", every)
+    x = at(F.filter("places", lambda p: p["comp"] != p["main"])).withColumn("i", block).withColumn("j", every)
+    y = at(F.col("places")).withColumn("j", block).withColumn("i", every)
     x = x.select("token", "i", "j", "fp", "comp", "grams")
     y = y.select(*(F.col(c).alias(f"{c}_y") for c in ("token", "i", "j")), "fp", "comp", "grams").toDF("token_y", "i_y", "j_y", "fp", "comp", "grams")
     pairs = x.groupBy("token", "i", "j").cogroup(y.groupBy("token_y", "i_y", "j_y")).applyInArrow(_tile(percent), "a binary, b binary")
