@@ -40,3 +40,13 @@ def test_cutting_takes_time_in_proportion_to_a_long_page(spark, tmp_path):
     n, total = carrier(spark, str(tmp_path), "http_segments").selectExpr("count(payload_hex)", "sum(length(payload_hex)) / 2").first()
     assert time.monotonic() - began < 20
     assert total == len(("HTTP/1.1 200 OK\r\nHost: h3.example\r\nCookie: id=3\r\n folded=21\r\nAccept: */*\r\n\r\n" + "héllo wörld " * 200_000).encode()) and n == -(-total // 256)
+
+
+def test_readers_of_lengths_build_no_segment(spark, tmp_path):
+    rows = [(1, "a\nb" * 700, "s"), (2, "é" * 497, "s"), (3, "", None), (4, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    segments = carrier(spark, str(tmp_path), "long_http_segments")
+    plan = lambda c: segments.select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr(bytes" in plan("payload_hex") and "substr(bytes" not in plan("len")
+    found = segments.select("frame_no", "len", "payload_hex").collect()
+    assert {r.frame_no // 1_000_000 for r in found} == {1, 2, 3, 4} and all(r.len == len(r.payload_hex) // 2 > 0 for r in found)
