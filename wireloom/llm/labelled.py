@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wireloom.llm.store import small_batches
+
+#: Rows of features that the JVM and a task exchange at once; a row may have as many buckets as its text has characters.
+BATCH = 256
+
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Up to ``rows`` labelled texts, those whose id hashes lowest; ``learn`` says by id which may be used.
@@ -48,7 +53,8 @@ def fitted(rows: DataFrame, features: Callable, fit: Callable, size: int) -> np.
 
     packed = rows.select(F.col("_id").cast("string"), "text", "label").mapInArrow(indices, "id string, x binary, label int")
     packed = packed.groupBy("id").agg(F.min("x").alias("x"), F.first("label").alias("label"))
-    out = packed.repartition(1).mapInArrow(train, "w binary").collect()
+    with small_batches(rows.sparkSession, BATCH):
+        out = packed.repartition(1).mapInArrow(train, "w binary").collect()
     return np.frombuffer(bytes(out[0][0]), np.float32) if out else np.zeros(size, np.float32)
 
 

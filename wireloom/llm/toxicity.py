@@ -13,6 +13,8 @@ from wireloom.llm.words import distinct, mixed
 BITS = 18
 ORDERS = (3, 4, 5)
 SLICE = 1 << 20
+#: Buckets of sampled texts that the fit widens to eight bytes and more at a time.
+BLOCK = 1 << 19
 
 
 def features(text: str) -> np.ndarray:
@@ -31,6 +33,27 @@ def features(text: str) -> np.ndarray:
     return distinct(np.concatenate(found)) if found else np.empty(0, np.uint32)
 
 
+def _blocks(xs: list[np.ndarray], used: np.ndarray):
+    """A function that gives (slice of texts, their used buckets, text of each bucket within the slice), about BLOCK buckets of whole texts at a time.
+
+    Only the buckets stay in memory, in four bytes each; everything as wide as that is made for one block and dropped.
+    """
+    kept = [x[used[x]].astype(np.uint32) for x in xs]
+    cuts, size = [0], 0
+    for k, x in enumerate(kept):
+        if size and size + len(x) > BLOCK:
+            cuts.append(k)
+            size = 0
+        size += len(x)
+    cuts.append(len(kept))
+
+    def run():
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield slice(a, b), np.concatenate(kept[a:b]).astype(np.int64), np.repeat(np.arange(b - a), [len(x) for x in kept[a:b]])
+
+    return run
+
+
 def fit(xs: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, l2: float = 1e-4, rounds: int = 60, seen: int = 8) -> np.ndarray:
     """Weights by bucket (log-count ratio times fitted coefficient), then the intercept; one class alone gives its prior.
 
@@ -45,24 +68,30 @@ def fit(xs: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, l2: float = 1e-
     w[size] = prior
     if y.min() == y.max():
         return w
-    flat = np.concatenate(xs).astype(np.int64)
-    row = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-    p = alpha + np.bincount(flat[y[row] == 1], minlength=size)
-    q = alpha + np.bincount(flat[y[row] == 0], minlength=size)
+    in_one, in_all = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for x, mark in zip(xs, y, strict=True):  # a text's buckets are distinct
+        in_all[x] += 1
+        if mark == 1:
+            in_one[x] += 1
+    p, q = alpha + in_one, alpha + (in_all - in_one)
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     r[p + q - 2 * alpha < seen] = 0
-    used = r[flat] != 0
-    flat, row = flat[used], row[used]
-    x = r[flat]
-    step = 4.0 / (np.bincount(row, x * x, len(xs)).mean() + 1)
+    squares = r * r
+    blocks, norms = _blocks(xs, r != 0), np.zeros(len(xs))
+    for rows, flat, row in blocks():
+        norms[rows] = np.bincount(row, squares[flat], len(norms[rows]))
+    step = 4.0 / (norms.mean() + 1)
     beta, last, b, last_b = np.full(size, 0.0), np.zeros(size), prior, prior
     for k in range(rounds):
         m = k / (k + 3)
         at, at_b = beta + m * (beta - last), b + m * (b - last_b)
-        z = np.bincount(row, x * at[flat], len(xs)) + at_b
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        margins, gradient, e = r * at, np.zeros(size), np.empty(len(y))
+        for rows, flat, row in blocks():  # both passes over a block in one go: a row lies in one block
+            z = np.bincount(row, margins[flat], len(y[rows])) + at_b
+            e[rows] = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(y)
+            np.add.at(gradient, flat, r[flat] * e[rows][row])
         last, last_b = beta, b
-        beta = at - step * (np.bincount(flat, x * e[row], size) + l2 * at)
+        beta = at - step * (gradient + l2 * at)
         b = at_b - min(step, 1.0) * e.sum()
     w[:size], w[size] = r * beta, b
     return w
