@@ -4,7 +4,7 @@ The result is exact: a byte goes if a LENGTH-byte string over it also starts ear
 64-bit hash, so that equal ones meet. To sort few of them, three steps narrow down what can match at all:
 
 1. Each window of LENGTH bytes is named by its least GRAM-byte hash (its anchor); equal windows have equal anchors. Runs of windows with
-   one anchor follow each other, some forty windows long. Anchors that only one document has are set aside, as no other can match there.
+   one anchor follow each other, some thirty-five windows long. Anchors that only one document has are set aside, as no other can match there.
 2. A run is entered into the arrays as a whole (its first and last suffix span it). A run that an earlier document has goes entirely.
 3. Where documents share an anchor but not the whole run, the few passages with that anchor are compared window by window, or, if there
    are more than GROUP of them, all their suffixes are entered one by one.
@@ -19,19 +19,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wireloom.llm.store import written
 from wireloom.llm.words import distinct, mixed
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1
 PIECE = 1 << 20
 #: Most rows of a side that is broadcast (up to some 60 bytes each); beyond it the join shuffles, or for anchors all are taken as shared.
 BROADCAST_ROWS = 1_500_000
 #: Passages with one anchor that are compared together; the suffixes of more common anchors are entered into the arrays.
-GROUP = 400
+GROUP = 20_000
+#: Bytes of such passages that are hashed at once.
+SLICE = 1 << 18
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,12 +192,17 @@ def _compared(batches):
     def found(b):
         v, ids, dk, s = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         parts = b.column(4).to_pylist()
-        size = np.array([len(x) for x in parts])
-        w = _windows(_powers(np.frombuffer(b"".join(parts), np.uint8), 64))
-        row = np.repeat(np.arange(len(parts)), size)[: len(w)]
-        at = np.arange(len(w)) - (np.cumsum(size) - size)[row]
-        inside = at + LENGTH <= size[row]
-        w, row, at = w[inside], row[inside], at[inside]
+        sizes, held = np.array([len(x) for x in parts]), []
+        begins = np.cumsum(sizes) - sizes
+        cuts = np.searchsorted(begins, np.arange(0, sizes.sum(), SLICE))  # whole passages; some slices may have none
+        for a, z in zip(cuts, np.append(cuts[1:], len(parts)), strict=True):
+            if a < z:
+                h = _windows(_powers(np.frombuffer(b"".join(parts[a:z]), np.uint8), 64))
+                r = np.repeat(np.arange(a, z), sizes[a:z])[: len(h)]
+                o = np.arange(len(h)) - (begins[r] - begins[a])
+                inside = o + LENGTH <= sizes[r]
+                held.append((h[inside], r[inside], o[inside]))
+        w, row, at = (np.concatenate([x[i] for x in held]) for i in range(3))
         key = mixed(w + mixed(v.astype(np.int64).view(np.uint64))[row])
         order = np.lexsort((ids[row], key))
         start = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
@@ -234,12 +241,15 @@ def _earlier(entries: DataFrame, ranges: list[tuple]) -> DataFrame:
             batch = batch.where(F.col("id") > F.lit(lo))
         if hi is not None:
             batch = batch.where(F.col("id") <= F.lit(hi))
-        array = written(batch.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).sortWithinPartitions("key"), "suffix-array")
-        found = array.select("key", "first", "last", F.lit(False).alias("old"))
+        array = batch.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).sortWithinPartitions("key")
+        hit = None  # a level holds what no earlier one has, so a key is in one level at most
         for _, level in levels:
-            hit = array.join(level, "key", "left_semi").select("key", F.lit(True).alias("hit"))
-            found = found.join(hit, "key", "left").select("key", "first", "last", (F.col("old") | F.coalesce("hit", F.lit(False))).alias("old"))
-        found = written(found, "scanned")
+            level = level.select("key", F.lit(True).alias("hit"))
+            hit = level if hit is None else hit.unionAll(level)
+        found = array.select("key", "first", "last", F.lit(False).alias("old"))
+        if hit is not None:
+            found = array.join(hit, "key", "left").select("key", "first", "last", F.coalesce("hit", F.lit(False)).alias("old"))
+        found = written(found, "suffix-array")
         dup = batch.join(found.where("old or last > first"), "key").where("old or id > first").select("id", "dk", "s", "e")
         out = dup if out is None else out.unionAll(dup)
         levels.append((1, found.where("not old").select("key")))
@@ -326,15 +336,16 @@ def repeated(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col
     ranges = list(zip(cuts[:-1], cuts[1:], strict=True))
     by_run = _earlier(runs.drop("v"), ranges)
 
-    context = runs.groupBy("v", "key").agg(F.min(F.struct("id", "dk", "s", "e")).alias("x"))
-    context = written(context.select("v", "key", "x.*"), "contexts")
-    apart = written(context.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "mixed-anchors")
+    # one shuffle by anchor: its runs that differ are told from each other and counted in the same place
+    context = runs.repartition("v").groupBy("v", "key").agg(F.min(F.struct("id", "dk", "s", "e")).alias("x"))
+    context = context.select("v", "x.*", F.count("*").over(Window.partitionBy("v")).alias("n")).where("n > 1")
+    context = written(context, "contexts")
     spans = by_run
     for common in (False, True):
-        group = apart.where((F.col("n") > GROUP) if common else (F.col("n") <= GROUP)).select("v")
+        group = context.where((F.col("n") > GROUP) if common else (F.col("n") <= GROUP))
         if group.isEmpty():
             continue
-        listed = written(context.join(group, "v").groupBy("id", "dk").agg(F.collect_list(F.struct("v", "s", "e")).alias("runs")), "listed")
+        listed = written(group.groupBy("id", "dk").agg(F.collect_list(F.struct("v", "s", "e")).alias("runs")), "listed")
         texts = own.select("id", "dk", "text").join(_small(listed), ["id", "dk"]).select("id", "dk", "text", "runs")
         if common:
             suffixes = texts.mapInArrow(_suffixes, f"key long, id {kind}, dk long, s long, e long")
