@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.llm.store import written
@@ -336,16 +336,16 @@ def repeated(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col
     ranges = list(zip(cuts[:-1], cuts[1:], strict=True))
     by_run = _earlier(runs.drop("v"), ranges)
 
-    # one shuffle by anchor: its runs that differ are told from each other and counted in the same place
-    context = runs.repartition("v").groupBy("v", "key").agg(F.min(F.struct("id", "dk", "s", "e")).alias("x"))
-    context = context.select("v", "x.*", F.count("*").over(Window.partitionBy("v")).alias("n")).where("n > 1")
-    context = written(context, "contexts")
+    # equal runs collapse before they meet by anchor, and a common anchor's contexts may be split by the join
+    context = runs.groupBy("v", "key").agg(F.min(F.struct("id", "dk", "s", "e")).alias("x"))
+    context = written(context.select("v", "key", "x.*"), "contexts")
+    apart = written(context.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "mixed-anchors")
     spans = by_run
     for common in (False, True):
-        group = context.where((F.col("n") > GROUP) if common else (F.col("n") <= GROUP))
+        group = apart.where((F.col("n") > GROUP) if common else (F.col("n") <= GROUP)).select("v")
         if group.isEmpty():
             continue
-        listed = written(group.groupBy("id", "dk").agg(F.collect_list(F.struct("v", "s", "e")).alias("runs")), "listed")
+        listed = written(context.join(group, "v").groupBy("id", "dk").agg(F.collect_list(F.struct("v", "s", "e")).alias("runs")), "listed")
         texts = own.select("id", "dk", "text").join(_small(listed), ["id", "dk"]).select("id", "dk", "text", "runs")
         if common:
             suffixes = texts.mapInArrow(_suffixes, f"key long, id {kind}, dk long, s long, e long")
