@@ -1,6 +1,8 @@
 import itertools
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 from cases import awkward, clashing, documents, real
 from wireloom.llm import pieces as P
 
@@ -63,6 +65,21 @@ def test_one_hash_for_two_strings_is_noticed():
     assert [i.tolist() for i in c.encode_all(words)] == want
 
 
+def test_long_batches_are_encoded_in_portions():
+    """However many rows come at once, texts of a bounded size are held and handed on together; no row is lost or moved."""
+    line = "the quick brown fox jumps over the lazy dog, naïve 日本語 " * 40
+    texts = [f"{i} {line[: i % 2000]}" for i in range(3000)] + ["", "x " * P.TOGETHER] + [""] * 3
+    ids = pa.array(range(len(texts)), pa.int64())
+    batches = [pa.RecordBatch.from_arrays([ids, pa.array(texts)], ["id", "text"]), pa.RecordBatch.from_arrays([ids[:0], pa.array([], pa.string())], ["id", "text"])]
+    out = list(P._short(SimpleNamespace(value=P.vocabulary(P.MODEL)))(batches))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    sizes = [sum(len(texts[i].encode()) for i in b.column(0).to_pylist()) for b in out]
+    assert sum(size > P.TOGETHER for size in sizes) == 1 and len(sizes) < 20
+    c, got = codec(), [x for b in out for x in b.column(2).to_pylist()]
+    assert all(b.column(3).to_pylist() == [True] * len(b) for b in out) and got[:200] == [c.encode(t) for t in texts[:200]]
+    assert [len(x) for x in got] == [n for b in out for n in b.column(1).to_pylist()]
+
+
 def test_chunks_change_nothing(spark, sf):
     c = codec()
     texts = [r.text for r in real(spark, sf, 6).collect()] + ["x" * 500, "the " * 200 + " " * 90 + "é▁🙂" * 60, "ab" * 64, "a" * 127, "a" * 128, "a" * 129]

@@ -14,6 +14,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ WIDTH = 16
 SPACE, OTHER = "▁", "\ud800"  # the mark for a space; a stand-in for that character itself, which no valid text holds
 NONE = -np.inf
 GROUP = 4096  # words that are solved together
-TOGETHER = 1 << 21  # characters of texts whose words are gathered together
+TOGETHER = 1 << 20  # bytes of texts that are held as Python objects at once
 SLOTS = 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*")  # a word with the marks before it; marks at the end are one, too
@@ -201,19 +202,11 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """No piece goes over a border of words, so every distinct word is solved once and remembered."""
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
-                size += len(texts[end])
-                end += 1
-            words = [_UNITS.findall(self.marked(text)) for text in texts[at:end]]
-            if len(self.units) > self.limit:
-                self.units.clear()
-            self.learn(set().union(*words) - self.units.keys())
-            out += [np.frombuffer(b"".join(map(self.units.__getitem__, some)), np.int32) for some in words]
-            at = end
-        return out
+        words = [_UNITS.findall(self.marked(text)) for text in texts]
+        if len(self.units) > self.limit:
+            self.units.clear()
+        self.learn(set().union(*words) - self.units.keys())
+        return [np.frombuffer(b"".join(map(self.units.__getitem__, some)), np.int32) for some in words]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
@@ -261,21 +254,46 @@ def _backward(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": pdf["key"], "no": pdf["no"], "exit": out})
 
 
+def _portions(batches, column: int, limit: int = TOGETHER):
+    """The rows of batches, in order, in batches of texts of ``limit`` bytes at most; a longer text is one alone."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        at, held = 0, 0
+        for row, size in enumerate(sizes):
+            if row > at and held + size > limit:
+                yield b.slice(at, row - at)
+                at, held = row, 0
+            held += size
+        yield b.slice(at)
+
+
 def _each(vocab, f, names, kind=None):
     def run(batches):
         codec = Codec(vocab.value)
-        for b in batches:
+        for b in _portions(batches, 3):
             rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f(codec, *r[2:]) for r in rows], kind)], names)
 
     return run
 
 
+def _short(vocab):
+    def run(batches):
+        codec = Codec(vocab.value)
+        for b in _portions(batches, 1):
+            texts = b.column(1).to_pylist()
+            ids = codec.encode_all(texts)
+            exact = [codec.decode(i.tolist()) == text for i, text in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], ["id", "n_tokens", "ids", "exact"])
+
+    return run
+
+
 def _giants(texts: DataFrame, vocab, chunk: int) -> DataFrame:
     """(key, ids) of texts (key, text) longer than a chunk."""
 
     def cut(batches):
-        for b in batches:
+        for b in _portions(batches, 1):
             for key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = Codec.marked(text)
                 for no, at in enumerate(range(0, len(s), chunk)):
@@ -330,17 +348,9 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = 65_536, id_col: st
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), t.alias("text"))
 
-    def short(batches):
-        codec = Codec(vocab.value)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            ids = codec.encode_all(texts)
-            exact = [codec.decode(i.tolist()) == text for i, text in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], ["id", "n_tokens", "ids", "exact"])
-
     def decoded(batches):
         codec = Codec(vocab.value)
-        for b in batches:
+        for b in _portions(batches, 1):
             texts, ids = b.column(1).to_pylist(), b.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) for i in ids], pa.int64()), b.column(2), pa.array([codec.decode(i) == x for i, x in zip(ids, texts, strict=True)], pa.bool_())], ["id", "n_tokens", "ids", "exact"])
 
@@ -348,5 +358,5 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = 65_536, id_col: st
     giant = F.length("text") >= chunk  # one mark more than characters
     long = written(rows.where(giant).withColumn("key", F.md5(F.col("text").cast("binary"))), "giant-texts")
     found = _giants(long.select("key", "text").dropDuplicates(["key"]), vocab, chunk)
-    out = rows.where(~giant).mapInArrow(short, schema).unionAll(long.join(found, "key").select("id", "text", "ids").mapInArrow(decoded, schema))
+    out = rows.where(~giant).mapInArrow(_short(vocab), schema).unionAll(long.join(found, "key").select("id", "text", "ids").mapInArrow(decoded, schema))
     return out.withColumnRenamed("id", id_col)
