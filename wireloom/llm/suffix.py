@@ -11,6 +11,9 @@ The result is exact: a byte goes if a LENGTH-byte string over it also starts ear
 
 Batches are ranges of document ids. A batch's own sorted array is merge-scanned against the levels, which hold only earlier documents, then
 what is new in it becomes a level; levels of equal size merge. Repeats inside a document are found where its text is.
+
+Texts are read where they lie, some times over; what a reader has to know (copies, shared anchors, listed runs, marked rows) is sent as hashes,
+or as a bit map of bounded size that may tell a few too many, which changes no result. Only texts of marked rows are shuffled to their spans.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ from wireloom.llm.words import distinct, mixed
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1
 PIECE = 1 << 20
-#: Most rows of a side that is broadcast (up to some 60 bytes each); beyond it the join shuffles, or for anchors all are taken as shared.
+#: Most hashes that the driver collects and each Python worker holds; for more a bit map stands.
 BROADCAST_ROWS = 1_500_000
+#: Most bits of such a map, as a power of two: 32 MiB.
+MAP_BITS = 28
+#: Most copied texts that are broadcast to the names of documents.
+BROADCAST_COPIES = 50_000
 #: Passages with one anchor that are compared together; the suffixes of more common anchors are entered into the arrays.
 GROUP = 20_000
 #: Bytes of such passages that are hashed at once.
@@ -110,80 +117,144 @@ def _runs(block: bytes, of: list, hashes: bool):
     return piece[first], first, last, m[first], mixed(mixed(w[first]) * _M + mixed(w[last] + np.uint64(5)) + (last - first).astype(np.uint64)) if hashes else None
 
 
-def _count(batches):
-    """(anchor, documents that have it, 2 for more), summed in the task."""
-    held, size = [], 0
+def _among(v: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of v are in the sorted array."""
+    return wanted[np.minimum(np.searchsorted(wanted, v), len(wanted) - 1)] == v if len(wanted) else np.zeros(len(v), bool)
 
-    def summed():
-        every = np.sort(np.concatenate(held))
-        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        return pa.RecordBatch.from_arrays([pa.array(every[first].view(np.int64)), pa.array(np.minimum(np.diff(np.append(first, len(every))), 2))], ["v", "n"])
 
-    for b in batches:
-        for block, of in _pieces(b.column(0).to_pylist()):
-            piece, _, _, v, _ = _runs(block, of, False)
-            row = np.array([x[0] for x in of])[piece]
-            order = np.lexsort((v, row))
-            row, v = row[order], v[order]
-            held.append(v[np.concatenate(([True], (v[1:] != v[:-1]) | (row[1:] != row[:-1])))])
-            size += len(held[-1])
-            if size > 3_000_000:
-                yield summed()
-                held, size = [], 0
-    if held:
-        yield summed()
-
-
-def _entries(shared):
-    """(id, dk, text) -> (v, key, id, dk, s, e) of the runs whose anchor is shared (all of them if that list is too long)."""
+def _mapped(v: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which of v may be in a bit map: all that are, and few others."""
+    bits, out = np.uint64(len(words) * 64 - 1), np.ones(len(v), bool)
+    for shift in (0, MAP_BITS):
+        at = (v >> np.uint64(shift)) & bits
+        out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def _bit_map(hashes: DataFrame, n: int) -> np.ndarray:
+    """Two bits for each hash, put together on the executors: what the driver collects is bounded, however many there are."""
+    bits = 1 << min(MAP_BITS, max(16, (8 * n).bit_length()))
+    at = hashes.select(F.explode(F.array(*[F.shiftrightunsigned("v", shift).bitwiseAND(F.lit(bits - 1)) for shift in (0, MAP_BITS)])).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
+def _sent(hashes: DataFrame):
+    """A broadcast for a column ``v`` of hashes, and the function that tells which hashes are in it; of very many it may tell a few too many."""
+    n = hashes.count()
+    few = n <= BROADCAST_ROWS
+    held = np.sort(hashes.toArrow().column("v").to_numpy().view(np.uint64)) if few else _bit_map(hashes, n)
+    return hashes.sparkSession.sparkContext.broadcast(held), _among if few else _mapped
+
+
+def _texts(b, gone) -> list:
+    """The last column of a batch, without the texts of the rows whose first column, a hash of their name, is in the broadcast list."""
+    texts = b.column(b.num_columns - 1).to_pylist()
+    if gone is not None:
+        for i in np.flatnonzero(_among(b.column(0).to_numpy().view(np.uint64), gone.value)):
+            texts[i] = None
+    return texts
+
+
+def _count(gone):
+    """(hash, text) -> (anchor, documents that have it, 2 for more), summed in the task."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def summed():
+            every = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(every[first].view(np.int64)), pa.array(np.minimum(np.diff(np.append(first, len(every))), 2))], ["v", "n"])
+
+        for b in batches:
+            for block, of in _pieces(_texts(b, gone)):
+                piece, _, _, v, _ = _runs(block, of, False)
+                row = np.array([x[0] for x in of])[piece]
+                order = np.lexsort((v, row))
+                row, v = row[order], v[order]
+                held.append(v[np.concatenate(([True], (v[1:] != v[:-1]) | (row[1:] != row[:-1])))])
+                size += len(held[-1])
+                if size > 3_000_000:
+                    yield summed()
+                    held, size = [], 0
+        if held:
+            yield summed()
+
+    return run
+
+
+def _entries(shared, chosen, gone):
+    """(hash, id, dk, text) -> (v, key, id, dk, s, e) of the runs whose anchor is chosen by what was broadcast of the shared ones."""
 
     def run(batches):
-        wanted = shared.value if shared is not None else None
         for b in batches:
-            for block, of in _pieces(b.column(2).to_pylist()):
+            for block, of in _pieces(_texts(b, gone)):
                 piece, first, last, v, c = _runs(block, of, True)
-                if wanted is not None:
-                    at = np.minimum(np.searchsorted(wanted, v), max(0, len(wanted) - 1))
-                    ok = wanted[at] == v if len(wanted) else np.zeros(len(v), bool)
-                    piece, first, last, v, c = (x[ok] for x in (piece, first, last, v, c))
+                ok = chosen(v, shared.value)
+                piece, first, last, v, c = (x[ok] for x in (piece, first, last, v, c))
                 row, off, at = (np.array([x[i] for x in of])[piece] for i in range(3))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(first - at + off), pa.array(last - at + off)],
+                    [pa.array(v.view(np.int64)), pa.array(c.view(np.int64)), b.column(1).take(take), b.column(2).take(take), pa.array(first - at + off), pa.array(last - at + off)],
                     ["v", "key", "id", "dk", "s", "e"],
                 )
 
     return run
 
 
-def _suffixes(batches):
-    """(id, dk, text, [(s, e)]) -> (key, id, dk, s, e) of every window of the runs listed."""
+def _run_names(w: np.ndarray, v: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return mixed(mixed(w + v) * _M + s.astype(np.uint64))
+
+
+def _listed(batches):
+    """(hash, v, s) -> name of the run that begins there."""
     for b in batches:
-        for row, (text, runs) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            at = distinct(np.concatenate([np.arange(r["s"], r["e"] + 1) for r in runs]))
-            keys = []
-            for near in np.split(at, np.flatnonzero(np.diff(at) > PIECE) + 1):  # far parts of a giant text are hashed apart
-                for k in range(0, len(near), PIECE):
-                    some = near[k : k + PIECE]
-                    keys.append(_windows(_powers(raw[some[0] : some[-1] + LENGTH], 64))[some - some[0]])
-            take = pa.array(np.full(len(at), row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(at), pa.array(at)], ["key", "id", "dk", "s", "e"])
-
-
-def _passages(batches):
-    """(id, dk, text, [(v, s, e)]) -> (v, id, dk, s, bytes of the windows from s to e)."""
+        w, v, s = (b.column(i).to_numpy() for i in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(_run_names(w.view(np.uint64), v.view(np.uint64), s).view(np.int64))], ["v"])
+
+
+def _found(batches, sent, chosen, gone):
+    """Of (hash, id, dk, text): (batch, block, row, start in the text, first, last, anchor) of the runs that were sent; first and last are counted in the block.
+
+    Runs are found again where the texts are, so that no text is moved to a list of them."""
     for b in batches:
-        for row, (text, runs) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-            raw = text.encode("utf-8", "surrogatepass")
-            take = pa.array(np.full(len(runs), row))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["v"] for r in runs], pa.int64()), b.column(0).take(take), b.column(1).take(take),
-                    pa.array([r["s"] for r in runs], pa.int64()), pa.array([raw[r["s"] : r["e"] + LENGTH] for r in runs], pa.binary()),
-                ],
-                ["v", "id", "dk", "s", "passage"],
-            )
+        w = b.column(0).to_numpy().view(np.uint64)
+        for block, of in _pieces(_texts(b, gone)):
+            piece, first, last, v, _ = _runs(block, of, False)
+            row, off, at = (np.array([x[i] for x in of])[piece] for i in range(3))
+            s = first - at + off
+            ok = chosen(_run_names(w[row], v, s), sent.value)
+            if ok.any():
+                yield b, block, row[ok], s[ok], first[ok], last[ok], v[ok]
+
+
+def _suffixes(sent, chosen, gone):
+    """(hash, id, dk, text) -> (key, id, dk, s, e) of every window of the runs sent."""
+
+    def run(batches):
+        for b, block, row, s, first, last, _ in _found(batches, sent, chosen, gone):
+            n = last - first + 1
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            take, at = pa.array(np.repeat(row, n)), pa.array(np.repeat(s, n) + step)
+            key = _windows(_powers(np.frombuffer(block, np.uint8), 64))[np.repeat(first, n) + step]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(1).take(take), b.column(2).take(take), at, at], ["key", "id", "dk", "s", "e"])
+
+    return run
+
+
+def _passages(sent, chosen, gone):
+    """(hash, id, dk, text) -> (v, id, dk, s, bytes of the windows) of the runs sent."""
+
+    def run(batches):
+        for b, block, row, s, first, last, v in _found(batches, sent, chosen, gone):
+            take = pa.array(row)
+            parts = pa.array([block[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), b.column(1).take(take), b.column(2).take(take), pa.array(s), parts], ["v", "id", "dk", "s", "passage"])
+
+    return run
 
 
 def _compared(batches):
@@ -291,22 +362,59 @@ def _own(raw: bytes) -> list[tuple[int, int]]:
     return [(int(again[a]), int(again[b]) + LENGTH) for a, b in zip(np.append(0, breaks + 1), np.append(breaks, len(again) - 1), strict=True)]
 
 
+def _merged(batches):
+    """(id, dk, [(s, e)]) -> the same with runs of windows made one where the bytes they span overlap or touch."""
+    for b in batches:
+        out = []
+        for spans in b.column(2).to_pylist():
+            s, e = np.array(sorted((x["s"], x["e"]) for x in spans)).T
+            e = np.maximum.accumulate(e)
+            first = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1] + LENGTH)))
+            out.append([{"s": a, "e": z} for a, z in zip(s[first].tolist(), e[np.append(first[1:], len(e)) - 1].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], ["id", "dk", "spans"])
+
+
+_DONE = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def _unmarked(sent, chosen):
+    """(hash, id, dk, text) -> (id, dk, text, results): results of the rows that were not sent, which lose their text, and the texts of the others."""
+
+    def run(batches):
+        for b in batches:
+            wait = chosen(b.column(0).to_numpy().view(np.uint64), sent.value)
+            texts, done = b.column(3).to_pylist(), []
+            for i in np.flatnonzero(~wait):
+                raw = texts[i].encode("utf-8", "surrogatepass")
+                texts[i] = None
+                done.append((len(raw), *_cut(raw, _own(raw))))
+            place = np.cumsum(~wait) - 1
+            take = pa.array(place, mask=wait)
+            cols = [pa.array(c, kind).take(take) for c, kind in zip(list(zip(*done, strict=True)) or [[]] * 4, _KINDS, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(texts, pa.string()), *cols], ["id", "dk", "text", *_DONE])
+
+    return run
+
+
+_KINDS = [pa.int64()] * 3 + [pa.string()]
+
+
 def _finish(batches):
+    """(id, text, whole, spans, results) -> results, of the rows that still have a text by its spans and by what it repeats itself."""
     for b in batches:
         out = []
-        for text, whole, spans in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
+        for _, text, whole, spans, *done in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+            if text is None:
+                out.append(done)
+                continue
+            raw = text.encode("utf-8", "surrogatepass")
             if whole and len(raw) >= LENGTH:
                 every = [(0, len(raw))]
             else:
                 every = _own(raw) + [(x["s"], x["e"] + LENGTH) for x in spans or []]
             out.append((len(raw), *_cut(raw, every)))
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+        cols = zip(*out, strict=True) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, kind) for c, kind in zip(cols, _KINDS, strict=True)]], ["id", *_DONE])
 
 
 def repeated(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,19 +426,23 @@ def repeated(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("dk"), t.alias("text"), F.md5(t.cast("binary")).alias("tkey"))
-    # whole copies: only the smallest id of a text takes part, the others go entirely
-    copies = rows.where("id is not null").groupBy("tkey").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("tkey", "first")
-    copies = written(copies, "copies")
-    n_copies = copies.count()
-    rows = rows.join(_small(copies, n_copies), "tkey", "left").select("id", "dk", "text", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("whole"))
-    own = rows.where("id is not null and not whole").where(F.octet_length("text") >= LENGTH)
-
-    shared = written(own.select("text").mapInArrow(_count, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).where("n > 1").select("v"), "anchors")
-    few = None
-    if shared.count() <= BROADCAST_ROWS:
-        few = spark.sparkContext.broadcast(np.sort(shared.toArrow().column("v").to_numpy().view(np.uint64)))
-    runs = own.select("id", "dk", "text").mapInArrow(_entries(few), f"v long, key long, id {kind}, dk long, s long, e long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("dk"), t.alias("text"))
+    # whole copies: only the smallest id of a text takes part, the others go entirely; texts stay where they are, their names are shuffled
+    long = rows.where("id is not null").where(F.octet_length("text") >= LENGTH)
+    named = long.select("id", "dk", F.md5(F.col("text").cast("binary")).alias("tkey"))
+    copies = written(named.groupBy("tkey").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("tkey", "first"), "copies")
+    whole = named.join(F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies, "tkey").where("id > first")
+    whole = written(whole.select("id", "dk").distinct(), "whole")
+    name = F.xxhash64("id", "dk")
+    own, gone = long.select(name.alias("w"), "id", "dk", "text"), None
+    if whole.count() <= BROADCAST_ROWS:
+        gone, _ = _sent(whole.select(name.alias("v")))
+    else:
+        own = written(own.join(whole, ["id", "dk"], "left_anti").select("w", "id", "dk", "text"), "own")
+
+    shared = own.select("w", "text").mapInArrow(_count(gone), "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    sent = _sent(written(shared.where("n > 1").select("v"), "anchors"))  # an anchor too many only adds runs that meet nothing
+    runs = own.mapInArrow(_entries(*sent, gone), f"v long, key long, id {kind}, dk long, s long, e long")
     runs = written(runs, "runs")
     cuts = [None, *sorted(set(own.approxQuantile("id", [i / batches for i in range(1, batches)], 0.02))), None] if kind in ("bigint", "int") else [None, None]
     ranges = list(zip(cuts[:-1], cuts[1:], strict=True))
@@ -345,17 +457,20 @@ def repeated(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col
         group = apart.where((F.col("n") > GROUP) if common else (F.col("n") <= GROUP)).select("v")
         if group.isEmpty():
             continue
-        listed = written(context.join(group, "v").groupBy("id", "dk").agg(F.collect_list(F.struct("v", "s", "e")).alias("runs")), "listed")
-        texts = own.select("id", "dk", "text").join(_small(listed), ["id", "dk"]).select("id", "dk", "text", "runs")
+        listed = context.join(group, "v").select(name.alias("w"), "v", "s").mapInArrow(_listed, "v long")
+        sent = _sent(written(listed, "listed"))  # nor does a passage too many, which is compared with real ones as it is
         if common:
-            suffixes = texts.mapInArrow(_suffixes, f"key long, id {kind}, dk long, s long, e long")
+            suffixes = own.mapInArrow(_suffixes(*sent, gone), f"key long, id {kind}, dk long, s long, e long")
             spans = spans.unionAll(_earlier(written(suffixes, "suffixes"), ranges))
         else:
-            parts = texts.mapInArrow(_passages, f"v long, id {kind}, dk long, s long, passage binary").repartition("v").sortWithinPartitions("v")
+            parts = own.mapInArrow(_passages(*sent, gone), f"v long, id {kind}, dk long, s long, passage binary").repartition("v").sortWithinPartitions("v")
             spans = spans.unionAll(parts.mapInArrow(_compared, f"id {kind}, dk long, s long, e long"))
 
     spans = spans.groupBy("id", "dk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    spans = written(spans, "spans")
-    out = rows.join(_small(spans), ["id", "dk"], "left").select("id", "text", "whole", "spans")
-    out = out.mapInArrow(_finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    spans = spans.mapInArrow(_merged, f"id {kind}, dk long, spans array<struct<s:long,e:long>>").withColumn("whole", F.lit(False))
+    marks = written(spans.unionByName(whole.withColumn("whole", F.lit(True)), allowMissingColumns=True), "spans")
+    # only texts of marked rows are shuffled; a row sent too many finds no mark and is as the others
+    results = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    out = rows.select(name.alias("w"), "id", "dk", "text").mapInArrow(_unmarked(*_sent(marks.select(name.alias("v")))), f"id {kind}, dk long, text string, {results}")
+    out = out.join(marks, ["id", "dk"], "left").select("id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans", *_DONE)
+    return out.mapInArrow(_finish, f"id {kind}, {results}").withColumnRenamed("id", id_col)
