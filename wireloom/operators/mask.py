@@ -9,42 +9,55 @@ from wireloom.functions.octets import filler
 from wireloom.functions.ratios import safe_divide
 from wireloom.operators.reassembly import KEY
 from wireloom.operators.rules import both_directions, valid
-from wireloom.operators.scan import covering_end, merge_intervals
-from wireloom.operators.skew import FRAME_BLOCK, explode_buckets, lookup
+from wireloom.operators.scan import covering_end, disjoint, merged_blocks
+from wireloom.operators.skew import FRAME_BLOCK, lookup
 from wireloom.operators.stage import materialise
 
 SEGMENT = [*KEY, "seq", "len"]
-#: Every segment of a bucket meets every rule of it, so a bucket holds few segments of usual size.
+#: Positions of a direction that have one list of kept ranges; a segment looks through the list of the bucket it begins in, so a bucket is small.
 BUCKET = 2048
+#: Where packets and lists meet. What differs most comes first, as rows are sorted by it.
+PLACE = ["__bucket", "__frames", *KEY]
 
 
 def kept_ranges(segments: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(key, seq, len, ranges, has_rules)`` for each distinct segment: byte offsets that stay, sorted and disjoint.
+    """``(key, seq, len, ranges, has_rules)`` for each distinct segment: byte offsets that stay, sorted and disjoint; NULL without any."""
+    distinct = segments.where("len > 0").select(*SEGMENT).distinct().withColumns({"__bucket": F.floor(F.col("seq") / BUCKET), "__frames": F.lit(0)})
+    out = distinct.join(_lists(distinct, rules), PLACE, "left").withColumn("ranges", _own_ranges())
+    return out.select(*SEGMENT, F.when(F.size("ranges") > 0, F.col("ranges")).alias("ranges"), "has_rules")
 
-    Distinct segments (not packets) meet merged rules in 2 KiB buckets of the sequence space, so neither copies of a segment nor a
-    long flow make a large join group; a segment collects at most its own length in ranges. Ranges are cut at the borders of buckets
-    that hold segments: what begins in a bucket, and what a sweep finds open at its border. No range is spread over the buckets it spans.
+
+def _lists(packets: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(place, kept, has_rules)`` for each place (bucket, block of frames and direction) of packets whose direction has rules.
+
+    ``kept`` has the positions that stay, sorted and disjoint, from the bucket's start to the end of its segments. Rows are buckets with
+    arrays, not segments and rules, so what is moved besides the packets is small. A rule stands in the bucket it begins in and, as what a
+    sweep finds open there, at the start of buckets that hold segments; it is not spread over the buckets it spans.
     """
+    places = packets.groupBy(*PLACE).agg(F.max(F.col("seq") + F.col("len")).alias("__end"))
     # several branches read them, and each comes out of a long plan: written once
-    return _ranges_of(materialise(segments.where("len > 0").select(*SEGMENT).distinct()), rules)
-
-
-def _ranges_of(distinct: DataFrame, rules: DataFrame) -> DataFrame:
-    own = materialise(valid(rules).select(*KEY, "seq_start", "seq_end").distinct())
-    # a direction that borrows rules merges them as their owner does, so they are merged before they are copied
-    merged = materialise(both_directions(materialise(merge_intervals(own, KEY, "seq_start", "seq_end"))))
-    pieces = explode_buckets(distinct.withColumn("__end", F.col("seq") + F.col("len")), "seq", "__end", BUCKET)
-    borders = pieces.select(*KEY, (F.col("__bucket") * BUCKET).alias("__at")).distinct()
-    still = covering_end(borders, KEY, "__at", merged, "seq_start", "seq_end", "__open").where("__open > __at")
-    still = still.select(*KEY, F.col("__at").alias("seq_start"), F.col("__open").alias("seq_end"))
-    new = merged.where(F.col("seq_start") % BUCKET != 0)
-    cut = new.unionByName(still).withColumn("__bucket", F.floor(F.col("seq_start") / BUCKET)).withColumn("seq_end", F.least("seq_end", (F.col("__bucket") + 1) * BUCKET))
-    lo, hi = F.greatest("seq", "seq_start"), F.least("__end", "seq_end")
-    hits = pieces.join(cut, [*KEY, "__bucket"]).where("seq_start < __end AND seq_end > seq")
-    ranges = hits.groupBy(*SEGMENT).agg(
-        F.array_sort(F.collect_list(F.struct((lo - F.col("seq")).cast("int").alias("a"), (hi - F.col("seq")).cast("int").alias("b")))).alias("ranges"))
-    ruled = merged.select(*KEY).distinct().withColumn("has_rules", F.lit(True))
-    return lookup(distinct, ruled, KEY, by="seq").join(ranges, SEGMENT, "left")
+    places = materialise(places.withColumn("__at", F.col("__bucket") * BUCKET))
+    own = materialise(merged_blocks(valid(rules), KEY, "seq_start", "seq_end", "__bucket", BUCKET, "kept"))
+    # a direction that borrows rules is told whose, instead of copying them
+    served = both_directions(own.select(*KEY).distinct().withColumns({"__from": F.col("direction"), "seq_start": F.lit(0)})).drop("seq_start")
+    places = lookup(places, served, KEY, by="__at", how="inner")
+    touched = places.withColumn("__touched", F.explode(F.sequence("__bucket", F.floor((F.col("__end") - 1) / BUCKET))))
+    lender = [*KEY[:2], F.col("__from").alias("direction")]
+    heads = own.select(*KEY, *[F.element_at("kept", -1)[x].alias(f"__{x}") for x in "ab"])
+    still = covering_end(places.select(*lender, "__at").distinct(), KEY, "__at", heads, "__a", "__b", "__open").where("__open > __at")
+    still = still.select(*KEY, F.floor(F.col("__at") / BUCKET).alias("__bucket"), F.array(F.struct(F.col("__at").alias("a"), F.col("__open").alias("b"))).alias("kept"))
+    lent = own.unionByName(still).select(F.col("__bucket").alias("__touched"), *KEY[:2], F.col("direction").alias("__from"), "kept")
+    near = touched.join(lent, ["__touched", *KEY[:2], "__from"], "left")
+    near = near.withColumn("kept", F.filter("kept", lambda r: (r["a"] < F.col("__end")) & (r["b"] > F.col("__at"))))
+    lists = near.groupBy(*PLACE).agg(F.array_sort(F.flatten(F.collect_list("kept"))).alias("kept"))
+    return lists.select(*PLACE, disjoint(F.col("kept")).alias("kept"), F.lit(True).alias("has_rules"))
+
+
+def _own_ranges() -> Column:
+    """What of the list ``kept`` lies in the segment, as offsets."""
+    end = F.col("seq") + F.col("len")
+    near = F.filter("kept", lambda r: (r["a"] < end) & (r["b"] > F.col("seq")))
+    return F.transform(near, lambda r: F.struct((F.greatest(r["a"], F.col("seq")) - F.col("seq")).cast("int").alias("a"), (F.least(r["b"], end) - F.col("seq")).cast("int").alias("b")))
 
 
 def apply_ranges(payload: Column, ranges: Column, mask_byte: int = 0) -> Column:
@@ -62,14 +75,18 @@ def mask_payloads(packets: DataFrame, rules: DataFrame, mask_byte: int = 0, mask
     """Masked packets with ``kept_bytes``, ``masked_bytes`` and ``payload_modified``; payload length never changes.
 
     Expects flow keys, ``proto``, ``seq``, ``len`` and ``payload``.  Any TCP payload without a rule is fully masked; UDP payloads are
-    only touched on request.  A packet is moved once, in the final join on (segment, block of frames).
+    only touched on request.  A packet is moved once, with its neighbours, to the list of its bucket.
     """
-    block = F.floor(F.col("frame_no") / FRAME_BLOCK)
-    packets = packets.withColumns({"__tcp": F.expr("proto = 'tcp' AND len > 0"), "__lb": block})
+    packets = packets.withColumns({"__tcp": F.expr("proto = 'tcp' AND len > 0"), "__ruled": F.expr("proto = 'tcp' AND len > 0")})
+    if mask_udp:  # one that is equal to a TCP segment keeps what that one keeps
+        of = lambda kind: packets.where(kind).select(*SEGMENT).distinct()
+        twins = materialise(of("proto = 'udp' AND len > 0").join(of("__tcp"), SEGMENT, "left_semi"))
+        if not twins.isEmpty():
+            packets = packets.join(twins.withColumn("__twin", F.lit(True)), SEGMENT, "left").withColumn("__ruled", F.expr("__ruled OR proto = 'udp' AND __twin")).drop("__twin")
+    packets = packets.withColumns({"__bucket": F.when(F.col("__ruled"), F.floor(F.col("seq") / BUCKET)), "__frames": F.floor(F.col("frame_no") / FRAME_BLOCK)})
     # the packets' plan is run once for where segments occur, and once more for the packets themselves
-    placed = materialise(packets.groupBy(*SEGMENT, "__lb").agg(F.max("__tcp").alias("__tcp")))
-    ranges = _ranges_of(materialise(placed.where("__tcp").select(*SEGMENT).distinct()), rules)
-    joined = packets.join(placed.drop("__tcp").join(ranges, SEGMENT), [*SEGMENT, "__lb"], "left").drop("__lb")
+    lists = _lists(packets.where("__ruled").select(*PLACE, "seq", "len"), rules)
+    joined = packets.join(lists, PLACE, "left").withColumn("ranges", _own_ranges()).drop("__ruled", "__bucket", "__frames", "kept")
     touch = F.col("__tcp") | ((F.col("proto") == "udp") & (F.col("len") > 0) if mask_udp else F.lit(False))
     kept = F.coalesce(F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, r: a + r["b"] - r["a"]), F.lit(0).cast("bigint"))
     masked = F.when(F.col("ranges").isNotNull(), apply_ranges(F.col("payload"), F.col("ranges"), mask_byte)).otherwise(filler(F.length("payload"), mask_byte))
